@@ -15,7 +15,7 @@ def build_session(app: str = "docweave", master: str | None = None, shuffle_part
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.config("spark.ui.enabled", "false").getOrCreate()
+    return builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
