@@ -1,0 +1 @@
+"""Operators for training text. Nothing outside this subpackage imports it."""

@@ -1,2 +1,56 @@
-QUERIES = {}
-SQL = {}
+"""Named queries of the subpackage, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.llm import mixing, repetition, splitting, tokenizer
+from docweave.sources.tables import table
+
+
+def _latest_text(spark: SparkSession, d: str) -> DataFrame:
+    """One row per unit: redelivered rows count once, the latest text wins."""
+    units = table(spark, d, "document_units", "document_id", "unit_id", "unit_order", "text", "loaded_at")
+    return units.groupBy("document_id", "unit_id").agg(F.max(F.struct("loaded_at", "unit_order", "text")).alias("w")).select("document_id", "unit_id", F.col("w.unit_order").alias("unit_order"), F.col("w.text").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "document_units", "document_id", "unit_id", "text")
+    return splitting.oversized(units, table(spark, d, "chunk_profiles"))
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(_latest_text(spark, d), table(spark, d, "chunk_profiles"), ("document_id", "unit_order", "unit_id"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encode(table(spark, d, "documents", "doc_id", "text"))
+
+
+def _mix_inputs(spark: SparkSession, d: str):
+    sized = mixing.sizes(table(spark, d, "documents", "doc_id", "source", "text"))
+    return sized, mixing.plan(sized, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(*_mix_inputs(spark, d))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mix_inputs(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.detect(table(spark, d, "documents", "doc_id", "text")).where("found").select("doc_id").distinct()
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.detect(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "share", "score", "candidate", "found")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
+
+SQL = {
+    "p2_found": "SELECT DISTINCT p.profile, u.document_id, u.unit_id FROM document_units u JOIN chunk_profiles p ON length(u.text) > p.max_chars",
+}
