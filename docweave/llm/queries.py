@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, repetition, splitting, tokenizer
+from docweave.llm import mixing, repetition, scans, splitting, tokenizer
 from docweave.sources.tables import table
 
 
@@ -24,6 +24,24 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_latest_text(spark, d), table(spark, d, "chunk_profiles"), ("document_id", "unit_order", "unit_id"))
 
 
+def _scan_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    units = table(spark, d, "document_units", "document_id", "unit_id", "unit_order", "type", "source_ref", "text", "loaded_at")
+    return units, table(spark, d, "scan_results", "document_id", "text_chars")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(*_scan_inputs(spark, d))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(scans.repaired(*_scan_inputs(spark, d)))
+
+
+def p3_chars(spark: SparkSession, d: str) -> DataFrame:
+    units, results = _scan_inputs(spark, d)
+    return scans.characters_left(scans.paragraphs(scans.repaired(units, results)), results)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents", "doc_id", "text"))
 
@@ -49,7 +67,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.detect(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "share", "score", "candidate", "found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_paragraphs, p3_chars, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT p.profile, u.document_id, u.unit_id FROM document_units u JOIN chunk_profiles p ON length(u.text) > p.max_chars",
