@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,13 @@ def _byte_table(encoding: str) -> list[str | None]:
     return out
 
 
+@lru_cache(maxsize=64)
+def _reader(encoding: str) -> tuple[dict[str, int], list[int]]:
+    """Byte of each character the encoding can show, and the bytes it doesn't define."""
+    table = _byte_table(encoding)
+    return {c: b for b, c in enumerate(table) if c is not None}, [b for b, c in enumerate(table) if c is None]
+
+
 def _misread(text: str, pair: tuple[str, ...], lost: bool) -> str | None:
     """What the pair makes of a text; bytes that the reading encoding doesn't define become U+FFFD or C1 controls."""
     for written, read in zip(pair[::2], pair[1::2]):
@@ -85,9 +93,7 @@ def restore(text: str, pair: tuple[str, ...], pairs: np.ndarray | None = None) -
     """
     lost = 0
     for written, read in reversed(list(zip(pair[::2], pair[1::2]))):
-        table = _byte_table(read)
-        back = {c: b for b, c in enumerate(table) if c is not None}
-        undefined = [b for b, c in enumerate(table) if c is None]
+        back, undefined = _reader(read)
         out, held = "", b""
         for c in text:
             options = [back[c]] if c in back else [ord(c)] if 0x80 <= ord(c) < 0xA0 else undefined if c == "\ufffd" else []
@@ -389,7 +395,7 @@ def fix(text: str, states: np.ndarray, model: Model) -> tuple[str, str, bool] |
         pair = PAIRS[k - 1]
         got, lost = restore(text[a:b], pair, model.pairs)
         options = [(_loss(got, lost), 0, got, pair, lost)]
-        for n, other in enumerate(PAIRS):  # kindred pairs may explain the same span with less loss
+        for n, other in enumerate(PAIRS if options[0][0] else ()):  # kindred pairs may explain it with less loss
             again, less = restore(text[a:b], other, model.pairs)
             options.append((_loss(again, less), n + 1, again, other, less))
         _, _, got, pair, lost = min(options)
@@ -435,10 +441,13 @@ def garbled_units(units: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
+            hit: list[tuple[int, str]] = []
+            at = 0
             for part, values in chunks(batch, "text"):
-                hit = np.flatnonzero(suspects(values, own)).tolist()
-                ids = part.column("item_id")
-                yield _emit(part, [(i, ids[i].as_py(), values[i], *f) for i, s in zip(hit, label([values[i] for i in hit], own), strict=True) if (f := fix(values[i], s, own))])
+                hit += [(at + i, values[i]) for i in np.flatnonzero(suspects(values, own)).tolist()]
+                at += part.num_rows
+            ids = batch.column("item_id")
+            yield _emit(batch, [(i, ids[i].as_py(), t, *f) for (i, t), s in zip(hit, label([t for _, t in hit], own), strict=True) if (f := fix(t, s, own))])
 
     return rows.mapInArrow(run, _SCHEMA)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import encodings, mixing, repetition, scans, splitting, tokenizer
+from docweave.llm import encodings, mixing, personal, repetition, scans, splitting, tokenizer
 from docweave.sources.tables import table
 
 
@@ -54,6 +54,14 @@ def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.repaired(*_encoding_inputs(spark, d)).distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "document_units", "document_id", "unit_id", "text"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(_latest_text(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents", "doc_id", "text"))
 
@@ -79,7 +87,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.detect(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "share", "score", "candidate", "found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_paragraphs, p3_chars, p6_found, p6_restored, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_paragraphs, p3_chars, p6_found, p6_restored, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT p.profile, u.document_id, u.unit_id FROM document_units u JOIN chunk_profiles p ON length(u.text) > p.max_chars",
