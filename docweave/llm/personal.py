@@ -128,7 +128,7 @@ RULES = (
     Rule("address", _c(rf"(?:(?:Flat|Unit|Apt\.?|Suite|Room) \d+[A-Za-z]?, ?)?\d{{1,4}}(?:-?[A-Z])?,? (?:[A-Z][a-z]+(?:'s|’s)? ){{1,3}}{_WAY_EN}(?!\w)(?:,? (?:Apt|Unit|Flat|Suite)\.? ?\d+[A-Za-z]?)?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}|, [A-Z][a-z]+(?!,? [A-Z]|[a-z]))?"), 1.0),
     Rule("address", _c(rf"(?:\d{{5}} [A-ZÄÖÜ][a-zäöüß]+, )?(?<![\w-]){_WAY_DE},? (?:Nr\.? ?)?\d{{1,4}} ?[a-z]?(?!\w|[.,]\d)(?:, \d+\. OG)?(?:, \d{{5}} [A-ZÄÖÜ][a-zäöüß]+)?"), 1.0),
     Rule("person", _c(rf"(?<![\w.]){_INITIALS} ?(?:{_RU}|{_UP})(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<!\w)(?:{_RU}|{_UP}),? {_INITIALS}(?!\w)"), 1.0),
+    Rule("person", _c(rf"(?<!\w)(?:{_RU}|(?<![А-ЯЁ] ){_UP}),? {_INITIALS}(?!\w)"), 1.0),
     Rule("person", _c(rf"(?<!\w)(?:{_RU} ){{0,2}}{_PATRONYMIC}(?: {_RU})?(?!\w)"), 1.0),
     Rule("person", _c(rf"(?<!\w){_RU} {_SURNAME}(?!\w)"), 0.9, _SIGNED, _SIGNS),
     Rule("person", _c(rf"(?<!\w){_SURNAME} {_RU}(?!\w)"), 0.5, _SIGNED, _SIGNS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import encodings, mixing, personal, repetition, scans, splitting, tokenizer
+from docweave.llm import encodings, lookalikes, mixing, personal, repetition, scans, splitting, tokenizer
 from docweave.sources.tables import table
 
 
@@ -42,6 +42,20 @@ def p3_chars(spark: SparkSession, d: str) -> DataFrame:
     return scans.characters_left(scans.paragraphs(scans.repaired(units, results)), results)
 
 
+def _formula_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    units = table(spark, d, "document_units", "document_id", "unit_id", "text", "formula")
+    return units, table(spark, d, "formula_gold", "document_label", "formula_index", "text", "linear_text", "calc_expr")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    units, gold = _formula_inputs(spark, d)
+    return lookalikes.found(units, gold, table(spark, d, "scan_results", "document_id"), encodings.train(units))
+
+
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.canonical(*_formula_inputs(spark, d))
+
+
 def _encoding_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "document_units", "document_id", "unit_id", "text"), table(spark, d, "wmf_text_chunks", "document_id", "asset_id", "chunk_ref", "chunk_order", "text", "face", "charset")
 
@@ -87,7 +101,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.detect(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "share", "score", "candidate", "found")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_paragraphs, p3_chars, p6_found, p6_restored, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_paragraphs, p3_chars, p4_found, p4_canonical, p6_found, p6_restored, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT p.profile, u.document_id, u.unit_id FROM document_units u JOIN chunk_profiles p ON length(u.text) > p.max_chars",
