@@ -27,7 +27,7 @@ def clip(text: Column, most: int) -> Column:
 
 def compact(text: Column, most: int) -> Column:
     """As clip, without punctuation before the ellipsis."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"[ .,:;]+$", ""), F.lit("…")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"[ .,:;]+\z", ""), F.lit("…")))
 
 
 def slug(text: Column) -> Column:
@@ -55,4 +55,4 @@ def transliterate(text: Column) -> Column:
 
 def cells(line: Column) -> Column:
     """A line's cells: parted by two spaces, tabs or bars; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(line, r" {2,}|\t+|\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, r" {2,}|\t+|\|"), lambda x: F.trim(x)), lambda x: x != "")

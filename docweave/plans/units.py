@@ -22,11 +22,12 @@ _U = "(SELECT DISTINCT document_id, unit_id, parent_id, type, coalesce(unit_orde
 
 def _units(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
     """Distinct deliveries; only the named columns are read."""
-    picked = columns or ("document_id", "unit_id", "parent_id", "type", "unit_order", "text", "asset_ref", F.col("source_ref.page").alias("page"))
+    picked = columns or ("document_id", "unit_id", "parent_id", "type", "unit_order", "text", "asset_ref", "source_ref.page")
     return table(spark, d, "document_units", *[F.coalesce("unit_order", F.lit(0)).alias("unit_order") if isinstance(c, str) and c == "unit_order" else c for c in picked]).distinct()
 
 
-_PAGE = F.col("source_ref.page").alias("page")
+#: Selecting the nested field names the column page.
+_PAGE = "source_ref.page"
 
 
 @query(f"SELECT document_id, unit_id, printf('u_%06d', (row_number() OVER (PARTITION BY document_id ORDER BY unit_order, unit_id) - 1)::INT) AS new_id FROM (SELECT DISTINCT document_id, unit_id, unit_order FROM {_U})")
@@ -161,7 +162,7 @@ def table_rows(spark, d):
 
 
 @query(f"""WITH l AS (SELECT document_id, unit_id, unnest(string_split(text, chr(10))) AS line FROM {_U} WHERE type = 'table' AND text IS NOT NULL),
-c AS (SELECT document_id, unit_id, len(list_filter(list_transform(regexp_split_to_array(line, ' {{2,}}|\\t+|\\|'), x -> trim(x)), x -> x <> '')) AS width FROM l)
+c AS (SELECT document_id, unit_id, len(list_filter(list_transform(regexp_split_to_array(line, ' {{2,}}|\\t+|\\|'), lambda x: trim(x)), lambda x: x <> '')) AS width FROM l)
 SELECT document_id, unit_id, arg_max(width, (n, width))::INT AS dominant_width, sum(n)::BIGINT AS lines, count(*) > 1 AS ragged FROM (SELECT document_id, unit_id, width, count(*) AS n FROM c WHERE width >= 2 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def dominant_width(spark, d):
     u = _units(spark, d, "document_id", "unit_id", "type", "text").where("type = 'table' and text is not null")
@@ -170,8 +171,8 @@ def dominant_width(spark, d):
     return g.groupBy("document_id", "unit_id").agg(F.max(F.struct("n", "width")).alias("w"), F.sum("n").alias("lines"), F.count("*").alias("k")).select("document_id", "unit_id", F.col("w.width").alias("dominant_width"), "lines", (F.col("k") > 1).alias("ragged"))
 
 
-@query(f"""WITH l AS (SELECT document_id, unit_id, text, list_transform(list_filter(string_split(text, chr(10)), x -> trim(x) <> ''), y -> len(list_filter(list_transform(regexp_split_to_array(y, ' {{2,}}|\\t+|\\|'), x -> trim(x)), x -> x <> ''))) AS widths FROM {_U} WHERE text IS NOT NULL AND type IN ('paragraph', 'table'))
-SELECT document_id, unit_id, len(widths) >= 2 AND len(list_filter(widths, w -> w >= 2 AND w = list_max(widths))) >= 2 AS is_table FROM l""")
+@query(f"""WITH l AS (SELECT document_id, unit_id, text, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda y: len(list_filter(list_transform(regexp_split_to_array(y, ' {{2,}}|\\t+|\\|'), lambda x: trim(x)), lambda x: x <> ''))) AS widths FROM {_U} WHERE text IS NOT NULL AND type IN ('paragraph', 'table'))
+SELECT document_id, unit_id, len(widths) >= 2 AND len(list_filter(widths, lambda w: w >= 2 AND w = list_max(widths))) >= 2 AS is_table FROM l""")
 def table_detect(spark, d):
     u = _units(spark, d, "document_id", "unit_id", "type", "text").where("text is not null and type in ('paragraph', 'table')")
     widths = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda y: F.size(tx.cells(y)))
@@ -179,7 +180,7 @@ def table_detect(spark, d):
     return u.select("document_id", "unit_id", ((F.size("w") >= 2) & (F.size(F.filter("w", lambda x: (x >= 2) & (x == F.array_max("w")))) >= 2)).alias("is_table"))
 
 
-@query(f"""SELECT document_id, unit_id, (row_no - 1)::INT AS row_no, (unnest(range(1, len(cells) + 1)) - 1)::INT AS col_no, unnest(cells) AS cell FROM (SELECT document_id, unit_id, row_no, list_filter(list_transform(regexp_split_to_array(line, ' {{2,}}|\\t+|\\|'), x -> trim(x)), x -> x <> '') AS cells FROM (SELECT document_id, unit_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS row_no FROM {_U} WHERE type = 'table' AND text IS NOT NULL))""")
+@query(f"""SELECT document_id, unit_id, (row_no - 1)::INT AS row_no, (unnest(range(1, len(cells) + 1)) - 1)::INT AS col_no, unnest(cells) AS cell FROM (SELECT document_id, unit_id, row_no, list_filter(list_transform(regexp_split_to_array(line, ' {{2,}}|\\t+|\\|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM (SELECT document_id, unit_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS row_no FROM {_U} WHERE type = 'table' AND text IS NOT NULL))""")
 def table_units(spark, d):
     u = _units(spark, d, "document_id", "unit_id", "type", "text").where("type = 'table' and text is not null")
     rows = u.select("document_id", "unit_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
