@@ -2,8 +2,8 @@
 
 Lines are compared by a key in which words stand by their confusable-glyph skeleton and numbers are masked; a key
 that returns on several pages of a document is its running header. Words of the body are grouped by skeleton;
-of a group, the forms that are frequent in sound text are kept, and any other form is a misreading of the one its
-left neighbour supports best. A word broken at a line's end is joined if the joined form, or one of its skeleton,
+of a group, the forms that are frequent in the sound text of the same corpus (their context) are kept, and any
+other form is a misreading of the most frequent one. A word broken at a line's end is joined if the joined form, or one of its skeleton,
 is better known than the form with the hyphen. Windows over the reading order then join lines and units into
 paragraphs.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,7 @@ _LATIN = str.maketrans({c: k[0] for k in CLASSES if k[0] < "а" for c in k[1:]})
 _HAS_CYRILLIC = re.compile("[а-яё]")
 
 
+@lru_cache(maxsize=200_000)
 def skeleton(word: str) -> str:
     """The word's confusable-glyph skeleton, in lower case."""
     word = word.lower()
@@ -136,62 +138,75 @@ def _mixed(word: str) -> bool:
 
 
 def body_words(marked: DataFrame) -> DataFrame:
-    """Distinct words of each unit's body: word, its skeleton, what precedes it; and the breaks.
-
-    kind 'word': word, left neighbour. kind 'break': word is the joined form, other the form with a hyphen, mark.
-    """
-    schema = "document_id string, unit_id string, kind string, word string, skeleton string, other string, other_skeleton string, mark string"
+    """One row per unit: words, the distinct words of its body in lower case; breaks, each with the joined form and the
+    form with a hyphen, their skeletons and the mark."""
+    pair = "array<struct<word:string,skeleton:string,other:string,other_skeleton:string,mark:string>>"
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("word", "skeleton", "other", "other_skeleton", "mark")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for i, lines in enumerate(batch.column("lines").to_pylist()):
-                words, breaks = unit_words([x["line"] for x in lines if not x["furniture"]])
-                out += [(i, "word", w, skeleton(w), left, None, None) for w, left in words]
-                out += [(i, "break", a, skeleton(a), b, skeleton(b), m) for a, b, m in breaks]
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            at = pa.array(columns[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("document_id").take(at), batch.column("unit_id").take(at), *[pa.array(c, pa.string()) for c in columns[1:]]], ["document_id", "unit_id", "kind", "word", "skeleton", "other", "other_skeleton", "mark"])
+            words, breaks = [], []
+            for lines in batch.column("lines").to_pylist():
+                own, split = unit_words([x["line"] for x in lines if not x["furniture"]])
+                words.append(list(own))
+                breaks.append([{"word": a, "skeleton": skeleton(a), "other": b, "other_skeleton": skeleton(b), "mark": m} for a, b, m in split])
+            yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("unit_id"), pa.array(words, pa.list_(pa.string())), pa.array(breaks, kind)], ["document_id", "unit_id", "words", "breaks"])
 
-    return marked.select("document_id", "unit_id", "lines").mapInArrow(run, schema)
+    return marked.select("document_id", "unit_id", "lines").mapInArrow(run, f"document_id string, unit_id string, words array<string>, breaks {pair}")
 
 
-def unit_words(lines: list[str]) -> tuple[set[tuple[str, str]], list[tuple[str, str, str]]]:
-    """Words with their left neighbours, lower case; and breaks as (joined, hyphenated, mark)."""
+def unit_words(lines: list[str]) -> tuple[set[str], list[tuple[str, str, str]]]:
+    """Distinct words, lower case; and breaks as (joined, hyphenated, mark)."""
     breaks: list[tuple[str, str, str]] = []
     text = ""
     for line in lines:
         line = line.strip(" ")
         if not line:
             continue
-        end = _END.search(text)
-        begin = _BEGIN.match(line)
+        tail = len(text) - len(text[-LONGEST:])
+        end = _END.search(text, tail) if text and text.rstrip(" ")[-1:] in MARKS else None
+        begin = _BEGIN.match(line) if end else None
         if end and begin and begin.group()[0].islower() | begin.group()[0].isdigit() | (begin.group().isupper() and end.group(1).isupper()):
             left, right = end.group(1).lower(), begin.group().lower()
-            head, _, last = left.rpartition("-")
+            last = left.rpartition("-")[2]
             breaks.append((last + right, last + "-" + right, end.group(2)))
             text = text[: end.start(2)] + "\0" + line  # whole again for the words below, but not taken as read
             continue
         text = f"{text} {line}" if text else line
-    words: set[tuple[str, str]] = set()
-    before = ""
-    for part in re.split(r"[\s/]+", text):
-        for piece in part.replace("\0", "").split("-") if "\0" not in part else [part.replace("\0", "")]:
+    words: set[str] = set()
+    for part in text.replace("/", " ").split():
+        bare = part.strip(_EDGES)
+        if bare.isalpha():
+            if len(bare) > 2:
+                words.add(bare.lower())
+            continue
+        for piece in bare.replace("\0", "").split("-") if "\0" not in bare else [bare.replace("\0", "")]:
             found = _READ.search(piece)
-            word = found.group().lower() if found else ""
-            if len(word) > 2:
-                words.add((word, before))
-            before = word
+            if found and len(found.group()) > 2:
+                words.add(found.group().lower())
     return words, breaks
 
 
+#: Signs that stand around words; characters of a line's end that are searched for a broken word.
+_EDGES = ".,;:()«»\"„“”'"
+LONGEST = 80
+
+
 def known_words(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("n") >= KNOWN)
 
 
+def _with_skeleton(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([skeleton(w) for w in batch.column("word").to_pylist()], pa.string())], ["word", "skeleton"])
+
+    return words.mapInArrow(run, "word string, skeleton string")
+
+
 def misread(body: DataFrame, counts: DataFrame) -> DataFrame:
     """word and its right form, for each word of the body that is a misreading."""
-    read = body.where("kind = 'word'").select("word", "skeleton").distinct()
+    read = _with_skeleton(body.select(F.explode("words").alias("word")).distinct())
     best = known_words(counts).groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("b"))
     own = counts.select("word", F.col("n").alias("own"))
     return read.join(best, "skeleton").join(own, "word", "left").where((F.coalesce("own", F.lit(0)) < KNOWN) | (F.col("own") * RARER < F.col("b.n"))).where("word != b.word").select("word", F.col("b.word").alias("right_form"))
@@ -200,7 +215,7 @@ def misread(body: DataFrame, counts: DataFrame) -> DataFrame:
 def judged_breaks(body: DataFrame, counts: DataFrame) -> DataFrame:
     """Each break with n of the joined (whole) and of the hyphenated form (compound), and broken: no compound at its own hyphen."""
     n = known_words(counts).groupBy("skeleton").agg(F.sum("n").alias("n"))
-    breaks = body.where("kind = 'break'").select("document_id", "unit_id", "word", "skeleton", "other", "other_skeleton", "mark")
+    breaks = body.where(F.size("breaks") > 0).select("document_id", "unit_id", F.inline("breaks"))
     joined = breaks.join(n.withColumnRenamed("n", "whole"), "skeleton", "left").join(n.select(F.col("skeleton").alias("other_skeleton"), F.col("n").alias("compound")), "other_skeleton", "left")
     return joined.withColumn("broken", F.col("mark").isin("¬", "\u00ad") | (F.coalesce("whole", F.lit(0)) >= F.coalesce("compound", F.lit(0))))
 
@@ -212,7 +227,7 @@ def found(units: DataFrame, scans: DataFrame) -> DataFrame:
     body = cut_lineage(body_words(marked))
     furniture = marked.where(F.exists("lines", lambda x: x.furniture)).select("document_id", "unit_id", F.lit("furniture").alias("noise"))
     bad = misread(body, counts)
-    wrong = body.where("kind = 'word'").select("document_id", "unit_id", "word").join(bad, "word", "left_semi").select("document_id", "unit_id", F.lit("misread").alias("noise"))
+    wrong = body.select("document_id", "unit_id", F.explode("words").alias("word")).join(bad, "word", "left_semi").select("document_id", "unit_id", F.lit("misread").alias("noise"))
     breaks = judged_breaks(body, counts)
     split = breaks.where("broken").select("document_id", "unit_id", F.lit("broken_word").alias("noise"))
     # a compound at its own hyphen whose exact form is unknown holds a misreading
@@ -229,7 +244,8 @@ def repair(lines: list[str], fixes: dict[str, str], joins: dict[str, str]) -> st
     text = ""
     for line in lines:
         line = line.strip(" ")
-        end, begin = _END.search(text), _BEGIN.match(line)
+        end = _END.search(text, len(text) - len(text[-LONGEST:])) if text else None
+        begin = _BEGIN.match(line)
         if end and begin:
             left, right = end.group(1), begin.group()
             last = left.rpartition("-")[2]
@@ -248,7 +264,7 @@ def repaired(units: DataFrame, scans: DataFrame) -> DataFrame:
     counts = cut_lineage(word_counts(units, scans))
     body = cut_lineage(body_words(marked))
     key = ["document_id", "unit_id"]
-    fixes = body.where("kind = 'word'").join(misread(body, counts), "word").select(*key, "word", "right_form").distinct().groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right_form"))).alias("fixes"))
+    fixes = body.select(*key, F.explode("words").alias("word")).join(misread(body, counts), "word").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right_form"))).alias("fixes"))
     joins = judged_breaks(body, counts).select(*key, "other", F.when(F.col("broken"), F.col("word")).otherwise(F.col("other")).alias("to")).groupBy(*key, "other").agg(F.min("to").alias("to")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("other", "to"))).alias("joins"))
     parts = marked.join(fixes, key, "left").join(joins, key, "left").join(latest.select(*key, "unit_order", "type"), key)
     schema = "document_id string, unit_id string, unit_order int, type string, text string"
