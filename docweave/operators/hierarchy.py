@@ -56,7 +56,10 @@ def resolve(tree: DataFrame, paths: bool = True, max_rounds: int = 40) -> DataFr
     and is written to the checkpoint folder; the number of rounds is the logarithm of the greatest depth.
     """
     extra = ["path"] if paths else []
-    state = cut_lineage(_first_state(tree, paths))
+    first = _first_state(tree, paths)
+    # only nodes with children can be pointed at; marking them once keeps the leaves out of every later shuffle
+    inner = tree.where("parent is not null").select("scope", F.col("parent").alias("node"), F.lit(True).alias("inner")).distinct()
+    state = cut_lineage(first.join(inner, ["scope", "node"], "left"))
     resolved = state.where("pointer is null")
     open_ = state.where("pointer is not null")
     done = [resolved]
@@ -67,9 +70,9 @@ def resolve(tree: DataFrame, paths: bool = True, max_rounds: int = 40) -> DataFr
         most = open_.groupBy("scope").count().agg(F.max("count")).first()[0] or 0
         if most == 0 or (not settled_last and jump >= most):
             break
-        target = targets.select("scope", F.col("node").alias("pointer"), F.col("pointer").alias("t_pointer"), F.col("root").alias("t_root"), F.col("jump").alias("t_jump"), *[F.col(c).alias(f"t_{c}") for c in extra])
+        target = targets.where("inner").select("scope", F.col("node").alias("pointer"), F.col("pointer").alias("t_pointer"), F.col("root").alias("t_root"), F.col("jump").alias("t_jump"), *[F.col(c).alias(f"t_{c}") for c in extra])
         joined = open_.drop("root", "orphan").join(target, ["scope", "pointer"], "inner").select(
-            "scope", "node", F.col("t_pointer").alias("pointer"), F.col("t_root").alias("root"), (F.col("jump") + F.col("t_jump")).alias("jump"), F.lit(False).alias("orphan"), *([F.concat("t_path", "path").alias("path")] if paths else []),
+            "scope", "node", F.col("t_pointer").alias("pointer"), F.col("t_root").alias("root"), (F.col("jump") + F.col("t_jump")).alias("jump"), F.lit(False).alias("orphan"), *([F.concat("t_path", "path").alias("path")] if paths else []), "inner",
         )
         stepped = cut_lineage(joined)
         fresh = stepped.where("pointer is null")
