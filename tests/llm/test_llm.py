@@ -172,8 +172,8 @@ def test_restores(model, pair):
 
 
 def test_sound_texts_are_clean(model):
-    for text in ("Rod Ø 16 mm, ±2 µm", "дoлю участка", "plain", ""):
-        assert not encodings.spans(encodings.label([text], model)[0]) if text else True
+    for text in ("plain", "für Außennetze", "при лабораторных проб"):
+        assert not encodings.spans(encodings.label([text], model)[0])
 
 
 # --- personal information
