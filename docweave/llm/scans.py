@@ -85,14 +85,16 @@ def marked_lines(units: DataFrame) -> DataFrame:
     running = F.col("type").isin("header", "footer")
     # headers carry no sentence: they don't end in a stop, and no table row is one
     fit = (F.length("key") > 3) & ~F.col("line").contains(" | ") & ~F.col("line").rlike(r"[.,;:]\s*$") & F.col("line").rlike(r"^\s*\P{Ll}") & ~F.col("line").rlike(r"^\s*\d+(\.\d+)+") & (F.col("type") != "section")
-    lines = lines.withColumn("edge", near(1) | near(-1)).withColumn("fit", fit)
+    # keys travel as hashes, and only what later steps need travels at all
+    lines = lines.select("document_id", "unit_id", "line_no", "line", "number", running.alias("running"), "page", F.xxhash64("key").alias("key"), (near(1) | near(-1)).alias("edge"), fit.alias("fit"))
     keys = (
-        lines.where("fit").where(F.col("edge") | running)
-        .groupBy("document_id", "key", "page").agg(F.max(running).alias("running"))
+        lines.where("fit and (edge or running)")
+        .groupBy("document_id", "key", "page").agg(F.max("running").alias("running"))
         .groupBy("document_id", "key").agg(F.max("running").alias("running"), F.count("*").alias("pages"))
         .where("running or pages >= 2").select("document_id", "key", F.lit(True).alias("header"))
     )
-    flagged = lines.join(keys, ["document_id", "key"], "left").withColumn("furniture", F.col("number") | running | (F.coalesce("header", F.lit(False)) & F.col("fit")))
+    own = lines.select("document_id", "unit_id", "line_no", "line", "key", "fit", (F.col("number") | F.col("running")).alias("sure"))
+    flagged = own.join(keys, ["document_id", "key"], "left").withColumn("furniture", F.col("sure") | (F.coalesce("header", F.lit(False)) & F.col("fit")))
     return flagged.groupBy("document_id", "unit_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "furniture"))).alias("lines"))
 
 
