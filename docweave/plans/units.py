@@ -91,9 +91,10 @@ def order_drift(spark, d):
 
 @query(f"SELECT document_id, page, string_agg(text, chr(10) || chr(10) ORDER BY unit_order, unit_id) AS search_text FROM {_U} WHERE type NOT IN ('header', 'footer') AND text <> '' AND page IS NOT NULL GROUP BY 1, 2")
 def search_text(spark, d):
-    """Per page: a document of any size is never put together in one row."""
-    u = _units(spark, d, "document_id", "unit_id", "type", "unit_order", "text", _PAGE).where("type not in ('header', 'footer') and text <> '' and page is not null")
-    return u.groupBy("document_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*_ORDER, "text"))), lambda x: x.text), "\n\n").alias("search_text"))
+    """Per page, and per stretch of the order where units have no page: a document of any size is never put together in one row."""
+    u = _units(spark, d, "document_id", "unit_id", "type", "unit_order", "text", _PAGE).where("type not in ('header', 'footer') and text <> ''")
+    stretch = F.when(F.col("page").isNull(), F.floor(F.col("unit_order") / ordered.STRETCH)).otherwise(0)
+    return u.groupBy("document_id", "page", stretch.alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*_ORDER, "text"))), lambda x: x.text), "\n\n").alias("search_text"))
 
 
 @query(f"""WITH e AS (SELECT document_id, page, min((unit_order, unit_id, text)) AS first, max((unit_order, unit_id, text)) AS last FROM {_U} WHERE text <> '' AND page IS NOT NULL GROUP BY 1, 2),
