@@ -66,8 +66,10 @@ def reading_order(spark, d):
 
 @query(f"SELECT document_id, unit_id, CASE WHEN type LIKE 'table%' THEN 'table' ELSE 'paragraph' END AS kind, row_number() OVER (PARTITION BY document_id, page, type LIKE 'table%' ORDER BY unit_order, unit_id)::INT AS ordinal FROM {_U} WHERE page IS NOT NULL AND type IN ('paragraph', 'table', 'table_row', 'table_cell')")
 def block_ordinals(spark, d):
-    u = _units(spark, d, "document_id", "unit_id", "type", "unit_order", _PAGE).where("page is not null and type in ('paragraph', 'table', 'table_row', 'table_cell')").withColumn("kind", F.when(F.col("type").startswith("table"), "table").otherwise("paragraph"))
-    return u.select("document_id", "unit_id", "kind", F.row_number().over(Window.partitionBy("document_id", "page", "kind").orderBy(*_ORDER)).alias("ordinal"))
+    """Numbered through the whole document, also where units have no page."""
+    u = _units(spark, d, "document_id", "unit_id", "type", "unit_order").where("type in ('paragraph', 'table', 'table_row', 'table_cell')").withColumn("kind", F.when(F.col("type").startswith("table"), "table").otherwise("paragraph"))
+    n = ordered.running_sum(u.withColumn("of", F.struct("document_id", "kind")), "of", _ORDER, F.lit(1), "n")
+    return n.select("document_id", "unit_id", "kind", F.col("n").cast("int").alias("ordinal"))
 
 
 @query(f"SELECT document_id, unit_id, last_value(CASE WHEN type = 'section' AND trim(text) <> '' THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY unit_order, unit_id ROWS UNBOUNDED PRECEDING) AS section FROM {_U}")

@@ -24,3 +24,12 @@ def test_search_text_keeps_units_without_page(run):
     ]
     got = {(r["document_id"], r["page"], r["stretch"]): r["search_text"] for r in run("search_text", "document_units", data, UNITS)}
     assert got == {("docx", None, 0): "first\n\na\n\nb", ("docx", None, 1): "c", ("pdf", 1, 0): "p\n\nq", ("pdf", 2, 0): "r", ("pdf", None, 1): "s"}
+
+
+def test_block_ordinals_run_through_the_document(run, monkeypatch):
+    monkeypatch.setattr("docweave.operators.ordered.STRETCH", 2)
+    units = [("p0", "paragraph", 0, None), ("t0", "table", 1, (1,)), ("p1", "paragraph", 2, (1,)), ("s", "section", 3, (1,)), ("p2", "paragraph", 4, (2,)), ("t1", "table_cell", 5, None), ("p3", "paragraph", 6, None)]
+    data = [(doc, u, t, o, "x", p) for doc in ("a", "b") for u, t, o, p in [*units, units[0]]]
+    got = {(r["document_id"], r["unit_id"]): (r["kind"], r["ordinal"]) for r in run("block_ordinals", "document_units", data, UNITS)}
+    numbered = {"p0": ("paragraph", 1), "p1": ("paragraph", 2), "p2": ("paragraph", 3), "p3": ("paragraph", 4), "t0": ("table", 1), "t1": ("table", 2)}
+    assert got == {(doc, u): n for doc in ("a", "b") for u, n in numbered.items()}
