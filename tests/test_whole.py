@@ -33,3 +33,9 @@ def test_block_ordinals_run_through_the_document(run, monkeypatch):
     got = {(r["document_id"], r["unit_id"]): (r["kind"], r["ordinal"]) for r in run("block_ordinals", "document_units", data, UNITS)}
     numbered = {"p0": ("paragraph", 1), "p1": ("paragraph", 2), "p2": ("paragraph", 3), "p3": ("paragraph", 4), "t0": ("table", 1), "t1": ("table", 2)}
     assert got == {(doc, u): n for doc in ("a", "b") for u, n in numbered.items()}
+
+
+def test_ordered_distinct_reads_the_whole_text(run):
+    texts = ["a b a  c", "", " ".join(f"w{i % 300}" for i in range(900)), "x" * 199 + "yz tail", None]
+    got = {r["doc_id"]: r["words"] for r in run("ordered_distinct", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    assert got == {i: " ".join(dict.fromkeys(t.split(" "))) for i, t in enumerate(texts) if t is not None}
