@@ -155,6 +155,37 @@ def variables_table(df: DataFrame) -> DataFrame:
     return _flatten(df, schema, make)
 
 
+def provenance_table(df: DataFrame) -> DataFrame:
+    """One row per unit whose formula.provenance holds a value: document_id, unit_id, then its fields."""
+    fields = _unit_struct(df)["formula"].dataType["provenance"].dataType.fields
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in ("document_id", "unit_id")], *[T.StructField(f.name, f.dataType) for f in fields]])
+
+    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids, structs = _units(batch)
+        parts = _fields(structs)
+        provenance = _fields(parts["formula"])["provenance"]
+        keep = pa.array(np.flatnonzero(holds_value(provenance)))
+        return _fields(provenance.take(keep)) | {"document_id": ids.take(keep), "unit_id": parts["unit_id"].take(keep)}
+
+    return _flatten(df, schema, make)
+
+
+def warnings_table(df: DataFrame) -> DataFrame:
+    """One row per element of formula.warnings, also a null one: document_id, unit_id, position (from 0), warning."""
+    schema = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("unit_id", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("warning", T.StringType())])
+
+    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids, structs = _units(batch)
+        parts = _fields(structs)
+        warnings = _fields(parts["formula"])["warnings"]
+        index, parents = _explode(warnings)
+        of = pa.array(parents)
+        position = index - _lengths(warnings)[0][parents]
+        return {"document_id": ids.take(of), "unit_id": parts["unit_id"].take(of), "position": pa.array(position), "warning": _child_values(warnings).take(pa.array(index))}
+
+    return _flatten(df, schema, make)
+
+
 def child_keys(df: DataFrame) -> DataFrame:
     """Which child rows each unit has: document_id, unit_id, child_table, child_key ('' but for variables).
 
@@ -190,4 +221,4 @@ def documents_table(df: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["CHILD_OBJECTS", "child_keys", "child_table", "documents_table", "holds_value", "pc", "units_table", "variables_table"]
+__all__ = ["CHILD_OBJECTS", "child_keys", "child_table", "documents_table", "holds_value", "pc", "provenance_table", "units_table", "variables_table", "warnings_table"]

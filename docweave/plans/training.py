@@ -37,6 +37,14 @@ def p1_variables(spark: SparkSession, d: str) -> DataFrame:
     return nested.variables_table(_packages(spark, d))
 
 
+def p1_provenance(spark: SparkSession, d: str) -> DataFrame:
+    return nested.provenance_table(_packages(spark, d))
+
+
+def p1_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return nested.warnings_table(_packages(spark, d))
+
+
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return nested.documents_table(table(spark, d, "packages"))
 
@@ -60,11 +68,12 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("scope").alias("document_id"), F.col("ancestor").alias("unit_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_source_refs, p1_formulas, p1_cells, p1_variables, p1_documents, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_source_refs, p1_formulas, p1_cells, p1_variables, p1_provenance, p1_warnings, p1_documents, p5_found, p5_paths, p5_descendants)}
 
 _U = "(SELECT document_id, u FROM (SELECT document_id, unnest(units) AS u FROM packages) WHERE u IS NOT NULL)"
 _SREF = "(u.source_ref.document_id IS NOT NULL OR u.source_ref.page IS NOT NULL OR len(u.source_ref.bbox) > 0 OR u.source_ref.docx_path IS NOT NULL OR u.source_ref.coordinate_system IS NOT NULL OR u.source_ref.page_width IS NOT NULL OR u.source_ref.page_height IS NOT NULL)"
 _FORMULA = "(u.formula.source_format IS NOT NULL OR u.formula.linear_text IS NOT NULL OR u.formula.display_latex IS NOT NULL OR u.formula.calc_expr IS NOT NULL OR cardinality(u.formula.variables) > 0 OR u.formula.provenance.parser_path IS NOT NULL OR u.formula.provenance.normalization IS NOT NULL OR u.formula.provenance.confidence_basis IS NOT NULL OR u.formula.confidence IS NOT NULL OR len(u.formula.warnings) > 0)"
+_PROVENANCE = "(u.formula.provenance.parser_path IS NOT NULL OR u.formula.provenance.normalization IS NOT NULL OR u.formula.provenance.confidence_basis IS NOT NULL)"
 _CELL_FIELDS = ("worksheet", "address", "row_no", "col_no", "value", "value_type", "formula", "data_type", "number_format", "hyperlink")
 _CELL = "(" + " OR ".join(f"u.cell.{f} IS NOT NULL" for f in _CELL_FIELDS) + ")"
 
@@ -83,6 +92,8 @@ UNION ALL SELECT DISTINCT document_id, unit_id, 'variable', k FROM (SELECT docum
     "p1_formulas": f"SELECT document_id, u.unit_id AS unit_id, u.formula.source_format AS source_format, u.formula.linear_text AS linear_text, u.formula.display_latex AS display_latex, u.formula.calc_expr AS calc_expr, u.formula.confidence AS confidence, CASE WHEN u.formula.warnings IS NULL THEN NULL ELSE CAST(len(u.formula.warnings) AS INTEGER) END AS n_warnings FROM {_U} WHERE {_FORMULA}",
     "p1_cells": f"SELECT document_id, u.unit_id AS unit_id, {', '.join(f'u.cell.{f} AS {f}' for f in _CELL_FIELDS)} FROM {_U} WHERE {_CELL}",
     "p1_variables": f"SELECT document_id, unit_id, e.key AS variable, e.value AS value FROM (SELECT document_id, u.unit_id AS unit_id, unnest(map_entries(u.formula.variables)) AS e FROM {_U})",
+    "p1_provenance": f"SELECT document_id, u.unit_id AS unit_id, u.formula.provenance.parser_path AS parser_path, u.formula.provenance.normalization AS normalization, u.formula.provenance.confidence_basis AS confidence_basis FROM {_U} WHERE {_PROVENANCE}",
+    "p1_warnings": f"SELECT document_id, unit_id, (i - 1)::INT AS position, w[i] AS warning FROM (SELECT document_id, u.unit_id AS unit_id, u.formula.warnings AS w, unnest(range(1, len(u.formula.warnings) + 1)) AS i FROM {_U})",
     "p1_documents": "SELECT schema_version, document_id, source.original_path AS original_path, source.relative_input_path AS relative_input_path, source.filename AS filename, source.format AS format, source.sha256 AS sha256, source.size_bytes AS size_bytes, processing.route AS route, processing.status AS status, processing.ocr_applied AS ocr_applied, metadata.title AS title, metadata.document_type AS document_type, CAST(coalesce(len(units), 0) AS INTEGER) AS n_units, CAST(coalesce(len(assets), 0) AS INTEGER) AS n_assets, run_id, received_at FROM packages",
     "p5_paths": f"WITH {_TREE} SELECT l.document_id, l.unit_id, w.root_id, w.depth, w.path FROM l LEFT JOIN w ON w.document_id = l.document_id AND w.unit_id = l.unit_id",
     "p5_found": f"""WITH {_TREE}, stuck AS (SELECT l.document_id, l.unit_id, l.parent_id FROM l WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.document_id = l.document_id AND w.unit_id = l.unit_id)),

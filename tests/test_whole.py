@@ -39,3 +39,19 @@ def test_ordered_distinct_reads_the_whole_text(run):
     texts = ["a b a  c", "", " ".join(f"w{i % 300}" for i in range(900)), "x" * 199 + "yz tail", None]
     got = {r["doc_id"]: r["words"] for r in run("ordered_distinct", "documents", list(enumerate(texts)), "doc_id long, text string")}
     assert got == {i: " ".join(dict.fromkeys(t.split(" "))) for i, t in enumerate(texts) if t is not None}
+
+
+def test_provenance_and_warnings_of_formulas_are_kept(run):
+    schema = """document_id string, units array<struct<unit_id:string, formula:struct<linear_text:string,
+    provenance:struct<parser_path:string, normalization:string, confidence_basis:string>, warnings:array<string>>>>"""
+    units = [("u1", (None, ("omml", None, None), None)), ("u2", ("x", None, ["w", None, "w"])), None, ("u3", ("y", (None, None, None), [])), ("u4", None), ("u5", (None, (None, "", "rule"), ["v"]))]
+    data = [("a", units), ("b", None), ("c", units[:1])]
+    rows = sorted(tuple(r.values()) for r in run("p1_provenance", "packages", data, schema))
+    assert [r[:2] for r in rows] == [("a", "u1"), ("a", "u5"), ("c", "u1")] and rows[0][2:] == ("omml", None, None) and rows[1][2:] == (None, "", "rule")
+
+
+def test_warnings_of_formulas_are_rows(run):
+    schema = "document_id string, units array<struct<unit_id:string, formula:struct<linear_text:string, warnings:array<string>>>>"
+    data = [("a", [("u0", None), ("u1", ("x", ["w", None, "w"])), ("u2", ("y", []))]), ("b", [None, ("u1", (None, ["v"]))])]
+    got = {(r["document_id"], r["unit_id"], r["position"]): r["warning"] for r in run("p1_warnings", "packages", data, schema)}
+    assert got == {("a", "u1", 0): "w", ("a", "u1", 1): None, ("a", "u1", 2): "w", ("b", "u1", 0): "v"}
