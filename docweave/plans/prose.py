@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
@@ -117,12 +119,46 @@ def block_normalize(spark, d):
 _KINDS = (("order", "приказ|order|anordnung"), ("method", "методик|method"), ("letter", "письмо|letter|schreiben"), ("protocol", "протокол|minutes|protokoll"), ("report", "отч[её]т|report|bericht"), ("instruction", "инструкци|instruction|anweisung"), ("prices", "расценк|сборник|price|preis"))
 
 
+#: The reference's labels, in its order (document_metadata.py:11-30).
+_ALONE = "(?<![A-Za-zА-Яа-яЁё]){}(?![A-Za-zА-Яа-яЁё])"
+_LABELS = (
+    ("федеральный закон", r"\bфедеральн(?:ый|ого)\s+закон\b"), ("технический регламент", r"\bтехническ(?:ий|ого)\s+регламент\b"), ("постановление", r"\bпостановлени[ея]\b"),
+    ("распоряжение", r"\bраспоряжени[ея]\b"), ("приказ", r"\bприказ\b"), ("письмо", r"\bписьмо\b"), ("указ", r"\bуказ\b"), ("решение", r"\bрешени[ея]\b"), ("регламент", r"\bрегламент\b"),
+    ("свод правил", r"\bсвод\s+правил\b|" + _ALONE.format("сп")), ("гост", _ALONE.format("гост")), ("санпин", _ALONE.format("санпин")), ("закон", r"\bзакон\b"), ("кодекс", r"\bкодекс\b"),
+    ("методические указания", r"\bметодическ(?:ие|их)\s+указан"), ("методические рекомендации", r"\bметодическ(?:ие|их)\s+рекомендац"), ("методическое пособие", r"\bметодическ(?:ое|ого)\s+пособи[ея]\b"), ("методика", r"\bметодик[аиуе]?\b"),
+)
+_STOPS = r"(?iuU)^(в\s+соответствии\b|приказываю\b|постановляет\b|постановляю\b|утвердить\b|1[.)]\s+)"
+
+
+def _classified(patterns: tuple, text: Column, before: str = "") -> Column:
+    """The first label whose pattern is found, else null."""
+    return F.coalesce(*[F.when(text.rlike(f"(?iuU){before}({p})"), k) for k, p in patterns])
+
+
+def _titled(docs: DataFrame) -> DataFrame:
+    """With the first 30 lines (head) and the reference's title lines (l): from two before the first of these that names a type, up to ten or a stop line."""
+    any_type = "(?iuU)(" + "|".join(p for _, p in (*_LABELS, *_KINDS)) + ")"
+    t = docs.withColumn("l", tx.lines(F.col("text")))
+    t = t.withColumn("l", F.slice(F.filter("l", lambda x, i: (i == 0) | (x != F.get("l", i - 1))), 1, 44)).withColumn("head", F.slice("l", 1, 30))
+    at = F.array_position(F.transform("head", lambda x: x.rlike(any_type)), F.lit(True))
+    t = t.withColumn("l", F.slice("l", F.greatest(at - 2, F.lit(1)).cast("int"), F.lit(14)))
+    stop = F.array_position(F.transform("l", lambda x, i: (i > 0) & x.rlike(_STOPS)), F.lit(True))
+    return t.withColumn("l", F.slice("l", F.lit(1), F.when(stop > 0, F.least(stop - 1, F.lit(10))).otherwise(10).cast("int")))
+
+
+def _typed(patterns: tuple, exact: Callable[[Column], Column]) -> Column:
+    first = F.get(F.array_compact(F.transform("l", exact)), F.lit(0))
+    return F.coalesce(first, _classified(patterns, F.array_join("l", "\n")), _classified(patterns, F.substring("text", 1, 1000)), F.lit("unknown"))
+
+
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(substr(text, 1, 60), '({p})', 'i') THEN '{k}'" for k, p in _KINDS) + " ELSE 'unknown' END AS kind FROM documents WHERE text IS NOT NULL")
 def document_type(spark, d):
-    head, kind = F.substring("text", 1, 60), F.lit("unknown")
-    for k, p in reversed(_KINDS):
-        kind = F.when(head.rlike(f"(?iu)({p})"), k).otherwise(kind)
-    return _docs(spark, d).select("doc_id", kind.alias("kind"))
+    """kind: the engine's own kinds, in three languages; label: the 18 labels of the reference. Both by its rules: a title
+    line that starts with the label, else the first label found in the title lines, else in the first 1000 characters."""
+    t = _titled(_docs(spark, d))
+    kind = _typed(_KINDS, lambda x: _classified(_KINDS, x, "^"))
+    label = _typed(_LABELS, lambda x: F.nullif(F.regexp_extract(F.trim(F.lower(x), F.lit(" .,:;№n")), f"^({'|'.join(k for k, _ in _LABELS)})( |$)", 1), F.lit("")))
+    return t.select("doc_id", kind.alias("kind"), label.alias("label"))
 
 
 @query(f"SELECT doc_id, arg_min(line, line_no) AS title FROM {_L} WHERE length(trim(line)) > 3 GROUP BY 1")
@@ -145,8 +181,9 @@ def metadata_lines(spark, d):
 
 @query("SELECT doc_id, nullif(regexp_extract(text, '№ *([0-9]+(-[0-9]+)?)', 1), '') AS number, try_strptime(nullif(regexp_extract(substr(text, 1, 80), '([0-9]{2}\\.[0-9]{2}\\.[0-9]{4})', 1), ''), '%d.%m.%Y')::DATE AS dated FROM documents WHERE text IS NOT NULL")
 def header_type(spark, d):
-    dated = F.regexp_extract(F.substring("text", 1, 80), r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1)
-    return _docs(spark, d).select("doc_id", F.nullif(F.regexp_extract("text", "№ *([0-9]+(-[0-9]+)?)", 1), F.lit("")).alias("number"), F.try_to_timestamp(F.nullif(dated, F.lit("")), F.lit("dd.MM.yyyy")).cast("date").alias("dated"))
+    """The date is sought in the first 30 lines, the number in the whole text."""
+    dated = F.regexp_extract(F.array_join("head", "\n"), r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1)
+    return _titled(_docs(spark, d)).select("doc_id", F.nullif(F.regexp_extract("text", "№ *([0-9]+(-[0-9]+)?)", 1), F.lit("")).alias("number"), F.try_to_timestamp(F.nullif(dated, F.lit("")), F.lit("dd.MM.yyyy")).cast("date").alias("dated"))
 
 
 @query("SELECT doc_id, CASE WHEN document_type IS NOT NULL AND act_series IS NOT NULL THEN 'high' WHEN document_type IS NOT NULL OR source IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM documents")

@@ -55,3 +55,20 @@ def test_warnings_of_formulas_are_rows(run):
     data = [("a", [("u0", None), ("u1", ("x", ["w", None, "w"])), ("u2", ("y", []))]), ("b", [None, ("u1", (None, ["v"]))])]
     got = {(r["document_id"], r["unit_id"], r["position"]): r["warning"] for r in run("p1_warnings", "packages", data, schema)}
     assert got == {("a", "u1", 0): "w", ("a", "u1", 1): None, ("a", "u1", 2): "w", ("b", "u1", 0): "v"}
+
+
+def test_types_and_dates_are_sought_in_lines(run):
+    far = "x" * 90
+    texts = [f"{far}\nФЕДЕРАЛЬНЫЙ   ЗАКОН\nо связи", f"{far}\nметодика\nПисьмо № 5 от 01.02.2013", "Министерство\nСП 5", "Спор\nуказы", "\n".join([f"{far}{i}" for i in range(31)] + ["Приказ 03.04.2015"]), f"{far}\nOrder 7 of 05.06.2014", "утро\n1. приказ", ""]
+    got = {r["doc_id"]: (r["kind"], r["label"]) for r in run("document_type", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    assert got == {
+        0: ("unknown", "федеральный закон"), 1: ("method", "методика"), 2: ("unknown", "свод правил"), 3: ("unknown", "unknown"), 4: ("unknown", "unknown"), 5: ("order", "unknown"),
+        6: ("order", "приказ"), 7: ("unknown", "unknown"),
+    }
+
+
+def test_dates_are_sought_in_lines(run):
+    far = "x" * 90
+    texts = [f"{far}\nПисьмо № 5 от 01.02.2013", "\n".join([f"{far}{i}" for i in range(31)] + ["Приказ 03.04.2015"]), f"05.06.2014\n{far}\nnote\nOrder 01.01.2001"]
+    got = {r["doc_id"]: (r["number"], r["dated"] and str(r["dated"])) for r in run("header_type", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    assert got == {0: ("5", "2013-02-01"), 1: (None, None), 2: (None, "2014-06-05")}
