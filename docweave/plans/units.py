@@ -231,9 +231,13 @@ def cell_payload(spark, d):
 
 @query("SELECT DISTINCT document_id, unit_id, try_cast(replace(trim(cell.value), ',', '.') AS DOUBLE) AS number, CASE WHEN cell.value IS NULL OR trim(cell.value) = '' THEN 'empty' WHEN try_cast(replace(trim(cell.value), ',', '.') AS DOUBLE) IS NULL THEN 'not_a_number' ELSE 'ok' END AS outcome FROM document_units WHERE cell.address IS NOT NULL AND regexp_matches(coalesce(cell.value, '0'), '^[-+0-9., ]*$|[A-Za-zА-я]{3}')")
 def numeric_coerce(spark, d):
-    number = F.replace(F.trim("cell.value"), F.lit(","), F.lit(".")).try_cast("double")
-    outcome = F.when(F.col("cell.value").isNull() | (F.trim("cell.value") == ""), "empty").when(number.isNull(), "not_a_number").otherwise("ok")
-    return table(spark, d, "document_units", "document_id", "unit_id", "cell").where("cell.address is not null").where(F.coalesce("cell.value", F.lit("0")).rlike("^[-+0-9., ]*$|[A-Za-zА-я]{3}")).select("document_id", "unit_id", number.alias("number"), outcome.alias("outcome")).distinct()
+    """Every addressed cell gets a row. Numbers are what Python's float() takes, so '1d' and '0x1p3' are none."""
+    value = F.replace(F.regexp_replace("cell.value", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(","), F.lit("."))
+    digits = "[0-9](_?[0-9])*"
+    plain = value.rlike(rf"(?i)^[-+]?(({digits}(\.({digits})?)?|\.{digits})(e[-+]?{digits})?|inf|infinity)$")
+    number = F.when(plain, F.replace(value, F.lit("_"), F.lit("")).try_cast("double")).when(value.rlike("(?i)^[-+]?nan$"), F.lit(float("nan")))
+    outcome = F.when(F.col("cell.value").isNull() | (value == ""), "empty").when(number.isNull(), "not_a_number").otherwise("ok")
+    return table(spark, d, "document_units", "document_id", "unit_id", "cell").where("cell.address is not null").select("document_id", "unit_id", number.alias("number"), outcome.alias("outcome")).distinct()
 
 
 @query("SELECT document_id, unit_id, flag FROM (SELECT DISTINCT document_id, unit_id, unnest(quality.flags) AS flag FROM document_units) WHERE flag IS NOT NULL")

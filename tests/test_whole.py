@@ -72,3 +72,19 @@ def test_dates_are_sought_in_lines(run):
     texts = [f"{far}\nПисьмо № 5 от 01.02.2013", "\n".join([f"{far}{i}" for i in range(31)] + ["Приказ 03.04.2015"]), f"05.06.2014\n{far}\nnote\nOrder 01.01.2001"]
     got = {r["doc_id"]: (r["number"], r["dated"] and str(r["dated"])) for r in run("header_type", "documents", list(enumerate(texts)), "doc_id long, text string")}
     assert got == {0: ("5", "2013-02-01"), 1: (None, None), 2: (None, "2014-06-05")}
+
+
+def test_every_addressed_cell_has_an_outcome(run):
+    values = ["5%", "1e5", "12 м", "??????", "1,5", "\t7\u00a0", "1d", "0x1p3", "1_000", "-inf", ".5", "5.", "1__0", "\n", "", None, "1 000", "TRUE", "Óñò"]
+    schema = "document_id string, unit_id string, cell struct<address:string, value:string>"
+    got = {int(r["unit_id"]): (r["number"], r["outcome"]) for r in run("numeric_coerce", "document_units", [("d", str(i), ("A1", v)) for i, v in enumerate(values)] + [("d", "99", (None, "1"))], schema)}
+
+    def want(v):
+        if v is None or not v.strip():
+            return None, "empty"
+        try:
+            return float(v.strip().replace(",", ".")), "ok"
+        except ValueError:
+            return None, "not_a_number"
+
+    assert got == {i: want(v) for i, v in enumerate(values)}
