@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.batches import chunks
@@ -185,13 +185,28 @@ def _usual(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
+def _label() -> Column:
+    return (F.col("n_copied") * SHARE[1] >= F.col("n_words") * SHARE[0]) & (F.col("n_words") > 0)
+
+
+def _lowest(measured: DataFrame, forest: IsolationForest) -> float | None:
+    """The lowest score over all labelled rows, not only the sampled ones; null if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = np.column_stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS])
+                yield pa.RecordBatch.from_arrays([pa.array([float(forest.score(rows).min())])], ["low"])
+
+    return measured.where(_label()).select(*STATISTICS).mapInArrow(run, "low double").agg(F.min("low")).first()[0]
+
+
 def _sample(measured: DataFrame, key: str, rows: int) -> np.ndarray:
     """At most ``rows`` rows of statistics and the label; chosen by a seeded hash, without order or shuffle of the rest."""
     total = measured.count()
     share = min(1.0, rows / max(total, 1))
     draw = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    label = (F.col("n_copied") * SHARE[1] >= F.col("n_words") * SHARE[0]) & (F.col("n_words") > 0)
-    picked = measured.where(draw <= share).select(*STATISTICS, label.cast("double").alias("label")).limit(rows + rows // 10).toPandas()
+    picked = measured.where(draw <= share).select(*STATISTICS, _label().cast("double").alias("label")).limit(rows + rows // 10).toPandas()
     return picked.to_numpy(dtype=float)
 
 
@@ -199,12 +214,12 @@ def detect(documents: DataFrame, key: str = "doc_id", text: str = "text", sample
     """key, share, score, candidate (passed by the forest) and found (also by the exact rule) of every row."""
     measured = cut_lineage(measure(documents, key, text))
     sample = _sample(measured, key, sample_rows)
-    labelled = sample[:, -1] > 0 if len(sample) else np.zeros(0, dtype=bool)
-    if len(sample) < 2 or not labelled.any():  # nothing to calibrate on: every row is looked at exactly
+    forest = IsolationForest(sample[:, :-1]) if len(sample) >= 2 else None
+    low = _lowest(measured, forest) if forest else None
+    if low is None:  # nothing to calibrate on: every row is looked at exactly
         forest, threshold = None, 0.0
     else:
-        forest = IsolationForest(sample[:, :-1])
-        threshold = float(forest.score(sample[labelled, :-1]).min()) - MARGIN
+        threshold = low - MARGIN
     schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, share double, score double, candidate boolean, found boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
