@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,7 +120,7 @@ def block_normalize(spark, d):
 _KINDS = (("order", "приказ|order|anordnung"), ("method", "методик|method"), ("letter", "письмо|letter|schreiben"), ("protocol", "протокол|minutes|protokoll"), ("report", "отч[её]т|report|bericht"), ("instruction", "инструкци|instruction|anweisung"), ("prices", "расценк|сборник|price|preis"))
 
 
-#: The reference's labels, in its order (document_metadata.py:11-30).
+# Kinds of act in the order in which they are tried, and openings of a body that end a title.
 _ALONE = "(?<![A-Za-zА-Яа-яЁё]){}(?![A-Za-zА-Яа-яЁё])"
 _LABELS = (
     ("федеральный закон", r"\bфедеральн(?:ый|ого)\s+закон\b"), ("технический регламент", r"\bтехническ(?:ий|ого)\s+регламент\b"), ("постановление", r"\bпостановлени[ея]\b"),
@@ -136,7 +137,7 @@ def _classified(patterns: tuple, text: Column, before: str = "") -> Column:
 
 
 def _titled(docs: DataFrame) -> DataFrame:
-    """With the first 30 lines (head) and the reference's title lines (l): from two before the first of these that names a type, up to ten or a stop line."""
+    """With the first 30 lines (head) and the title lines (l): from two before the first of these that names a type, up to ten or a stop line."""
     any_type = "(?iuU)(" + "|".join(p for _, p in (*_LABELS, *_KINDS)) + ")"
     t = docs.withColumn("l", tx.lines(F.col("text")))
     t = t.withColumn("l", F.slice(F.filter("l", lambda x, i: (i == 0) | (x != F.get("l", i - 1))), 1, 44)).withColumn("head", F.slice("l", 1, 30))
@@ -151,13 +152,39 @@ def _typed(patterns: tuple, exact: Callable[[Column], Column]) -> Column:
     return F.coalesce(first, _classified(patterns, F.array_join("l", "\n")), _classified(patterns, F.substring("text", 1, 1000)), F.lit("unknown"))
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(substr(text, 1, 60), '({p})', 'i') THEN '{k}'" for k, p in _KINDS) + " ELSE 'unknown' END AS kind FROM documents WHERE text IS NOT NULL")
+_EDGE = {"(?<![A-Za-zА-Яа-яЁё])": "(?:^|[^A-Za-zА-Яа-яЁё])", "(?![A-Za-zА-Яа-яЁё])": "(?:$|[^A-Za-zА-Яа-яЁё])", r"\s": r"[\s\x0B\p{Z}]"}
+
+
+def _re2(pattern: str) -> str:
+    """The pattern for DuckDB, which knows no look-around and only ASCII word boundaries."""
+    for java, re2 in _EDGE.items():
+        pattern = pattern.replace(java, re2)
+    return re.sub(r"\\b(?=[\w(]|$)(?!\)|$)", r"(?:^|[^\\p{L}\\p{N}_])", pattern).replace("\\b", r"(?:$|[^\p{L}\p{N}_])")
+
+
+def _first_sql(patterns: tuple, text: str, before: str = "") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{before}({_re2(p)})', 'i') THEN '{k}'" for k, p in patterns) + " END"
+
+
+_ANY_TYPE = "|".join(p for _, p in (*_LABELS, *_KINDS))
+_SQUEEZED = _SQUEEZE.format("x")
+_TITLED = f"""l0 AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\f]'), lambda x: {_SQUEEZED}), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+l1 AS (SELECT doc_id, text, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1])[1:44] AS l FROM l0),
+l2 AS (SELECT *, l[1:30] AS head, greatest(coalesce(list_position(list_transform(l[1:30], lambda x: regexp_matches(x, '{_re2(_ANY_TYPE)}', 'i')), true), 0) - 2, 1) AS lo FROM l1),
+l3 AS (SELECT doc_id, text, head, l[lo:lo + 13] AS l FROM l2),
+t AS (SELECT doc_id, text, head, l[1:coalesce(least(nullif(list_position(list_transform(l, lambda x, i: i > 1 AND regexp_matches(x, '{_re2(_STOPS[6:])}', 'i')), true), 0) - 1, 10), 10)] AS l FROM l3)"""
+_LABEL_NAMES = "|".join(k for k, _ in _LABELS)
+
+
+@query(f"""WITH {_TITLED}, k AS (SELECT doc_id, list_filter(list_transform(l, lambda x: {_first_sql(_KINDS, 'x', '^')}), lambda x: x IS NOT NULL)[1] AS kind1,
+list_filter(list_transform(l, lambda x: nullif(regexp_extract(trim(lower(x), ' .,:;№n'), '^({_LABEL_NAMES})( |$)', 1), '')), lambda x: x IS NOT NULL)[1] AS label1, array_to_string(l, chr(10)) AS joined, substr(text, 1, 1000) AS front FROM t)
+SELECT doc_id, coalesce(kind1, {_first_sql(_KINDS, 'joined')}, {_first_sql(_KINDS, 'front')}, 'unknown') AS kind, coalesce(label1, {_first_sql(_LABELS, 'joined')}, {_first_sql(_LABELS, 'front')}, 'unknown') AS label FROM k""")
 def document_type(spark, d):
-    """kind: the engine's own kinds, in three languages; label: the 18 labels of the reference. Both by its rules: a title
+    """kind: in three languages; label: kinds of act by their Russian names. Both by the same rules: a title
     line that starts with the label, else the first label found in the title lines, else in the first 1000 characters."""
     t = _titled(_docs(spark, d))
     kind = _typed(_KINDS, lambda x: _classified(_KINDS, x, "^"))
-    label = _typed(_LABELS, lambda x: F.nullif(F.regexp_extract(F.trim(F.lower(x), F.lit(" .,:;№n")), f"^({'|'.join(k for k, _ in _LABELS)})( |$)", 1), F.lit("")))
+    label = _typed(_LABELS, lambda x: F.nullif(F.regexp_extract(F.trim(F.lower(x), F.lit(" .,:;№n")), f"^({_LABEL_NAMES})( |$)", 1), F.lit("")))
     return t.select("doc_id", kind.alias("kind"), label.alias("label"))
 
 
@@ -179,7 +206,7 @@ def metadata_lines(spark, d):
     return s.withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("not (before <=> line)").drop("before")
 
 
-@query("SELECT doc_id, nullif(regexp_extract(text, '№ *([0-9]+(-[0-9]+)?)', 1), '') AS number, try_strptime(nullif(regexp_extract(substr(text, 1, 80), '([0-9]{2}\\.[0-9]{2}\\.[0-9]{4})', 1), ''), '%d.%m.%Y')::DATE AS dated FROM documents WHERE text IS NOT NULL")
+@query(f"WITH {_TITLED} SELECT doc_id, nullif(regexp_extract(text, '№ *([0-9]+(-[0-9]+)?)', 1), '') AS number, try_strptime(nullif(regexp_extract(array_to_string(head, chr(10)), '([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}})', 1), ''), '%d.%m.%Y')::DATE AS dated FROM t")
 def header_type(spark, d):
     """The date is sought in the first 30 lines, the number in the whole text."""
     dated = F.regexp_extract(F.array_join("head", "\n"), r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1)
@@ -232,7 +259,7 @@ def top_n_per_group(spark, d):
     return table(spark, d, "events", "event_id", "event_type", "value").withColumn("r", F.row_number().over(w)).where("r <= 3").select("event_type", "event_id", "value")
 
 
-@query("SELECT doc_id, array_to_string(list_distinct_in_order, ' ') AS words FROM (SELECT doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]) AS list_distinct_in_order FROM (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w FROM documents WHERE text IS NOT NULL))")
+@query("SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS words FROM (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2) GROUP BY 1")
 def ordered_distinct(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 

@@ -64,7 +64,7 @@ def reading_order(spark, d):
     return u.select("document_id", "unit_id", (F.col("n") - 1).alias("reading_order"))
 
 
-@query(f"SELECT document_id, unit_id, CASE WHEN type LIKE 'table%' THEN 'table' ELSE 'paragraph' END AS kind, row_number() OVER (PARTITION BY document_id, page, type LIKE 'table%' ORDER BY unit_order, unit_id)::INT AS ordinal FROM {_U} WHERE page IS NOT NULL AND type IN ('paragraph', 'table', 'table_row', 'table_cell')")
+@query(f"SELECT document_id, unit_id, CASE WHEN type LIKE 'table%' THEN 'table' ELSE 'paragraph' END AS kind, row_number() OVER (PARTITION BY document_id, type LIKE 'table%' ORDER BY unit_order, unit_id)::INT AS ordinal FROM (SELECT DISTINCT document_id, unit_id, type, unit_order FROM {_U}) WHERE type IN ('paragraph', 'table', 'table_row', 'table_cell')")
 def block_ordinals(spark, d):
     """Numbered through the whole document, also where units have no page."""
     u = _units(spark, d, "document_id", "unit_id", "type", "unit_order").where("type in ('paragraph', 'table', 'table_row', 'table_cell')").withColumn("kind", F.when(F.col("type").startswith("table"), "table").otherwise("paragraph"))
@@ -91,7 +91,7 @@ def order_drift(spark, d):
     return ordered.previous(u, "document_id", ["place", "unit_id"], F.col("unit_order"), "before").where("before >= unit_order").groupBy("document_id").agg(F.count("*").alias("drifted"))
 
 
-@query(f"SELECT document_id, page, string_agg(text, chr(10) || chr(10) ORDER BY unit_order, unit_id) AS search_text FROM {_U} WHERE type NOT IN ('header', 'footer') AND text <> '' AND page IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT document_id, page, CASE WHEN page IS NULL THEN unit_order // 4096 ELSE 0 END AS stretch, string_agg(text, chr(10) || chr(10) ORDER BY unit_order, unit_id) AS search_text FROM (SELECT DISTINCT document_id, unit_id, type, unit_order, text, page FROM {_U}) WHERE type NOT IN ('header', 'footer') AND text <> '' GROUP BY 1, 2, 3")
 def search_text(spark, d):
     """Per page, and per stretch of the order where units have no page: a document of any size is never put together in one row."""
     u = _units(spark, d, "document_id", "unit_id", "type", "unit_order", "text", _PAGE).where("type not in ('header', 'footer') and text <> ''")
@@ -229,12 +229,16 @@ def cell_payload(spark, d):
     return table(spark, d, "document_units", "document_id", "unit_id", "cell").where("cell.address is not null").select("document_id", "unit_id", c("address").alias("address"), c("value_type").alias("value_type"), shown.alias("search_text"), F.coalesce(c("value"), c("formula"), c("hyperlink")).isNotNull().alias("has_content")).distinct()
 
 
-@query("SELECT DISTINCT document_id, unit_id, try_cast(replace(trim(cell.value), ',', '.') AS DOUBLE) AS number, CASE WHEN cell.value IS NULL OR trim(cell.value) = '' THEN 'empty' WHEN try_cast(replace(trim(cell.value), ',', '.') AS DOUBLE) IS NULL THEN 'not_a_number' ELSE 'ok' END AS outcome FROM document_units WHERE cell.address IS NOT NULL AND regexp_matches(coalesce(cell.value, '0'), '^[-+0-9., ]*$|[A-Za-zА-я]{3}')")
+_NUMBER = r"^[-+]?(([0-9](_?[0-9])*(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)(e[-+]?[0-9](_?[0-9])*)?|inf|infinity)$"
+
+
+@query(rf"""WITH v AS (SELECT DISTINCT document_id, unit_id, cell.value AS value, replace(regexp_replace(cell.value, '^[\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g'), ',', '.') AS v FROM document_units WHERE cell.address IS NOT NULL),
+n AS (SELECT *, CASE WHEN regexp_matches(v, '{_NUMBER}', 'i') THEN try_cast(replace(ltrim(v, '+'), '_', '') AS DOUBLE) WHEN regexp_matches(v, '^[-+]?nan$', 'i') THEN 'nan'::DOUBLE END AS number FROM v)
+SELECT DISTINCT document_id, unit_id, number, CASE WHEN value IS NULL OR v = '' THEN 'empty' WHEN number IS NULL THEN 'not_a_number' ELSE 'ok' END AS outcome FROM n""")
 def numeric_coerce(spark, d):
     """Every addressed cell gets a row. Numbers are what Python's float() takes, so '1d' and '0x1p3' are none."""
     value = F.replace(F.regexp_replace("cell.value", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(","), F.lit("."))
-    digits = "[0-9](_?[0-9])*"
-    plain = value.rlike(rf"(?i)^[-+]?(({digits}(\.({digits})?)?|\.{digits})(e[-+]?{digits})?|inf|infinity)$")
+    plain = value.rlike("(?i)" + _NUMBER)
     number = F.when(plain, F.replace(value, F.lit("_"), F.lit("")).try_cast("double")).when(value.rlike("(?i)^[-+]?nan$"), F.lit(float("nan")))
     outcome = F.when(F.col("cell.value").isNull() | (value == ""), "empty").when(number.isNull(), "not_a_number").otherwise("ok")
     return table(spark, d, "document_units", "document_id", "unit_id", "cell").where("cell.address is not null").select("document_id", "unit_id", number.alias("number"), outcome.alias("outcome")).distinct()
