@@ -54,7 +54,7 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = hierarchy.faults(hierarchy.resolve(_tree(spark, d), paths=False))
+    found = hierarchy.faults(_tree(spark, d))
     return found.select(F.col("scope").alias("document_id"), F.col("node").alias("unit_id"), "fault")
 
 

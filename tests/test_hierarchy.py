@@ -34,7 +34,7 @@ def test_random_forests_with_cycles(spark):
         parents = {n: rng.choice([None, "gone", *names]) for n in names}
         want = brute(parents)
         got = {r.node: r for r in hierarchy.resolve(hierarchy.nodes(rows(spark, parents))).collect()}
-        faults = {r.node: r.fault for r in hierarchy.faults(hierarchy.resolve(hierarchy.nodes(rows(spark, parents)), paths=False)).collect()}
+        faults = {r.node: r.fault for r in hierarchy.faults(hierarchy.nodes(rows(spark, parents))).collect()}
         assert set(got) == set(parents)
         for n, (root, depth, fault) in want.items():
             assert (got[n].root, got[n].depth) == (root, depth)
@@ -54,5 +54,6 @@ def test_deep_chain_nulls_repeats_and_clashing_columns(spark):
 def test_empty_and_descendants(spark):
     empty = rows(spark, {"a": None}).limit(0)
     assert hierarchy.resolve(hierarchy.nodes(empty)).count() == 0
+    assert hierarchy.faults(hierarchy.nodes(empty)).count() == 0
     pairs = hierarchy.descendants(hierarchy.resolve(hierarchy.nodes(rows(spark, {"a": None, "b": "a", "c": "b"}))))
     assert {(r.ancestor, r.descendant, r.distance) for r in pairs.collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
