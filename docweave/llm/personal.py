@@ -1,13 +1,17 @@
 """Personal information inside free text.
 
 Regular expressions propose spans; a proposal's score starts from how telling its form is, rises with words nearby
-that announce such a thing, and is decided by a checksum where the number has one. Spans that score enough are
+that announce such a thing or with a place apart from the sentence, and is raised or lowered by a checksum where the
+number has one: a bare number needs it, a number announced by its own name stands without. Spans that score enough are
 replaced by typed placeholders; where spans overlap the better one stands.
 
+Every rule names what any match of it must hold (its need); rules whose need a text lacks are not tried on it. Needs
+follow from the rules' forms, so they lose nothing.
+
 Defined results
 * null and empty texts stay as they are and hold nothing;
 * the text outside the spans is unchanged, character by character;
-* any white space, also a line end, may stand where a plain space would;
+* any white space, also a line end or a no-break space, may stand where a plain space would;
 * rows delivered twice give equal rows.
 """
 
@@ -60,11 +64,18 @@ class Rule:
     kind: str
     form: re.Pattern
     score: float
-    #: Words that raise the score by one if they stand shortly before the span (or, with after, behind it).
+    #: What every match holds; a key of NEEDS.
+    need: str
+    #: Words that raise the score by the weight if they stand shortly before the span, or behind it.
     context: re.Pattern | None = None
     after: re.Pattern | None = None
+    weight: float = 1.0
     #: Says of the span's letters and digits whether its checksum holds; that adds one, a failure takes half away.
     valid: object = None
+    #: Signs before or behind the span that set it apart; they raise a score that isn't enough by a fifth.
+    apart: tuple[re.Pattern | None, re.Pattern | None] = (None, None)
+    #: Is a span that begins with a word of _NO_NAME no proposal?
+    named: bool = False
 
 
 def _c(pattern: str, flags: int = 0) -> re.Pattern:
@@ -85,7 +96,8 @@ _LAT = r"[A-ZÄÖÜ][a-zäöüßéè]{2,}(?:-[A-ZÄÖÜ][a-zäöüß]+)?"
 _TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Herrn|Dipl|Ing)\.? )+"
 _SIGNED = _c(r"(?:prepared by|checked:?|returned to|signed by|approved by|geprüft:?|erstellt von|von|исполнитель:?|проверил\(а\)|составил\(а\)|согласования,?|утвердил\(?а?\)?) ?$", re.I)
 _SIGNS = _c(r"^ ?(?:signs the|for comment|zeichnet|подписывает|по замерам)", re.I)
-_END = _c(r"^(?:[.,;)]| ?$)")
+_END = _c(r"^(?:[.,;)]| ?\Z)")
+_OPENING = _c(r"(?:[—–(,:] ?|\) |[.:;] *|\A *)$")
 _HOUSE_RU = r"(?:,? (?:д\.|дом) ?\d+[а-я]?(?:[/-]\d+)?|, \d+[а-я]?(?:[/-]\d+)?)(?:,? (?:корп|стр|к)\.? ?\d+)?(?:,? (?:кв|оф)\.? ?\d+)?"
 _TOWN_RU = rf"(?:(?<!номер )(?<!№ )\d{{6}}, )?(?:(?:г|гор|пос|с|дер|п)\.? ?{_RU}(?: {_RU})?, )?"
 _NAME_RU = rf"{_RU}(?: [а-яё]+| {_RU})?"
@@ -94,88 +106,109 @@ _WAY_EN = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Close|Way|Drive|
 _WAY_DE = r"(?:[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|pfad|platz|allee|gasse|ring|damm|ufer|steig|graben|hof)|(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Hinter der|Alte|Neue) [A-ZÄÖÜ][a-zäöüß]+)"
 
 RULES = (
-    Rule("email", _c(r"(?:<?mailto:)?[\w.+-]*\w ?@ ?\w[\w-]*(?:\.\w[\w-]*)*\.[A-Za-zА-Яа-я]{2,}>?", re.I), 1.0),
-    Rule("email", _c(r"[\w.+-]*\w ?[(\[] ?(?:at|ät|собака) ?[)\]] ?\w[\w-]*(?: ?[(\[] ?(?:dot|punkt|точка) ?[)\]] ?\w[\w-]*)+", re.I), 1.0),
-    Rule("phone", _c(_DIGIT_START + r"\+7[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{2}[ -]?\d{2}" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"8(?:[ -]?\(\d{3}\)[ -]?\d{3}[ -]?\d{2}[ -]?\d{2}|-\d{3}-\d{3}-\d{2}-\d{2}| \d{3} \d{3} \d{2} \d{2})" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(r"(?<![\w)])\(\d{3,5}\) ?\d{2,3}[ -]\d{2}[ -]\d{2}" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"(?:\+|00)(?:[1-69]\d{0,2}|7\d)[ .-]?(?:\(0\) ?)?(?:\(\d{2,5}\)|\d{2,5})(?:[ ./-]?\d{2,8}){1,4}" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(r"(?<![\w)])(?:1[ -])?\(\d{3}\) \d{3}-\d{4}" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"1[-.]\d{3}[-.]\d{3}[-.]\d{4}" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"\d{3}[-.]\d{3}[-.]\d{4}" + _EXT + _DIGIT_END), 0.8, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"555-\d{4}" + _EXT + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"\d{3}-\d{4}" + _EXT + _DIGIT_END), 0.4, _CALL),
-    Rule("phone", _c(r"(?<![\w)])\(0\d{1,4}\) ?\d{4,8}(?:-\d{1,4})?" + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"0\d{1,4}/ ?\d{4,8}(?:-\d{1,4})?" + _DIGIT_END), 1.0, _CALL),
-    Rule("phone", _c(_DIGIT_START + r"0\d{2,4} \d{3} \d{3,5}" + _DIGIT_END), 0.9, _CALL, None),
-    Rule("phone", _c(_DIGIT_START + r"0\d{3,4} \d{6}" + _DIGIT_END), 0.9, _CALL),
-    Rule("identity_number", _c(r"паспорт[а-я]*(?: РФ)?:?(?: серии| серия)? \d{2} ?\d{2},?(?: номер| №| N)? ?\d{6}" + _DIGIT_END, re.I), 1.0),
-    Rule("identity_number", _c(r"ИНН(?: физ\.? ?лица| физлица)?:? ?№? ?(\d{12})(?!\d)", re.I), 1.0, None, None, tax_number),
-    Rule("identity_number", _c(r"СНИЛС:? ?№? ?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", re.I), 1.0, None, None, insurance_number),
-    Rule("identity_number", _c(r"страхов(?:ой|ого|ому) номер[а-я]*:? ?№? ?(\d{11}|\d{3}-\d{3}-\d{3}[ -]\d{2})(?!\d)", re.I), 1.0, None, None, insurance_number),
-    Rule("identity_number", _c(_DIGIT_START + r"(\d{3}-\d{3}-\d{3} \d{2})" + _DIGIT_END), 0.6, None, None, insurance_number),
-    Rule("identity_number", _c(r"(?:SSN|social security (?:number|no\.?)):? ?\d{3}[ -]?\d{2}[ -]?\d{4}" + _DIGIT_END, re.I), 1.0),
-    Rule("identity_number", _c(_DIGIT_START + r"\d{3}-\d{2}-\d{4}" + _DIGIT_END), 0.4, _c(r"(?:security|SSN|identity|presented|card shows)[\w ,.:]{0,20}$", re.I)),
-    Rule("identity_number", _c(r"national insurance (?:number|no\.?):? ?[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", re.I), 1.0),
-    Rule("identity_number", _c(r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b"), 1.0),
-    Rule("identity_number", _c(r"(?:passport|identity card|id card|driving licence|Personalausweis|Reisepass|Führerschein|Ausweis)(?:-?(?:nummer|Nr\.?)| (?:no|number|nr|nummer)\b\.?)?:? ?[A-Z]{1,3}-?\d{5,9}\b", re.I), 1.0),
-    Rule("identity_number", _c(r"(?:Steuer-?ID(?:entifikationsnummer|-?Nr\.?)?|Steuernummer|tax (?:id|number)):? ?\d{2} ?\d{3} ?\d{3} ?\d{3}" + _DIGIT_END, re.I), 1.0),
-    Rule("identity_number", _c(r"(?:(?:Sozial|Renten)versicherungs(?:nummer|-?Nr\.?)):? ?\d{2} ?\d{6} ?[A-Z] ?\d{3}" + _DIGIT_END, re.I), 1.0),
-    Rule("identity_number", _c(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"), 0.4, _c(r"(?:IBAN)[\w ,.:]{0,10}$", re.I), None, mod97),
-    Rule("identity_number", _c(_DIGIT_START + r"(\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4})" + _DIGIT_END), 0.2, _c(r"(?:карт[аыу]|card|Karte)[\w ,.:№]{0,14}$", re.I), None, luhn),
-    Rule("address", _c(rf"{_TOWN_RU}{_KIND_RU} ?{_NAME_RU}{_HOUSE_RU}"), 1.0),
-    Rule("address", _c(rf"{_TOWN_RU}{_NAME_RU} (?:ул\.|улица|пер\.|переулок|просп\.|пр-т|ш\.|шоссе|наб\.|б-р|пл\.|проезд){_HOUSE_RU}"), 1.0),
-    Rule("address", _c(rf"(?:(?:Flat|Unit|Apt\.?|Suite|Room) \d+[A-Za-z]?, ?)?\d{{1,4}}(?:-?[A-Z])?,? (?:[A-Z][a-z]+(?:'s|’s)? ){{1,3}}{_WAY_EN}(?!\w)(?:,? (?:Apt|Unit|Flat|Suite)\.? ?\d+[A-Za-z]?)?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}|, [A-Z][a-z]+(?!,? [A-Z]|[a-z]))?"), 1.0),
-    Rule("address", _c(rf"(?:\d{{5}} [A-ZÄÖÜ][a-zäöüß]+, )?(?<![\w-]){_WAY_DE},? (?:Nr\.? ?)?\d{{1,4}} ?[a-z]?(?!\w|[.,]\d)(?:, \d+\. OG)?(?:, \d{{5}} [A-ZÄÖÜ][a-zäöüß]+)?"), 1.0),
-    Rule("person", _c(rf"(?<![\w.]){_INITIALS} ?(?:{_RU}|{_UP})(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<!\w)(?:{_RU}|(?<![А-ЯЁ] ){_UP}),? {_INITIALS}(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<!\w)(?:{_RU} ){{0,2}}{_PATRONYMIC}(?: {_RU})?(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<!\w){_RU} {_SURNAME}(?!\w)"), 0.9, _SIGNED, _SIGNS),
-    Rule("person", _c(rf"(?<!\w){_SURNAME} {_RU}(?!\w)"), 0.5, _SIGNED, _SIGNS),
-    Rule("person", _c(rf"(?<!\w){_UP} {_UP}(?!\w)"), 0.0, _SIGNED, _SIGNS),
-    Rule("person", _c(rf"(?<!\w){_TITLE}(?:[A-Z]\. ?)*(?:{_LAT}|[A-ZÄÖÜ]{{4,}})(?: (?:[A-Z]\. ?)*{_LAT})?(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<![\w.])(?:[A-ZÄÖÜ]\. ?){{1,2}}(?:{_LAT}|[A-ZÄÖÜ]{{4,}}(?:-[A-ZÄÖÜ]{{3,}})?)(?!\w)"), 0.8, _SIGNED, _SIGNS),
-    Rule("person", _c(rf"(?<!\w){_LAT} [A-ZÄÖÜ]\. {_LAT}(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<!\w){_LAT}, {_LAT}(?: [A-ZÄÖÜ]\.)(?!\w)"), 1.0),
-    Rule("person", _c(rf"(?<!\w){_LAT} {_LAT}(?!\w)"), 0.0, _SIGNED, _SIGNS),
-    Rule("person", _c(rf"(?<!\w){_LAT} {_LAT}(?!\w)"), 0.0, _c(r"[a-zäöüß0-9.] ?(?:—|–|,|\() ?$"), _c(r"^(?:[.,)]|$)")),
+    Rule("email", _c(r"(?:<?mailto:)?[\w.+-]*\w ?@ ?\w[\w-]*(?:\.\w[\w-]*)*\.[A-Za-zА-Яа-я]{2,}>?", re.I), 1.0, "at"),
+    Rule("email", _c(r"[\w.+-]*\w ?[(\[] ?(?:at|ät|собака) ?[)\]] ?\w[\w-]*(?: ?[(\[] ?(?:dot|punkt|точка) ?[)\]] ?\w[\w-]*)+", re.I), 1.0, "bracket_at"),
+    Rule("phone", _c(_DIGIT_START + r"\+7[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{2}[ -]?\d{2}" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"8(?:[ -]?\(\d{3}\)[ -]?\d{3}[ -]?\d{2}[ -]?\d{2}|-\d{3}-\d{3}-\d{2}-\d{2}| \d{3} \d{3} \d{2} \d{2})" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(r"(?<![\w)])\(\d{3,5}\) ?\d{2,3}[ -]\d{2}[ -]\d{2}" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"(?:\+|00)(?:[1-69]\d{0,2}|7\d)[ .-]?(?:\(0\) ?)?(?:\(\d{2,5}\)|\d{2,5})(?:[ ./-]?\d{2,8}){1,4}" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(r"(?<![\w)])(?:1[ -])?\(\d{3}\) \d{3}-\d{4}" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"1[-.]\d{3}[-.]\d{3}[-.]\d{4}" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"\d{3}[-.]\d{3}[-.]\d{4}" + _EXT + _DIGIT_END), 0.8, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"555-\d{4}" + _EXT + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"\d{3}-\d{4}" + _EXT + _DIGIT_END), 0.4, "digits", _CALL),
+    Rule("phone", _c(r"(?<![\w)])\(0\d{1,4}\) ?\d{4,8}(?:-\d{1,4})?" + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"0\d{1,4}/ ?\d{4,8}(?:-\d{1,4})?" + _DIGIT_END), 1.0, "digits", _CALL),
+    Rule("phone", _c(_DIGIT_START + r"0\d{2,4} \d{3} \d{3,5}" + _DIGIT_END), 0.9, "digits", _CALL, apart=(_ASIDE, None)),
+    Rule("phone", _c(_DIGIT_START + r"0\d{3,4} \d{6}" + _DIGIT_END), 0.9, "digits", _CALL, apart=(_ASIDE, None)),
+    Rule("identity_number", _c(r"паспорт[а-я]*(?: РФ)?:?(?: серии| серия)? \d{2} ?\d{2},?(?: номер| №| N)? ?\d{6}" + _DIGIT_END, re.I), 1.0, "digits"),
+    Rule("identity_number", _c(r"ИНН(?: физ\.? ?лица| физлица)?:? ?№? ?(\d{12})(?!\d)", re.I), 1.5, "digits", valid=tax_number),
+    Rule("identity_number", _c(_DIGIT_START + r"(\d{12})" + _DIGIT_END), 0.2, "digits", valid=tax_number),
+    Rule("identity_number", _c(r"СНИЛС:? ?№? ?(\d{3}-\d{3}-\d{3}[ -]\d{2}|\d{11})(?!\d)", re.I), 1.5, "digits", valid=insurance_number),
+    Rule("identity_number", _c(r"страхов(?:ой|ого|ому) номер[а-я]*:? ?№? ?(\d{11}|\d{3}-\d{3}-\d{3}[ -]\d{2})(?!\d)", re.I), 1.5, "digits", valid=insurance_number),
+    Rule("identity_number", _c(_DIGIT_START + r"(\d{3}-\d{3}-\d{3} \d{2})" + _DIGIT_END), 0.6, "digits", valid=insurance_number),
+    Rule("identity_number", _c(r"(?:SSN|social security (?:number|no\.?)):? ?\d{3}[ -]?\d{2}[ -]?\d{4}" + _DIGIT_END, re.I), 1.0, "digits"),
+    Rule("identity_number", _c(_DIGIT_START + r"\d{3}-\d{2}-\d{4}" + _DIGIT_END), 0.4, "digits", _c(r"(?:security|SSN|identity|presented|card shows)[\w ,.:]{0,20}$", re.I)),
+    Rule("identity_number", _c(r"national insurance (?:number|no\.?):? ?[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", re.I), 1.0, "digits"),
+    Rule("identity_number", _c(r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b"), 1.0, "digits"),
+    Rule("identity_number", _c(r"(?:passport|identity card|id card|driving licence|Personalausweis|Reisepass|Führerschein|Ausweis)(?:-?(?:nummer|Nr\.?)| (?:no|number|nr|nummer)\b\.?)?:? ?[A-Z]{1,3}-?\d{5,9}\b", re.I), 1.0, "digits"),
+    Rule("identity_number", _c(r"(?:Steuer-?ID(?:entifikationsnummer|-?Nr\.?)?|Steuernummer|tax (?:id|number)):? ?\d{2} ?\d{3} ?\d{3} ?\d{3}" + _DIGIT_END, re.I), 1.0, "digits"),
+    Rule("identity_number", _c(r"(?:(?:Sozial|Renten)versicherungs(?:nummer|-?Nr\.?)):? ?\d{2} ?\d{6} ?[A-Z] ?\d{3}" + _DIGIT_END, re.I), 1.0, "digits"),
+    Rule("identity_number", _c(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"), 0.4, "iban", _c(r"(?:IBAN)[\w ,.:]{0,10}$", re.I), valid=mod97),
+    Rule("identity_number", _c(_DIGIT_START + r"(\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4})" + _DIGIT_END), 0.2, "digits", _c(r"(?:карт[аыу]|card|Karte)[\w ,.:№]{0,14}$", re.I), valid=luhn),
+    Rule("address", _c(rf"{_TOWN_RU}{_KIND_RU} ?{_NAME_RU}{_HOUSE_RU}"), 1.0, "kind_ru"),
+    Rule("address", _c(rf"{_TOWN_RU}{_NAME_RU} (?:ул\.|улица|пер\.|переулок|просп\.|пр-т|ш\.|шоссе|наб\.|б-р|пл\.|проезд){_HOUSE_RU}"), 1.0, "kind_ru"),
+    Rule("address", _c(rf"(?:(?:Flat|Unit|Apt\.?|Suite|Room) \d+[A-Za-z]?, ?)?\d{{1,4}}(?:-?[A-Z])?,? (?:[A-Z][a-z]+(?:'s|’s)? ){{1,3}}{_WAY_EN}(?!\w)(?:,? (?:Apt|Unit|Flat|Suite)\.? ?\d+[A-Za-z]?)?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}|, [A-Z][a-z]+(?!,? [A-Z]|[a-z]))?"), 1.0, "way_en"),
+    Rule("address", _c(rf"(?:\d{{5}} [A-ZÄÖÜ][a-zäöüß]+, )?(?<![\w-]){_WAY_DE},? (?:Nr\.? ?)?\d{{1,4}} ?[a-z]?(?!\w|[.,]\d)(?:, \d+\. OG)?(?:, \d{{5}} [A-ZÄÖÜ][a-zäöüß]+)?"), 1.0, "way_de"),
+    Rule("person", _c(rf"(?<![\w.]){_INITIALS} ?(?:{_RU}|{_UP})(?!\w)"), 1.0, "initials_ru"),
+    Rule("person", _c(rf"(?<!\w)(?:{_RU}|(?<![А-ЯЁ] ){_UP}),? {_INITIALS}(?!\w)"), 1.0, "initials_ru"),
+    Rule("person", _c(rf"(?<!\w)(?:{_RU} ){{0,2}}{_PATRONYMIC}(?: {_RU})?(?!\w)"), 1.0, "patronymic"),
+    Rule("person", _c(rf"(?<!\w){_RU} {_SURNAME}(?!\w)"), 0.9, "names_ru", _SIGNED, _SIGNS, named=True, apart=(_ASIDE, _END)),
+    Rule("person", _c(rf"(?<!\w){_SURNAME} {_RU}(?!\w)"), 0.5, "names_ru", _SIGNED, _SIGNS, named=True),
+    Rule("person", _c(rf"(?<!\w){_UP} {_UP}(?!\w)"), 0.0, "upper_ru", _SIGNED, _SIGNS, named=True),
+    Rule("person", _c(rf"(?<!\w){_TITLE}(?:[A-Z]\. ?)*(?:{_LAT}|[A-ZÄÖÜ]{{4,}})(?: (?:[A-Z]\. ?)*{_LAT})?(?!\w)"), 1.0, "title"),
+    Rule("person", _c(rf"(?<![\w.])(?:[A-ZÄÖÜ]\. ?){{1,2}}(?:{_LAT}|[A-ZÄÖÜ]{{4,}}(?:-[A-ZÄÖÜ]{{3,}})?)(?!\w)"), 0.8, "initials", _SIGNED, _SIGNS, named=True, apart=(_OPENING, None)),
+    Rule("person", _c(rf"(?<!\w){_LAT} [A-ZÄÖÜ]\. {_LAT}(?!\w)"), 1.0, "middle"),
+    Rule("person", _c(rf"(?<!\w){_LAT}, {_LAT}(?: [A-ZÄÖÜ]\.)(?!\w)"), 1.0, "comma"),
+    Rule("person", _c(rf"(?<!\w){_LAT} {_LAT}(?!\w)"), 0.0, "names", _SIGNED, _SIGNS, named=True),
+    Rule("person", _c(rf"(?<!\w){_LAT} {_LAT}(?!\w)"), 0.0, "names", _c(r"[a-zäöüß0-9.] ?(?:—|–|,|\() ?$"), _c(r"^(?:[.,)]|$)"), weight=0.5, named=True),
 )
 #: Words that begin sentences or headings and are no names, in front of a capitalised word.
 _NO_NAME = re.compile(r"^(?:Die|Der|Das|Den|Dem|Des|Ein|Eine|The|In|At|By|As|Under|Nach|Zu|Bei|Hinweis|Ergänzend|Zeile|Formblatt|Ziffer|Position|Fassung|Preisen|Port|Street|Abbildung|Tabelle|Figure|Table|Рисунок|Таблица|Раздел|Графа|Лист|Малая|Большая|Новая|Старая|Для|При|По|На|В|Ведомость|Смету|Исполнитель|Замечания|Материалы|Замеры|Контакт|Копию|Телефон|Связь|Тел)\s")
 
-#: Rows without any of these hold nothing that a rule could propose.
-_MAY = (
-    r"@|[(\[]\s?(?:at|ät|собака)\s?[)\]]|\d{6}|\d{3}[- ]\d{3}|\d{3}-\d{2}|\d{2} \d{4}\b|\(\d{3,5}\)|\d[-.]\d{3}[-.]|[0-9]/[0-9]{4}|\d\d\s\d\d\s\d\d\s[A-D]\b|\d{4}[ -]\d{4}"
-    r"|[\p{Lu}]\.\s?\p{Lu}|\p{Lu}\p{Ll}+,?\s\p{Lu}\p{Ll}|\p{Lu}{4,}\s\p{Lu}{4,}|\p{Lu}{4,},?\s\p{Lu}\.|(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Herrn)\b"
-    r"|\b(?:ул|пер|просп|наб|пр|ш|б-р)\.|улиц|шоссе|проспект|переул|\d,?\s(?:\p{Lu}\p{Ll}+(?:['’]s)?\s)+\p{Lu}|(?:straße|strasse|str\.|weg|pfad|platz|allee|gasse|ring|damm|graben|hof),?\s(?:Nr\.?\s?)?\d"
-)
+_KINDS_RU = re.compile(r"ул\.|улиц|пер\.|переул|просп|пр-т|пр\.|ш\.|шоссе|наб|б-р|бульвар|пл\.|площадь|проезд|туп|алле")
+_BRACKET_AT = _c(r"[(\[] ?(?:at|ät|собака)", re.I)
+#: What every match of a rule holds.
+NEEDS = {
+    "at": lambda t: "@" in t,
+    "bracket_at": lambda t: ("(" in t or "[" in t) and _BRACKET_AT.search(t),
+    "digits": _c(r"\d(?:[ ()./-]{0,3}\d){4}").search,
+    "iban": re.compile(r"[A-Z]{2}\d{2}").search,
+    "kind_ru": _KINDS_RU.search,
+    "way_en": _c(r"\d(?:-?[A-Z])?,? [A-Z][a-z]").search,
+    "way_de": _c(r"[a-zäöüß.],? (?:Nr\.? ?)?\d").search,
+    "initials_ru": _c(r"[А-ЯЁ]\. ?[А-ЯЁ]\.").search,
+    "patronymic": re.compile(r"[ое]вич|ёвич|[оеи][вч]н[аыеуо]").search,
+    "names_ru": _c(r"[а-яё] [А-ЯЁ][а-яё]").search,
+    "upper_ru": _c(r"[А-ЯЁ]{3} [А-ЯЁ]{4}").search,
+    "title": _c(r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Dipl|Ing)\.? ").search,
+    "initials": _c(r"[A-ZÄÖÜ]\. ?[A-ZÄÖÜ]").search,
+    "middle": _c(r" [A-ZÄÖÜ]\. [A-ZÄÖÜ]").search,
+    "comma": _c(r"[a-zäöüßéè], [A-ZÄÖÜ]").search,
+    "names": _c(r"[a-zäöüßéè] [A-ZÄÖÜ][a-zäöüßéè]{2}").search,
+}
+_BY_NEED = [(NEEDS[n], [r for r in RULES if r.need == n]) for n in dict.fromkeys(r.need for r in RULES)]
+_RANK = {k: i for i, k in enumerate(("email", "identity_number", "phone", "address", "person"))}
+
+
+def _score(rule: Rule, m: re.Match, text: str) -> float:
+    before, behind = text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR]
+    score = rule.score
+    for words, place in ((rule.context, before), (rule.after, behind)):
+        if words is not None and words.search(place):
+            score += rule.weight
+    if rule.valid is not None:
+        score += 1.0 if rule.valid(re.sub(r"\W", "", m.group(1))) else -0.5
+    if score < ENOUGH and any(sign is not None and sign.search(place) for sign, place in zip(rule.apart, (before, behind))):
+        score += 0.2
+    return score
 
 
 def spans(text: str) -> list[tuple[int, int, str, float]]:
     """(begin, end, kind, score) of what stands, in order and without overlaps."""
     found = []
-    for rule in RULES:
-        for m in rule.form.finditer(text):
-            score = rule.score
-            if rule.context is not None and rule.context.search(text[max(0, m.start() - NEAR) : m.start()]):
-                score += 0.5 if rule.kind == "person" and rule.score == 0.0 and rule.after is not None and rule.context is not _SIGNED else 1.0
-            if rule.after is not None and rule.after.search(text[m.end() : m.end() + NEAR]):
-                score += 0.5 if rule.kind == "person" and rule.score == 0.0 and rule.context is not _SIGNED else 1.0
-            if rule.valid is not None:
-                score += 1.0 if rule.valid(re.sub(r"\W", "", m.group(1))) else -0.0 if rule.score >= ENOUGH else -0.5
-            if rule.kind == "person" and rule.score < ENOUGH and _NO_NAME.match(m.group()):
-                continue
-            if rule.kind == "person" and rule.score == 0.9 and score < ENOUGH and (_ASIDE.search(text[: m.start()][-3:]) or _END.search(text[m.end() : m.end() + 2])):
-                score += 0.2
-            if rule.kind == "person" and rule.score == 0.8 and score < ENOUGH and (_ASIDE.search(text[: m.start()][-3:]) or m.start() == 0 or text[: m.start()].rstrip()[-1:] in ".:;"):
-                score += 0.2
-            if rule.kind == "phone" and rule.score == 0.9 and score < ENOUGH and _ASIDE.search(text[: m.start()][-3:]):
-                score += 0.2
-            if score >= ENOUGH:
-                found.append((-score, m.start() - m.end(), m.start(), m.end(), rule.kind))
+    for need, rules in _BY_NEED:
+        if not need(text):
+            continue
+        for rule in rules:
+            for m in rule.form.finditer(text):
+                if rule.named and _NO_NAME.match(m.group()):
+                    continue
+                score = _score(rule, m, text)
+                if score >= ENOUGH:
+                    found.append((-score, m.start() - m.end(), m.start(), m.end(), rule.kind))
     taken: list[tuple[int, int, str, float]] = []
-    order = {"email": 0, "identity_number": 1, "phone": 2, "address": 3, "person": 4}
-    for negative, _, a, b, kind in sorted(found, key=lambda x: (order[x[4]], x[1], x[0], x[2])):
+    for negative, _, a, b, kind in sorted(found, key=lambda x: (_RANK[x[4]], x[1], x[0], x[2])):
         if all(b <= c or a >= d for c, d, _, _ in taken):
             taken.append((a, b, kind, -negative))
     return sorted(taken)
@@ -201,19 +234,19 @@ def detect(units: DataFrame, keys: tuple[str, ...] = ("document_id", "unit_id"))
                 of = pa.array([h[0] for h in hit], pa.int64())
                 yield pa.RecordBatch.from_arrays([*[part.column(k).take(of) for k in keys], part.column("text").take(of), pa.array([h[1] for h in hit], pa.string()), pa.array([h[2] for h in hit], pa.list_(pa.string()))], [*keys, "text", "redacted", "kinds"])
 
-    return units.select(*keys, "text").where(F.col("text").rlike(_MAY)).mapInArrow(run, schema)
+    return units.select(*keys, "text").where(F.length("text") > 0).mapInArrow(run, schema)
 
 
 def redact(units: DataFrame, keys: tuple[str, ...] = ("document_id", "unit_id")) -> DataFrame:
-    """The keys and text of every row, personal information replaced by placeholders; rows without any stay in the JVM."""
+    """The keys and text of every row, personal information replaced by placeholders; null and empty texts stay in the JVM."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array([replace(t)[0] for t in texts], pa.string())], [*keys, "text"])
 
     rows = units.select(*keys, "text")
-    may = F.coalesce(F.col("text").rlike(_MAY), F.lit(False))
-    return rows.where(~may).unionByName(rows.where(may).mapInArrow(run, rows.schema))
+    some = F.coalesce(F.length("text") > 0, F.lit(False))
+    return rows.where(~some).unionByName(rows.where(some).mapInArrow(run, rows.schema))
 
 
 def found(units: DataFrame) -> DataFrame:

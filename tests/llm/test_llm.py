@@ -194,6 +194,35 @@ def test_kinds(text, kinds):
         assert out == text
 
 
+@pytest.mark.parametrize("rule", personal.RULES, ids=lambda r: f"{r.kind}-{r.need}")
+def test_needs_lose_nothing(rule):
+    """Whatever a rule matches holds what the rule is said to need."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=60, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(rule.form))
+    def holds(text):
+        for m in rule.form.finditer(text):
+            assert personal.NEEDS[rule.need](text), m.group()
+
+    holds()
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("Lindensteig 12", ["address"]), ("Neckarufer 7", ["address"]), ("площадь Ленина, 5", ["address"]), ("пл. Ленина, 5", ["address"]), ("бульвар Мира, 3", ["address"]),
+        ("аллея Героев, д. 5", ["address"]), ("тел. 8\u00a0495\u00a0123\u00a045\u00a067", ["phone"]), ("erstellt von\u00a0Jan\u00a0Weber", ["person"]), ("signed by\u00a0Anna\u00a0Smith", ["person"]),
+        ("число 500100732259", ["identity_number"]), ("число 500100732258", []), ("ИНН 500100732258", ["identity_number"]),
+    ],
+)
+def test_any_space_and_checksums(spark, text, kinds):
+    df = spark.createDataFrame([("d", "a", text)], "document_id string, unit_id string, text string")
+    assert [r.kind for r in personal.found(df).collect()] == kinds
+    assert (personal.redact(df).first().text == text) == (not kinds)
+
+
 def test_checksums():
     assert personal.luhn("4539578763621486") and not personal.luhn("4539578763621487")
     assert personal.mod97("GB82WEST12345698765432") and not personal.mod97("GB82WEST12345698765433")
