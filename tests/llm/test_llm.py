@@ -147,7 +147,21 @@ def test_plain_and_words():
     trie = lookalikes.Trie()
     trie.add("смета", 5)
     trie.add("СМЕТА", 5)
-    assert trie.nearest("CMETA") == "СМЕТА" and trie.nearest("cmeta") == "смета" and trie.nearest("xyz") is None and trie.nearest("смеда", 1) == "смета"
+    assert trie.nearest("CMETA") == (0, "СМЕТА") and trie.nearest("cmeta") == (0, "смета") and trie.nearest("xyz") is None
+    assert trie.nearest("cмe\u200bты") == (1, "смета") and trie.nearest("смет") == (1, "смета") and trie.nearest("сметам") == (1, "смета")
+    assert trie.nearest("омета") is None and trie.nearest("cметы", 0) is None and trie.nearest("смеда", 1) == (1, "смета")
+    assert lookalikes.strange_words("IP-адрес и мoнтаж-план, e-mail")[1] == [("IP", False), ("мoнтаж", True)]
+
+
+def test_foreign_words_stay(spark):
+    sound = [("s", f"r{i}", "смета на ресурс и сосна у дома", None) for i in range(4)] + [("s", f"e{i}", "the space needs access, see apache match", None) for i in range(4)]
+    texts = {"a": "Ошибка access denied, space, APACHE и MATCH в журнале", "b": "there was a ссора between the two of them here", "c": "Составлена CMETA на обьекты", "d": "растёт COCHЫ рядом", "e": "новые pecypcы нужны", "f": "Раздел дoлю участка", "g": "по IP-адресу из PC-версии", "h": None, "i": ""}
+    units = spark.createDataFrame(sound + [("t", k, v, None) for k, v in texts.items()] * 2, "document_id string, unit_id string, text string, formula struct<linear_text:string,calc_expr:string>")
+    gold = spark.createDataFrame([], "document_label string, formula_index int, text string, linear_text string, calc_expr string")
+    assert {(r.owner_id, r.item_id) for r in lookalikes.odd_fields(units, gold).collect()} == {("t", k) for k in "cdef"}
+    got = {r.item_id: r.canonical for r in lookalikes.canonical(units, gold).collect() if r.owner_id == "t"}
+    want = texts | {"c": "Составлена СМЕТА на обьекты", "d": "растёт СОСНЫ рядом", "e": "новые ресурсы нужны", "f": "Раздел долю участка"}
+    assert got == {k: v for k, v in want.items() if v is not None}
 
 
 # --- encodings
