@@ -94,11 +94,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.detect(table(spark, d, "documents", "doc_id", "text")).where("found").select("doc_id").distinct()
+    return repetition.found(table(spark, d, "documents", "doc_id", "text"))
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.detect(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "share", "score", "candidate", "found")
+    return repetition.shares(table(spark, d, "documents", "doc_id", "text"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_paragraphs, p3_chars, p4_found, p4_canonical, p6_found, p6_restored, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)}

@@ -1,11 +1,15 @@
 """Repetition inside a document.
 
-Every document gets rule statistics: the share of its words in copies of passages of eight or more words, in
-short phrases repeated back to back, and in either; the share of repeated lines and of repeated word pairs, and
-the spread of its vocabulary. An isolation forest over these statistics (path lengths over random splits) marks
-anomalous documents. It is grown on a bounded sample, whose rows are labelled by the exact rule; the score that
-lets all labelled repetitive rows pass, less a margin, is the threshold. The exact rule then decides on what the
-forest lets through.
+Every document gets rule statistics that take one sort each: the share of its words that lie in a word pair which
+occurred earlier or repeat the word before (echo_share), of words that repeat the word before (run_share), and of its
+lines that occurred earlier (line_share). An isolation forest over these (path lengths over random splits) scores the
+documents, and only those it marks as anomalous get the exact rule, which sorts passages and phrases.
+
+A copied word always lies in an earlier pair or repeats its neighbour, so a document that meets the rule has an
+echo_share no less than the rule's share. The threshold is the least score that the forest can give such a document
+at all: it holds for every document, sampled or not. Labelled rows calibrate it by choosing among forests the one
+whose threshold lets the fewest other documents pass. The forests are grown, and the labels taken, on a bounded sample
+(SAMPLE_ROWS).
 
 Defined results
 * words are runs of letters, case folded; digits, punctuation and spacing are ignored;
@@ -19,23 +23,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.batches import chunks
-from docweave.session import cut_lineage
 
 PASSAGE = 8
 #: A document is found from this share on, given as numerator and denominator.
 SHARE = (1, 3)
-#: The forest: labelled rows at most, trees, rows of a tree, seed, and how far the threshold lies below the
-#: lowest score of a labelled repetitive row.
-SAMPLE_ROWS, TREES, TREE_ROWS, SEED, MARGIN = 20_000, 64, 256, 7, 0.04
-STATISTICS = ("passage_share", "phrase_share", "copied_share", "line_share", "pair_share", "vocabulary_gap")
+#: The forest: labelled rows at most (about), trees, rows of a tree, seed.
+SAMPLE_ROWS, TREES, TREE_ROWS, SEED = 20_000, 64, 256, 7
+STATISTICS = ("echo_share", "run_share", "line_share")
+#: Statistics and seeds of the forests that labelled rows choose from; the first statistic bears the threshold.
+FORESTS = (((0,), 7), ((0, 1, 2), 7), ((0, 1, 2), 8), ((0, 2), 7))
 _WORD = re.compile(r"[^\W\d_]+").findall
+_SALT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
 def _earlier(keys: np.ndarray) -> np.ndarray:
@@ -56,8 +62,49 @@ def _cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge - ends)[:n] > 0
 
 
-def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """The statistics of each text, and n_words and n_copied; all texts at once."""
+@dataclass
+class Words:
+    """Hashes of the words and lines of many texts, one after the other, with the text each belongs to."""
+
+    n_texts: int
+    words: np.ndarray
+    doc: np.ndarray
+    counts: np.ndarray
+    lines: np.ndarray
+    line_doc: np.ndarray
+
+    @property
+    def salt(self) -> np.ndarray:
+        return (self.doc.astype(np.uint64) + np.uint64(1)) * _SALT
+
+    def gram(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the width words from each position on, and whether they lie in one text."""
+        m = max(len(self.words) - width + 1, 0)
+        key = np.zeros(m, dtype=np.uint64)
+        for j in range(width):
+            key = key * _STEP + (self.words[j : j + m] ^ (self.words[j : j + m] >> np.uint64(29)))
+        return key ^ self.salt[:m], self.doc[:m] == self.doc[width - 1 : width - 1 + m]
+
+    def repeated(self, width: int) -> np.ndarray:
+        """Does the gram that starts here occur earlier in the text?"""
+        out = np.zeros(len(self.words), dtype=bool)
+        key, inside = self.gram(width)
+        at = np.flatnonzero(inside)
+        out[at] = _earlier(key[at])
+        return out
+
+    def echoes(self, width: int) -> np.ndarray:
+        """Is this word the one ``width`` words before?"""
+        out = np.zeros(len(self.words), dtype=bool)
+        if len(out) > width:
+            out[width:] = (self.words[width:] == self.words[:-width]) & (self.doc[width:] == self.doc[:-width])
+        return out
+
+    def per_text(self, flags: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[flags], minlength=self.n_texts)
+
+
+def words_of(texts: list[str | None]) -> Words:
     words: list[int] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     lines: list[int] = []
@@ -67,77 +114,46 @@ def statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
             own = _WORD(text.casefold())
             words.extend(map(hash, own))
             counts[i] = len(own)
-            kept = [hash(x) for x in text.split("\n") if len(x) > 20]
+            kept = [hash(x) for x in text.split("\n") if x and not x.isspace()]
             lines.extend(kept)
             line_counts[i] = len(kept)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    n = len(doc)
-    h = np.array(words, dtype=np.int64).view(np.uint64)
-    salt = (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-
-    def gram(width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the width words from each position on, and whether they lie in one document."""
-        m = max(n - width + 1, 0)
-        key = np.zeros(m, dtype=np.uint64)
-        for j in range(width):
-            key = key * np.uint64(0x100000001B3) + (h[j : j + m] ^ (h[j : j + m] >> np.uint64(29)))
-        inside = doc[:m] == doc[width - 1 : width - 1 + m]
-        return key ^ salt[:m], inside
+    every = np.arange(len(texts))
+    return Words(len(texts), np.array(words, dtype=np.int64).view(np.uint64), np.repeat(every, counts), counts, np.array(lines, dtype=np.int64).view(np.uint64), np.repeat(every, line_counts))
 
-    passage = np.zeros(n, dtype=bool)
-    key, inside = gram(PASSAGE)
-    if inside.any():
-        at = np.flatnonzero(inside)
-        starts = np.zeros(n, dtype=bool)
-        starts[at] = _earlier(key[at])
-        passage = _cover(starts, PASSAGE, n)
-    phrase = np.zeros(n, dtype=bool)
+
+def statistics(w: Words) -> np.ndarray:
+    """A row of STATISTICS for each text."""
+    pair, same = w.repeated(2), w.echoes(1)
+    echo = pair | same
+    echo[1:] |= pair[:-1]
+    seen = _earlier(w.lines ^ ((w.line_doc.astype(np.uint64) + np.uint64(1)) * _SALT))
+    size, line_size = np.maximum(w.counts, 1), np.maximum(np.bincount(w.line_doc, minlength=w.n_texts), 1)
+    return np.column_stack([w.per_text(echo) / size, w.per_text(same) / size, np.bincount(w.line_doc[seen], minlength=w.n_texts) / line_size])
+
+
+def copied(w: Words) -> np.ndarray:
+    """The exact rule: how many words of each text lie in copies."""
+    n = len(w.words)
+    marked = _cover(w.repeated(PASSAGE), PASSAGE, n)
     for width in range(1, PASSAGE):
-        if n <= width:
-            break
-        same = np.zeros(n, dtype=bool)
-        same[width:] = (h[width:] == h[:-width]) & (doc[width:] == doc[:-width])
-        if not same.any():
-            continue
-        total = np.concatenate([[0], np.cumsum(same)])
-        starts = np.zeros(n, dtype=bool)
-        starts[: n - width + 1] = total[width:] - total[: n - width + 1] == width
-        phrase |= _cover(starts, width, n)
-    pair_key, pair_inside = gram(2)
-    pair = np.zeros(n, dtype=bool)
-    at = np.flatnonzero(pair_inside)
-    pair[at] = _earlier(pair_key[at])
-    seen = _earlier(h ^ salt) if n else np.zeros(0, dtype=bool)
-    line_doc = np.repeat(np.arange(len(texts)), line_counts)
-    line_seen = _earlier(np.array(lines, dtype=np.int64).view(np.uint64) ^ ((line_doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))) if lines else np.zeros(0, dtype=bool)
-
-    def per(flags: np.ndarray, of: np.ndarray = doc) -> np.ndarray:
-        return np.bincount(of[flags], minlength=len(texts))
-
-    copied = per(passage | phrase)
-    size = np.maximum(counts, 1)
-    # a vocabulary that grows as the root of the text is usual; what exceeds that is repeated
-    gap = np.maximum(per(seen) / size - (1 - np.minimum(1, 12 / np.sqrt(size))), 0)
-    return {"n_words": counts, "n_copied": copied, "passage_share": per(passage) / size, "phrase_share": per(phrase) / size, "copied_share": copied / size, "line_share": per(line_seen, line_doc) / np.maximum(line_counts, 1), "pair_share": per(pair) / size, "vocabulary_gap": gap}
-
-
-def measure(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_copied and the statistics of every row."""
-    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, n_words bigint, n_copied bigint, " + ", ".join(f"{s} double" for s in STATISTICS)
+        same = w.echoes(width)
+        if same.any():
+            total = np.concatenate([[0], np.cumsum(same)])
+            starts = np.zeros(n, dtype=bool)
+            starts[: n - width + 1] = total[width:] - total[: n - width + 1] == width
+            marked |= _cover(starts, width, n)
+    return w.per_text(marked)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in chunks(batch, text):
-                got = statistics(texts)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(got["n_words"], pa.int64()), pa.array(got["n_copied"], pa.int64()), *[pa.array(got[s], pa.float64()) for s in STATISTICS]], [key, "n_words", "n_copied", *STATISTICS])
 
-    return documents.select(key, text).mapInArrow(run, schema)
+def meets_rule(n_copied: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return (n_words > 0) & (n_copied * SHARE[1] >= n_words * SHARE[0])
 
 
 class IsolationForest:
     """Random splits; a row's score is 2 ** -(mean path length / usual path length)."""
 
     def __init__(self, rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED):
+        """rows: a matrix of statistics, one row a document."""
         rng = np.random.default_rng(seed)
         self.usual = _usual(min(tree_rows, len(rows)))
         self.trees = []
@@ -179,56 +195,99 @@ class IsolationForest:
             total += length[at]
         return np.power(2.0, -(total / len(self.trees)) / max(self.usual, 1e-9))
 
+    def least(self, column: int, low: float) -> float:
+        """A score that no row falls below whose statistic in this column is at least low.
+
+        In each tree such a row can end only in leaves on the statistic's upper side; the longest path among them
+        bounds its path length.
+        """
+        total = 0.0
+        for feature, split, left, right, length in self.trees:
+            longest, open_ = 0.0, [0]
+            while open_:
+                at = open_.pop()
+                if feature[at] < 0:
+                    longest = max(longest, float(length[at]))
+                    continue
+                open_.append(right[at])
+                if feature[at] != column or split[at] >= low:
+                    open_.append(left[at])
+            total += longest
+        return float(np.power(2.0, -(total / len(self.trees)) / max(self.usual, 1e-9)))
+
 
 def _usual(n: int) -> float:
     """Mean path length of an unsuccessful search among n rows."""
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def _label() -> Column:
-    return (F.col("n_copied") * SHARE[1] >= F.col("n_words") * SHARE[0]) & (F.col("n_words") > 0)
+@dataclass
+class Marker:
+    """A forest over some statistics and the score from which documents are marked."""
 
+    columns: tuple[int, ...]
+    forest: IsolationForest
+    threshold: float
 
-def _lowest(measured: DataFrame, forest: IsolationForest) -> float | None:
-    """The lowest score over all labelled rows, not only the sampled ones; null if there are none."""
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        return self.forest.score(rows[:, self.columns])
+
+
+def train(rows: np.ndarray, labels: np.ndarray) -> Marker | None:
+    """The forest whose threshold marks the fewest rows that aren't labelled; None without rows to grow one on."""
+    if len(rows) < 2:
+        return None
+    markers = []
+    for columns, seed in FORESTS:
+        forest = IsolationForest(rows[:, columns], seed=seed)
+        marker = Marker(columns, forest, forest.least(0, SHARE[0] / SHARE[1]) - 1e-9)
+        markers.append((int((~labels & (marker.score(rows) >= marker.threshold)).sum()), len(markers), marker))
+    return min(markers)[2]
+
+
+def _sample(documents: DataFrame, key: str, text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of about ``rows`` rows at most, chosen by a seeded hash without order or shuffle of the rest."""
+    share = min(1.0, rows / max(documents.count(), 1))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                rows = np.column_stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS])
-                yield pa.RecordBatch.from_arrays([pa.array([float(forest.score(rows).min())])], ["low"])
+            for _, texts in chunks(batch, text):
+                w = words_of(texts)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in statistics(w).T], pa.array(meets_rule(copied(w), w.counts))], [*STATISTICS, "label"])
 
-    return measured.where(_label()).select(*STATISTICS).mapInArrow(run, "low double").agg(F.min("low")).first()[0]
+    picked = documents.where(draw <= share).select(text).mapInArrow(run, ", ".join(f"{s} double" for s in STATISTICS) + ", label boolean").limit(rows + rows // 10).toPandas()
+    return picked[list(STATISTICS)].to_numpy(dtype=float), picked["label"].to_numpy(dtype=bool)
 
 
-def _sample(measured: DataFrame, key: str, rows: int) -> np.ndarray:
-    """At most ``rows`` rows of statistics and the label; chosen by a seeded hash, without order or shuffle of the rest."""
-    total = measured.count()
-    share = min(1.0, rows / max(total, 1))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = measured.where(draw <= share).select(*STATISTICS, _label().cast("double").alias("label")).limit(rows + rows // 10).toPandas()
-    return picked.to_numpy(dtype=float)
-
-
-def detect(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """key, share, score, candidate (passed by the forest) and found (also by the exact rule) of every row."""
-    measured = cut_lineage(measure(documents, key, text))
-    sample = _sample(measured, key, sample_rows)
-    forest = IsolationForest(sample[:, :-1]) if len(sample) >= 2 else None
-    low = _lowest(measured, forest) if forest else None
-    if low is None:  # nothing to calibrate on: every row is looked at exactly
-        forest, threshold = None, 0.0
-    else:
-        threshold = low - MARGIN
+def _marked(documents: DataFrame, key: str, text: str, sample_rows: int, everywhere: bool) -> DataFrame:
+    """key, share, score, candidate and found of every row; without everywhere, share only of candidates."""
+    marker = train(*_sample(documents, key, text, sample_rows))
     schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, share double, score double, candidate boolean, found boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.column_stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATISTICS]) if batch.num_rows else np.zeros((0, len(STATISTICS)))
-            score = forest.score(rows) if forest else np.ones(len(rows))
-            words, copied = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_words", "n_copied"))
-            candidate = score >= threshold
-            found = candidate & (words > 0) & (copied * SHARE[1] >= words * SHARE[0])
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("copied_share"), pa.array(score), pa.array(candidate), pa.array(found)], [key, "share", "score", "candidate", "found"])
-
-    return measured.mapInArrow(run, schema)
+            for part, texts in chunks(batch, text):
+                w = words_of(texts)
+                score = marker.score(statistics(w)) if marker else np.ones(len(texts))
+                candidate = score >= (marker.threshold if marker else 0.0)
+                n_copied = np.zeros(len(texts), dtype=np.int64)
+                if everywhere:
+                    n_copied = copied(w)
+                elif candidate.any():
+                    at = np.flatnonzero(candidate)
+                    n_copied[at] = copied(words_of([texts[i] for i in at]))
+                share = np.where(candidate | everywhere, n_copied / np.maximum(w.counts, 1), np.nan)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(share, from_pandas=True), pa.array(score), pa.array(candidate), pa.array(candidate & meets_rule(n_copied, w.counts))], [key, "share", "score", "candidate", "found"])
+
+    return documents.select(key, text).mapInArrow(run, schema)
+
+
+def found(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The key of every document that the forest marks and the exact rule then finds."""
+    return _marked(documents, key, text, sample_rows, False).where("found").select(key).distinct()
+
+
+def shares(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """key, share of repeated content, score, candidate (marked by the forest) and found of every row."""
+    return _marked(documents, key, text, sample_rows, True)

@@ -98,18 +98,22 @@ def test_share_equals_brute_force():
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefgh") * rng.choice((1, 1, 2)) for _ in range(rng.randrange(120))) for _ in range(60)] + ["", None, "1 2 3", "Слово слово СЛОВО!"]
     texts += [("the quick brown fox jumps over a lazy dog " * 3) + "end", "a b c d e f g h i"]
-    got = repetition.statistics(texts)
+    w = repetition.words_of(texts)
+    got = repetition.copied(w)
     for i, t in enumerate(texts):
-        assert (got["n_copied"][i], got["n_words"][i]) == (brute_share(t) if t else (0, 0))
+        assert (got[i], w.counts[i]) == (brute_share(t) if t else (0, 0))
 
 
 def test_detect(spark):
     rng = random.Random(2)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
     rows = [(i, " ".join(rng.choices(words, k=80))) for i in range(300)] + [(1000 + i, " ".join(rng.choices(words, k=12)) * 1 + (" so it goes on" * 30)) for i in range(12)] + [(2000, None), (2001, "")]
-    found = repetition.detect(spark.createDataFrame(rows, "doc_id long, text string")).where("found")
-    assert {r.doc_id for r in found.collect()} == set(range(1000, 1012))
-    assert repetition.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in repetition.found(df.union(df)).collect()) == list(range(1000, 1012))
+    shares = {r.doc_id: r for r in repetition.shares(df.withColumn("share", F.lit(1))).collect()}
+    assert {i for i, r in shares.items() if r.found} == set(range(1000, 1012)) and shares[2000].share == shares[2001].share == 0
+    assert {r.doc_id for r in repetition.found(df, sample_rows=5).collect()} == set(range(1000, 1012))
+    assert repetition.found(df.limit(0)).count() == repetition.shares(df.limit(0)).count() == 0
 
 
 # --- scans
