@@ -7,8 +7,14 @@ all texts at once, what any garbled path could gain over the clean one (best run
 texts whose bound is below the price of leaving the clean state are clean for certain. The others are decoded
 exactly (Viterbi), and every labelled span gets its state's inverse transform.
 
+Short texts drawn in pictures are weak evidence alone. Their chain has the picture's state hidden above the characters:
+all garbled chunks of a picture share one pair of encodings, each chunk is garbled with a share that its charset tells,
+and the pair is the one under which the chunks together are likeliest. Their characters are then labelled as clean or
+of that state, and spans restored alike.
+
 Defined results
-* null and empty texts are clean; a text without characters beyond ASCII is clean;
+* null and empty texts are clean; a text without characters beyond ASCII is clean unless question marks stand for
+  letters lost in reading;
 * a text is affected if any span is labelled garbled; its restored form keeps the rest of the text as it is;
 * a character lost in the wrong decoding (U+FFFD) is restored where the reading encoding has one undefined byte;
   with several it is guessed from its neighbour, and the text counts as not restorable;
@@ -38,6 +44,9 @@ PAIRS = (
     ("cp1251", "cp1252"), ("cp1251", "cp866"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("koi8-r", "cp1251"), ("koi8-r", "cp866"),
     ("cp1252", "cp1251"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("utf-8", "cp866"), ("utf-8", "koi8-r"),
 )
+#: The pair whose reading knew ASCII alone: every other character was lost to a question mark.
+LOST = ("any", "ascii")
+PAIRS += (LOST,)
 #: Share of all characters that every character of SOUND and of RARE is granted, and of spaces that may look otherwise.
 SOUND_SHARE, RARE_SHARE, SPACE_SHARE = 3e-5, 1e-5, 0.02
 #: Spaces that wrong decodings don't make; they count as the one that does.
@@ -76,6 +85,8 @@ def _reader(encoding: str) -> tuple[dict[str, int], list[int]]:
 
 def _misread(text: str, pair: tuple[str, ...], lost: bool) -> str | None:
     """What the pair makes of a text; bytes that the reading encoding doesn't define become U+FFFD or C1 controls."""
+    if pair == LOST:
+        return re.sub("[^\\x00-\\x7f]", "?", text)
     for written, read in zip(pair[::2], pair[1::2]):
         try:
             raw = text.encode(written)
@@ -91,6 +102,8 @@ def restore(text: str, pair: tuple[str, ...], pairs: np.ndarray | None = None) -
 
     A byte lost in reading is guessed from those the reading encoding doesn't define, by the pair counts.
     """
+    if pair == LOST:
+        return text, text.count("?")
     lost = 0
     for written, read in reversed(list(zip(pair[::2], pair[1::2]))):
         back, undefined = _reader(read)
@@ -214,7 +227,12 @@ def build(counts: np.ndarray) -> Model:
     stacked = np.stack(logs).astype(np.float32)
     ascii_only = np.array([c < "\x80" for c in alphabet] + [False])
     both = ascii_only[:, None] & ascii_only[None, :]
-    stacked[:, both] = stacked[0, both]  # plain ASCII tells nothing about the encoding,
+    told = both.copy()
+    told[at["?"], :] = told[:, at["?"]] = False
+    lost = 1 + PAIRS.index(LOST)
+    for number in range(1, len(stacked)):  # plain ASCII tells nothing about the encoding, but for what stands for lost letters,
+        same = told if number == lost else both
+        stacked[number, same] = stacked[0, same]
     stacked[:, -1, :] = stacked[:, :, -1] = NEUTRAL  # nor does a character that no wrong decoding makes
     best = (stacked[1:].max(0) - stacked[0]).astype(np.float32)
     return Model(lut, size, stacked.reshape(len(stacked), -1), best.reshape(-1), counts.astype(np.float32))
@@ -226,6 +244,7 @@ def count_pairs(texts: list[str], lut: np.ndarray) -> np.ndarray:
     points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     classes = lut[np.minimum(points, 65535)]
     odd = (classes == n) | _odd_case(points)
+    odd[1:] |= (points[1:] == 0x3F) & (points[:-1] == 0x3F)  # lost letters
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     start = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     sound = ~np.maximum.reduceat(odd[:-1], start)
@@ -242,8 +261,8 @@ def _odd_case(points: np.ndarray) -> np.ndarray:
     return odd
 
 
-def train(texts: DataFrame) -> Model:
-    """The model of a corpus; texts: one column ``text``. Its size depends on the alphabets alone."""
+def pair_counts(texts: DataFrame) -> np.ndarray:
+    """How often sound character i is followed by j in the texts (one column ``text``). Its size depends on SOUND alone."""
     lut = sound_classes()
     n = len(SOUND)
 
@@ -259,7 +278,12 @@ def train(texts: DataFrame) -> Model:
     counts = np.zeros(n * n)
     for r in rows:
         counts[r.pair] = r.n
-    return build(counts.reshape(n, n))
+    return counts.reshape(n, n)
+
+
+def train(texts: DataFrame) -> Model:
+    """The model of a corpus; texts: one column ``text``. Its size depends on the alphabets alone."""
+    return build(pair_counts(texts))
 
 
 def suspects(texts: list[str], model: Model) -> np.ndarray:
@@ -341,33 +365,80 @@ def _undo(value: np.ndarray, back: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.where(stay, value, -1e30) + step
 
 
-#: A picture's encoding pair must beat the clean state by this much; its chunks are garbled this often.
-PICTURE_MARGIN, CHUNK_GARBLED = 6.0, 0.7
-#: Drawn texts of this length are judged as running text.
-PROSE = 8
+#: What a picture's encoding pair must gain over the clean state, and how often a picture's chunks are garbled then:
+#: by the charset of their font (204 is Cyrillic, 0 and 1 leave the reading open), and where it says nothing.
+PICTURE_MARGIN, CHUNK_GARBLED = 4.0, 0.7
+GARBLED_BY_CHARSET = {204: 0.6, 0: 0.75, 1: 0.85}
+
+
+def garbled_share(charsets: list) -> np.ndarray:
+    return np.array([GARBLED_BY_CHARSET.get(c, CHUNK_GARBLED) for c in charsets])
 
 
-def label_picture(texts: list[str], model: Model, prose: Model) -> list[int]:
-    """State of each chunk of one picture: all garbled chunks share one state.
+def _blocks(texts: list[str], model: Model) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Texts of like length: their indices, a grid of classes between boundaries, and their lengths."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    at = 0
+    while at < len(order):
+        rows = 1
+        while at + rows < len(order) and (rows + 1) * (len(texts[order[at + rows]]) + 1) <= BLOCK:
+            rows += 1
+        block = order[at : at + rows]
+        at += rows
+        lengths = np.array([len(texts[i]) for i in block])
+        grid = np.full((rows, int(lengths.max()) + 2), model.lut[10], dtype=np.int64)
+        for r, i in enumerate(block):
+            grid[r, 1 : lengths[r] + 1] = model.classes(np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        yield block, grid, lengths
+
 
-    model: of drawn labels; prose: of running text, for chunks of some length.
+def evidence(texts: list[str], charsets: list, model: Model) -> np.ndarray:
+    """For each chunk and garbled state: the log of how much likelier the chunk is in a picture of that state.
 
-    Chunks are emissions of a chain whose hidden pair of encodings stays the same through the picture; each chunk
-    is then garbled by that pair or sound.
+    In such a picture a chunk is garbled with the share its charset tells, and clean otherwise.
     """
-    gains = np.zeros((len(texts), len(model.logs)))
-    for i, text in enumerate(texts):
-        if text and not text.isascii():
-            of = prose if len(text) >= PROSE else model
-            classes = of.classes(np.frombuffer(f"\n{text}\n".encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-            steps = of.logs[:, classes[:-1].astype(np.int64) * of.size + classes[1:]].sum(1)
-            gains[i] = steps - steps[0]
-    total = np.logaddexp(np.log(CHUNK_GARBLED) + gains, np.log(1 - CHUNK_GARBLED)).sum(0)
-    total[0] = 0
-    best = int(total.argmax())
-    if total[best] < PICTURE_MARGIN:
-        return [0] * len(texts)
-    return [best if g > 0 else 0 for g in gains[:, best]]
+    states = len(model.logs)
+    out = np.zeros((len(texts), states - 1))
+    share = garbled_share(charsets)[:, None]
+    for block, grid, lengths in _blocks(texts, model):
+        steps = model.logs[:, grid[:, :-1] * model.size + grid[:, 1:]]
+        steps[:, np.arange(grid.shape[1] - 1)[None, :] > lengths[:, None]] = 0
+        gain = steps.sum(2).T.astype(float)
+        out[block] = gain[:, 1:] - gain[:, :1]
+    return np.logaddexp(np.log(share) + out, np.log(1 - share))
+
+
+def label_with(texts: list[str], pairs: list[int], charsets: list, model: Model) -> list[np.ndarray]:
+    """State of each character by Viterbi, where each text may only be clean or in its picture's state; inside a
+    chunk a change is as rare either way."""
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int8)] * len(texts)
+    share = garbled_share(charsets)
+    for block, grid, lengths in _blocks(texts, model):
+        state = np.array([pairs[i] for i in block])
+        longest = int(lengths.max())
+        value = np.stack([np.log(1 - share[block]), np.log(share[block])], 1)
+        back = np.zeros((longest + 2, len(block), 2), dtype=np.int8)
+        final = np.zeros((len(block), 2))
+        for t in range(1, longest + 2):
+            before = grid[:, t - 1] * model.size + grid[:, t]
+            step = np.stack([model.logs[0, before], model.logs[state, before]], 1)
+            closing = t == lengths + 1  # the closing boundary belongs to the last character's state
+            final[closing] = (value + step)[closing]
+            if t > 1:
+                leave, enter = value[:, 1] + ENTER > value[:, 0], value[:, 0] + ENTER > value[:, 1]
+                back[t, :, 0], back[t, :, 1] = leave, ~enter
+                value = np.stack([np.maximum(value[:, 0], value[:, 1] + ENTER), np.maximum(value[:, 1], value[:, 0] + ENTER)], 1)
+            value = value + step
+        every, now = np.arange(len(block)), final.argmax(1)
+        path = np.zeros((len(block), longest + 2), dtype=np.int8)
+        for t in range(longest, 0, -1):
+            now = np.where(lengths == t, final.argmax(1), now)
+            path[:, t] = now
+            if t > 1:
+                now = back[t, every, now].astype(np.int64)
+        for r, i in enumerate(block):
+            out[i] = np.where(path[r, 1 : lengths[r] + 1] > 0, state[r], 0).astype(np.int8)
+    return out
 
 
 def spans(states: np.ndarray) -> list[tuple[int, int, int]]:
@@ -390,12 +461,13 @@ def fix(text: str, states: np.ndarray, model: Model) -> tuple[str, str, bool] |
     """Restored text, encoding pairs and whether all of it is certain; None for a clean text."""
     parts, names, whole, at = [], [], True, 0
     for a, b, k in spans(states):
-        if text[a:b].isascii():
-            continue
         pair = PAIRS[k - 1]
+        letters = sum(c.isalpha() for c in text[a:b])
+        if text[a:b].count("?") <= letters if pair == LOST else text[a:b].isascii():
+            continue  # a few question marks behind words are a writer's own
         got, lost = restore(text[a:b], pair, model.pairs)
         options = [(_loss(got, lost), 0, got, pair, lost)]
-        for n, other in enumerate(PAIRS if options[0][0] else ()):  # kindred pairs may explain it with less loss
+        for n, other in enumerate(PAIRS if options[0][0] and pair != LOST else ()):  # kindred pairs may explain it with less loss
             again, less = restore(text[a:b], other, model.pairs)
             options.append((_loss(again, less), n + 1, again, other, less))
         _, _, got, pair, lost = min(options)
@@ -417,10 +489,6 @@ _FOREIGN = frozenset(RARE)
 _KNOWN = frozenset(SOUND + RARE + "\u00a0")
 
 
-#: Chunks of one picture that are read as one sequence; longer pictures are read in stretches of this many.
-PICTURE_CHUNKS = 256
-
-
 _SCHEMA = "record_table string, owner_id string, item_id string, text string, restored string, pairs string, restorable boolean"
 
 
@@ -435,8 +503,8 @@ def _emit(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
 def garbled_units(units: DataFrame, model: Model) -> DataFrame:
     """record_table, owner_id, item_id, text, restored, pairs and restorable of every affected unit."""
     shared = units.sparkSession.sparkContext.broadcast(model)  # its size depends on the alphabets alone
-    # plain ASCII can't be the result of a wrong decoding, and needn't leave the JVM
-    rows = units.select(F.lit("document_units").alias("record_table"), F.col("document_id").alias("owner_id"), F.col("unit_id").alias("item_id"), "text").where(F.col("text").rlike("[^\\x00-\\x7F]"))
+    # plain ASCII without question marks in a row can't be the result of a wrong decoding, and needn't leave the JVM
+    rows = units.select(F.lit("document_units").alias("record_table"), F.col("document_id").alias("owner_id"), F.col("unit_id").alias("item_id"), "text").where(F.col("text").rlike("[^\\x00-\\x7F]|\\?\\?"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -452,36 +520,62 @@ def garbled_units(units: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def garbled_pictures(pictures: DataFrame, model: Model, prose: Model) -> DataFrame:
-    """The same for every affected chunk of pictures' text."""
-    shared = pictures.sparkSession.sparkContext.broadcast((model, prose))
+def garbled_chunks(chunks_: DataFrame, model: Model) -> DataFrame:
+    """The same for every affected chunk of pictures' text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, running = shared.value
+    All garbled chunks of a picture share one state. Each chunk's evidence for each state is summed over its picture
+    by a partial aggregate, so no picture is gathered in one place; chunks of pictures with a state are then labelled
+    character by character.
+    """
+    shared = chunks_.sparkSession.sparkContext.broadcast(model)  # its size depends on the alphabets alone
+    keys = ["document_id", "asset_id", "chunk_ref"]
+    rows = drawn(chunks_).select(*keys, "text", "charset").distinct()
+    # only text beyond ASCII tells anything, and only it can be garbled; a chunk without a picture is one of its own
+    rows = rows.where(F.col("text").rlike("[^\\x00-\\x7F]|\\?")).withColumn("picture", F.coalesce("asset_id", F.concat(F.lit("\0"), "chunk_ref")))
+    n = len(PAIRS)
+    names = [f"s{k}" for k in range(1, n + 1)]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            ids, texts = batch.column("item_ids").to_pylist(), batch.column("texts").to_pylist()
-            out = []
-            for i, chunk_texts in enumerate(texts):
-                for k, state in enumerate(label_picture(chunk_texts, own, running)):
-                    if state and (f := fix(chunk_texts[k], np.full(len(chunk_texts[k]), state), own)):
-                        out.append((i, ids[i][k], chunk_texts[k], *f))
-            yield _emit(batch, out)
+            for part, texts in chunks(batch, "text"):
+                got = evidence(texts, part.column("charset").to_pylist(), own) if texts else np.zeros((0, n))
+                yield pa.RecordBatch.from_arrays([part.column("document_id"), part.column("picture"), *[pa.array(c) for c in got.T]], ["document_id", "picture", *names])
 
-    return pictures.mapInArrow(run, _SCHEMA)
+    weighed = rows.select("document_id", "picture", "text", "charset").mapInArrow(weigh, "document_id string, picture string, " + ", ".join(f"{c} double" for c in names))
+    total = weighed.groupBy("document_id", "picture").agg(*[F.sum(c).alias(c) for c in names])
+    best = F.greatest(*names)
+    first = F.array_position(F.array(*names), best).cast("int")
+    told = total.where(best >= PICTURE_MARGIN).select(F.col("document_id").alias("d"), F.col("picture").alias("p"), first.alias("state"))
+    suspected = rows.join(told, rows.document_id.eqNullSafe(told.d) & (rows.picture == told.p)).select(F.lit("wmf_text_chunks").alias("record_table"), F.col("document_id").alias("owner_id"), F.col("chunk_ref").alias("item_id"), "text", "charset", "state")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                ids = part.column("item_id").to_pylist()
+                labels = label_with(texts, part.column("state").to_pylist(), part.column("charset").to_pylist(), own)
+                yield _emit(part, [(i, ids[i], t, *f) for i, (t, s) in enumerate(zip(texts, labels, strict=True)) if (f := fix(t, s, own))])
 
-def pictures(chunks_: DataFrame) -> DataFrame:
-    """record_table, owner_id, item_ids, texts: the chunks of each picture in order, without those in a symbol font."""
-    each = F.struct("chunk_order", "chunk_ref", "text")
-    b = drawn(chunks_).groupBy("document_id", "asset_id", F.floor(F.col("chunk_order") / PICTURE_CHUNKS).alias("stretch")).agg(F.sort_array(F.collect_set(each)).alias("c"))
-    return b.select(F.lit("wmf_text_chunks").alias("record_table"), F.col("document_id").alias("owner_id"), F.transform("c", lambda x: x.chunk_ref).alias("item_ids"), F.transform("c", lambda x: x.text).alias("texts"))
+    return suspected.mapInArrow(run, _SCHEMA)
 
 
 def drawn(chunks_: DataFrame) -> DataFrame:
+    """Chunks of letters: without those in a symbol font."""
     return chunks_.where((F.length("text") > 0) & ~F.coalesce(F.col("charset").cast("string") == "2", F.lit(False)) & ~F.coalesce(F.col("face") == "Symbol", F.lit(False)))
 
 
 def repaired(units: DataFrame, chunks_: DataFrame) -> DataFrame:
-    """Every affected record of both tables with its restored text; each table's model is trained on its own texts."""
-    prose = train(units)
-    return garbled_units(units, prose).unionByName(garbled_pictures(pictures(chunks_), train(drawn(chunks_)), prose))
+    """Every affected record of both tables with its restored text.
+
+    The units' model is trained on their texts; the chunks' one on what is drawn and on the units, at equal weight, since
+    pictures hold labels and running text.
+    """
+    prose, labels = pair_counts(units), pair_counts(drawn(chunks_))
+    return garbled_units(units, build(prose)).unionByName(garbled_chunks(chunks_, build(blend(prose, labels))))
+
+
+def blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts of both at equal weight."""
+    mass = max(a.sum(), b.sum())
+    return sum((x * (mass / x.sum()) for x in (a, b) if x.sum() > 0), np.zeros_like(a))

@@ -185,13 +185,25 @@ def test_restores(model, pair):
     states = encodings.label([bad], model)[0]
     got = encodings.fix(bad, states, model)
     assert got is not None
-    if "�" not in bad:
+    if pair == encodings.LOST:
+        assert got == (bad, "any>ascii", False)
+    elif "�" not in bad:
         assert got[0] == text
 
 
 def test_sound_texts_are_clean(model):
-    for text in ("plain", "für Außennetze", "при лабораторных проб"):
-        assert not encodings.spans(encodings.label([text], model)[0])
+    for text in ("plain", "für Außennetze", "при лабораторных проб", "Really??", "what? where?"):
+        assert encodings.fix(text, encodings.label([text], model)[0], model) is None
+
+
+def test_pictures_share_a_pair(spark, model):
+    bad = lambda t: encodings._misread(t, ("cp1251", "cp1252"), True)
+    long = [("d", "p", f"c{i}", i, bad("где шпунтового ограждения"), "Arial", 0) for i in range(3)]
+    rows = [*long, ("d", "p", "s", 9, bad("пр"), "Arial", 204), ("d", "p", "k", 10, "где", "Arial", 204), ("d", "q", "s", 1, "où", None, None), ("d", None, "n", 1, None, None, None), (None, "p", "x", 1, "при", None, 5), ("d", "p", "y", 11, bad("проб"), "Symbol", 2)]
+    chunks = spark.createDataFrame(rows + rows, "document_id string, asset_id string, chunk_ref string, chunk_order int, text string, face string, charset int")
+    got = {r.item_id: (r.restored, r.restorable) for r in encodings.garbled_chunks(chunks, model).collect()}
+    assert got == {**{f"c{i}": ("где шпунтового ограждения", True) for i in range(3)}, "s": ("пр", True)}
+    assert encodings.garbled_chunks(chunks.limit(0), model).count() == 0
 
 
 # --- personal information
