@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cyrillic letters in Latin ones; digraphs first.
-DIGRAPHS = (("щ", "sch"), ("Щ", "SCH"), ("ж", "zh"), ("Ж", "ZH"), ("х", "h"), ("Х", "H"), ("ч", "ch"), ("Ч", "CH"), ("ш", "sh"), ("Ш", "SH"), ("ю", "yu"), ("Ю", "YU"), ("я", "ya"), ("Я", "YA"), ("ъ", ""), ("Ъ", ""), ("ь", ""), ("Ь", ""))
-SINGLE = ("абвгдеёзийклмнопрстуфцыэАБВГДЕЁЗИЙКЛМНОПРСТУФЦЫЭ", "abvgdeeziyklmnoprstufcyeABVGDEEZIYKLMNOPRSTUFCYE")
+# Cyrillic letters and their Latin spelling; a capital letter takes a capital first letter.
+LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+}
+LATIN = LETTERS | {c.upper(): spelled.capitalize() for c, spelled in LETTERS.items()}
+#: Letters spelled with several or none, and those spelled with one (as two strings of like length).
+DIGRAPHS = tuple((c, spelled) for c, spelled in LATIN.items() if len(spelled) != 1)
+SINGLE = ("".join(c for c, spelled in LATIN.items() if len(spelled) == 1), "".join(spelled for spelled in LATIN.values() if len(spelled) == 1))
 
 
 def squeeze(text: Column) -> Column:
