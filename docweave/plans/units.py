@@ -116,33 +116,65 @@ def header_footer_dedup(spark, d):
     return u.groupBy("document_id", "type", "text").agg(F.min(F.struct(*_ORDER)).alias("w"), F.count("*").alias("stories")).select("document_id", "type", "text", "w.unit_id", "stories")
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT *, sum(CASE WHEN type = 'section' AND trim(text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY unit_order, unit_id ROWS UNBOUNDED PRECEDING) AS section_no FROM {_U}),
-b AS (SELECT document_id, section_no, unit_id, length(text) AS n, row_number() OVER (PARTITION BY document_id, section_no ORDER BY unit_order, unit_id) AS i FROM s WHERE trim(text) <> '' AND type IN ('section', 'paragraph', 'list_item', 'caption', 'footnote', 'formula')),
-w AS (SELECT document_id, section_no, unit_id, i, n AS size, 1 AS chunk FROM b WHERE i = 1
-UNION ALL SELECT b.document_id, b.section_no, b.unit_id, b.i, CASE WHEN w.size + 2 + b.n > 1200 THEN b.n ELSE w.size + 2 + b.n END, CASE WHEN w.size + 2 + b.n > 1200 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN b ON b.document_id = w.document_id AND b.section_no = w.section_no AND b.i = w.i + 1)
-SELECT document_id, section_no::BIGINT AS section_no, chunk::INT AS chunk, count(*) AS units, max(size)::BIGINT AS chars, min(unit_id) AS first_unit FROM w GROUP BY 1, 2, 3""")
+_STRIP = "regexp_replace({}, '^[\\s\\x0B\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+#: Types of units that chunks are made of, and the most characters of a chunk.
+CHUNKED, CHUNK_CHARS = ("section", "paragraph", "list_item", "caption", "header", "footer", "table_cell", "formula", "figure"), 1200
+
+
+def _stripped(text: str) -> Column:
+    return F.regexp_replace(text, r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT document_id, unit_id, type, unit_order, page, asset_ref, {_STRIP.format('text')} AS text FROM (SELECT DISTINCT document_id, unit_id, type, unit_order, text, page, asset_ref FROM {_U}) WHERE document_id IS NOT NULL),
+s AS (SELECT *, sum(CASE WHEN type = 'section' AND text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY unit_order, unit_id ROWS UNBOUNDED PRECEDING) AS section_no FROM u),
+b AS (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY document_id, section_no ORDER BY unit_order, unit_id) AS i FROM s WHERE text <> '' AND type IN {CHUNKED}),
+w AS (SELECT document_id, section_no, i, n AS size, 1 AS chunk FROM b WHERE i = 1
+UNION ALL SELECT b.document_id, b.section_no, b.i, CASE WHEN w.size + 2 + b.n > {CHUNK_CHARS} THEN b.n ELSE w.size + 2 + b.n END, CASE WHEN w.size + 2 + b.n > {CHUNK_CHARS} THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN b ON b.document_id = w.document_id AND b.section_no = w.section_no AND b.i = w.i + 1),
+c AS (SELECT document_id, section_no, chunk, coalesce(max(text) FILTER (type = 'section'), '') AS section_path, string_agg(unit_id, ' ' ORDER BY i) AS unit_refs, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text, list_sort(list(DISTINCT page) FILTER (page IS NOT NULL)) AS pages, list_sort(list(DISTINCT asset_ref) FILTER (asset_ref <> '')) AS asset_refs FROM w JOIN b USING (document_id, section_no, i) GROUP BY 1, 2, 3),
+p AS (SELECT document_id, section_no, first_value(text) OVER (PARTITION BY document_id, section_no ORDER BY unit_order, unit_id) AS path FROM s WHERE section_no > 0 AND type = 'section' AND text <> '')
+SELECT document_id, printf('c_%06d', row_number() OVER (PARTITION BY document_id ORDER BY section_no, chunk)) AS chunk_id, unit_refs, coalesce((SELECT min(path) FROM p WHERE p.document_id = c.document_id AND p.section_no = c.section_no), '') AS section_path, text, coalesce(array_to_string(pages, ' '), '') AS pages, coalesce(array_to_string(asset_refs, ' '), '') AS asset_refs FROM c""")
 def chunks(spark, d):
-    """Greedy packing up to 1200 characters; a section starts anew, so sections are packed independently."""
-    u = _units(spark, d, "document_id", "unit_id", "type", "unit_order", "text")
-    starts = ((F.col("type") == "section") & (F.trim("text") != "")).cast("int")
-    s = ordered.running_sum(u, "document_id", _ORDER, F.coalesce(starts, F.lit(0)), "section_no").where("trim(text) <> '' and type in ('section', 'paragraph', 'list_item', 'caption', 'footnote', 'formula')")
-    packed = s.groupBy("document_id", "section_no").agg(F.sort_array(F.collect_list(F.struct(*_ORDER, F.length("text").alias("n")))).alias("items"))
+    return chunked(_units(spark, d, "document_id", "unit_id", "type", "unit_order", "text", _PAGE, "asset_ref"))
+
+
+def chunked(u: DataFrame) -> DataFrame:
+    """Greedy packing up to CHUNK_CHARS characters of stripped text, parted by blank lines; a section starts anew and a
+    longer unit stays whole. unit_refs, pages and asset_refs are parted by spaces.
+
+    Sections are packed independently. Their units stream through in order, and what is held is the chunk being packed.
+    """
+    u = u.where("document_id is not null").withColumn("text", _stripped("text"))
+    starts = F.coalesce(((F.col("type") == "section") & (F.col("text") != "")).cast("int"), F.lit(0))
+    s = ordered.running_sum(u, "document_id", _ORDER, starts, "section_no").where(F.col("type").isin(*CHUNKED) & (F.col("text") != ""))
+    s = s.repartition("document_id", "section_no").sortWithinPartitions("document_id", "section_no", *_ORDER)
+    columns = ["document_id", "section_no", "first_order", "first_unit", "unit_refs", "section_path", "text", "pages", "asset_refs"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, no, items in zip(batch["document_id"], batch["section_no"], batch["items"], strict=True):
-                chunk, size = 1, 0
-                for k, x in enumerate(items):
-                    if k and size + 2 + x["n"] > 1200:
-                        chunk, size = chunk + 1, x["n"]
-                    else:
-                        size = size + 2 + x["n"] if k else x["n"]
-                    out.append((doc, no, chunk, x["unit_id"], size))
-            yield pd.DataFrame(out, columns=["document_id", "section_no", "chunk", "unit_id", "size"])
+        key, path, size, held, out = None, "", 0, [], []
+
+        def flush() -> None:
+            if held:
+                pages, assets = sorted({int(x[4]) for x in held if x[4] is not None and x[4] == x[4]}), sorted({x[5] for x in held if x[5]})
+                out.append((*key, held[0][0], held[0][1], " ".join(str(x[1]) for x in held), path, "\n\n".join(x[2] for x in held), " ".join(map(str, pages)), " ".join(assets)))
+                held.clear()
 
-    rows = packed.mapInPandas(pack, "document_id string, section_no long, chunk int, unit_id string, size long")
-    return rows.groupBy("document_id", "section_no", "chunk").agg(F.count("*").alias("units"), F.max("size").alias("chars"), F.min("unit_id").alias("first_unit"))
+        for batch in batches:
+            for doc, no, order, unit, kind, text, page, asset in zip(*[batch[c] for c in ("document_id", "section_no", "unit_order", "unit_id", "type", "text", "page", "asset_ref")], strict=True):
+                if (doc, no) != key:
+                    flush()
+                    key, path = (doc, no), text if kind == "section" else ""
+                elif size + 2 + len(text) > CHUNK_CHARS:
+                    flush()
+                size = size + 2 + len(text) if held else len(text)
+                held.append((order, unit, text, kind, page, asset))
+            yield pd.DataFrame(out, columns=columns)
+            out.clear()
+        flush()
+        yield pd.DataFrame(out, columns=columns)
+
+    made = s.select("document_id", "section_no", "unit_order", "unit_id", "type", "text", "page", "asset_ref").mapInPandas(pack, "document_id string, section_no long, first_order int, first_unit string, unit_refs string, section_path string, text string, pages string, asset_refs string")
+    numbered = ordered.running_sum(made, "document_id", ["first_order", "first_unit"], F.lit(1), "n")
+    return numbered.select("document_id", F.format_string("c_%06d", "n").alias("chunk_id"), "unit_refs", "section_path", "text", "pages", "asset_refs")
 
 
 @query(f"""WITH r AS (SELECT t.document_id, t.unit_id, c.unit_id AS row_id FROM {_U} t JOIN {_U} c ON c.document_id = t.document_id AND c.parent_id = t.unit_id AND c.type = 'table_row' WHERE t.type = 'table'),
@@ -157,13 +189,6 @@ def table_metrics(spark, d):
     return n.groupBy("document_id", "unit_id").agg(F.count("*").alias("row_count"), F.sum("cells").alias("cell_count"), wide.alias("wide_rows"), F.count(F.when(F.col("cells") == 1, 1)).alias("single_cell_rows"), F.max("cells").alias("widest"), F.bround(wide / F.count("*"), 4).alias("wide_row_ratio"))
 
 
-@query(f"SELECT document_id, parent_id AS row_id, string_agg(replace(coalesce(text, ''), chr(10), ' '), ' | ' ORDER BY unit_order, unit_id) AS row_text FROM {_U} WHERE type = 'table_cell' AND parent_id IS NOT NULL GROUP BY 1, 2")
-def table_rows(spark, d):
-    u = _units(spark, d, "document_id", "unit_id", "parent_id", "type", "unit_order", "text").where("type = 'table_cell' and parent_id is not null")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*_ORDER, F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.replace(x.text, F.lit("\n"), F.lit(" "))), " | ")
-    return u.groupBy("document_id", F.col("parent_id").alias("row_id")).agg(joined.alias("row_text"))
-
-
 @query(f"""WITH l AS (SELECT document_id, unit_id, unnest(string_split(text, chr(10))) AS line FROM {_U} WHERE type = 'table' AND text IS NOT NULL),
 c AS (SELECT document_id, unit_id, len(list_filter(list_transform(regexp_split_to_array(line, ' {{2,}}|\\t+|\\|'), lambda x: trim(x)), lambda x: x <> '')) AS width FROM l)
 SELECT document_id, unit_id, arg_max(width, (n, width))::INT AS dominant_width, sum(n)::BIGINT AS lines, count(*) > 1 AS ragged FROM (SELECT document_id, unit_id, width, count(*) AS n FROM c WHERE width >= 2 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
@@ -174,20 +199,88 @@ def dominant_width(spark, d):
     return g.groupBy("document_id", "unit_id").agg(F.max(F.struct("n", "width")).alias("w"), F.sum("n").alias("lines"), F.count("*").alias("k")).select("document_id", "unit_id", F.col("w.width").alias("dominant_width"), "lines", (F.col("k") > 1).alias("ragged"))
 
 
-@query(f"""WITH l AS (SELECT document_id, unit_id, text, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda y: len(list_filter(list_transform(regexp_split_to_array(y, ' {{2,}}|\\t+|\\|'), lambda x: trim(x)), lambda x: x <> ''))) AS widths FROM {_U} WHERE text IS NOT NULL AND type IN ('paragraph', 'table'))
-SELECT document_id, unit_id, len(widths) >= 2 AND len(list_filter(widths, lambda w: w >= 2 AND w = list_max(widths))) >= 2 AS is_table FROM l""")
+#: Rows of a block's cells as SQL: i, cells, the width w of the block, and the island a row belongs to.
+_GRID = f"""b AS (SELECT DISTINCT document_id, unit_id, text FROM {_U} WHERE type IN ('table', 'paragraph') AND text IS NOT NULL),
+x AS (SELECT document_id, unit_id, list_filter(list_transform(string_split(text, chr(10)), lambda y: list_filter(list_transform(regexp_split_to_array(y, ' {{2,}}|\\t+|\\|'), lambda z: trim(z, ' ')), lambda z: z <> '')), lambda r: len(r) > 0) AS r FROM b),
+l AS (SELECT document_id, unit_id, r[i] AS cells, i FROM (SELECT document_id, unit_id, r, unnest(range(1, len(r) + 1)) AS i FROM x)),
+m AS (SELECT document_id, unit_id, arg_max(width, (n, width)) AS w FROM (SELECT document_id, unit_id, len(cells) AS width, count(*) AS n FROM l WHERE len(cells) >= 2 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+g AS (SELECT l.*, m.w, sum(CASE WHEN l.i = 1 OR len(cells) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l.document_id, l.unit_id ORDER BY l.i) AS island FROM l JOIN m ON m.document_id = l.document_id AND m.unit_id = l.unit_id),
+h AS (SELECT document_id, unit_id, island, w, arg_min(cells, i) AS head, string_agg(cells[1], chr(10) ORDER BY i) FILTER (i > first_i) AS more FROM (SELECT *, min(i) OVER (PARTITION BY document_id, unit_id, island) AS first_i FROM g) GROUP BY 1, 2, 3, 4),
+k AS (SELECT document_id, unit_id, island, w, len(head) <> w AS ragged, len(head) AS width, CASE WHEN len(head) > w THEN list_append(head[1:w - 1], array_to_string(head[w:], ' ')) ELSE list_concat(head, list_transform(range(len(head), w), lambda q: '')) END AS cells, more FROM h),
+t AS (SELECT document_id, unit_id, island, w, ragged, width, CASE WHEN more IS NULL THEN cells ELSE list_append(cells[1:w - 1], cells[w] || chr(10) || more) END AS cells FROM k)"""
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """document_id, unit_id, w and rows (array of width as read and cells) of every text block whose lines have cells.
+
+    w is the most frequent width of two cells or more, the greater of several. A line of one cell goes on the row before
+    it; what a wider line has beyond w goes into its last cell, a narrower one is filled up. All in one row's arrays.
+    """
+    u = _units(spark, d, "document_id", "unit_id", "type", "text").where("type in ('table', 'paragraph') and text is not null").select("document_id", "unit_id", "text").distinct()
+    lines = F.filter(F.transform(F.split("text", "\n"), tx.cells), lambda r: F.size(r) > 0)
+    u = u.select("document_id", "unit_id", lines.alias("l")).withColumn("widths", F.filter(F.transform("l", lambda r: F.size(r)), lambda n: n >= 2)).where(F.size("widths") > 0)
+    often = F.transform(F.array_distinct("widths"), lambda n: F.struct(F.size(F.filter("widths", lambda x: x == n)).alias("times"), n.alias("w")))
+    u = u.withColumn("w", F.array_max(often)["w"])
+    w = F.col("w")
+
+    def row(r: Column) -> Column:
+        wide = F.concat(F.slice(r, F.lit(1), w - 1), F.array(F.array_join(F.slice(r, w, F.size(r)), " ")))
+        return F.when(F.size(r) > w, wide).otherwise(F.concat(r, F.array_repeat(F.lit(""), w - F.size(r))))
+
+    def step(rows: Column, r: Column) -> Column:
+        last = F.element_at(rows, -1)
+        longer = F.concat(F.slice(last["cells"], F.lit(1), w - 1), F.array(F.concat(F.element_at(last["cells"], -1), F.lit("\n"), r[0])))
+        joined = F.concat(F.slice(rows, F.lit(1), F.size(rows) - 1), F.array(F.struct(last["width"].alias("width"), longer.alias("cells"))))
+        return F.when((F.size(r) == 1) & (F.size(rows) > 0), joined).otherwise(F.concat(rows, F.array(F.struct(F.size(r).alias("width"), row(r).alias("cells")))))
+
+    return u.select("document_id", "unit_id", "w", F.aggregate("l", F.array().cast("array<struct<width:int,cells:array<string>>>"), step).alias("rows"))
+
+
+@query(f"WITH {_GRID} SELECT document_id, unit_id, w::INT AS width, count(*) AS rows_, bool_or(ragged) AS structure_warning, string_agg(array_to_string(cells, ' | '), chr(10) ORDER BY island) AS grid FROM t GROUP BY 1, 2, 3")
+def table_parse(spark, d):
+    """Blocks of text as rectangular grids; structure_warning where rows had another width."""
+    lines = F.array_join(F.transform("rows", lambda r: F.array_join(r["cells"], " | ")), "\n")
+    return _grid(spark, d).select("document_id", "unit_id", F.col("w").alias("width"), F.size("rows").cast("long").alias("rows_"), F.exists("rows", lambda r: r["width"] != F.col("w")).alias("structure_warning"), lines.alias("grid"))
+
+
+@query(f"""WITH {_GRID}, n AS (SELECT document_id, unit_id, w, count(*) AS rows_, count(*) FILTER (width = w) AS aligned, bool_or(ragged) AS ragged, count(*) FILTER (regexp_full_match(cells[1], '([0-9]+|[A-Za-zА-Яа-яЁё])[.)]?')) AS listed, count(*) FILTER (regexp_full_match(cells[1], '([0-9]+|[A-Za-zА-Яа-яЁё])[.)]?') AND len(list_filter(cells[2:], lambda c: length(c) >= 20)) > 0) AS prose, count(*) FILTER (regexp_full_match(cells[1], '([0-9]+|[A-Za-zА-Яа-яЁё])[.)]?') AND len(list_filter(cells[2:], lambda c: regexp_matches(c, '[0-9]'))) > 0) AS numeric, count(*) FILTER (island > 1 AND len(list_filter(cells[2:], lambda c: regexp_matches(c, '[0-9]'))) > 0) AS signals FROM t GROUP BY 1, 2, 3)
+SELECT document_id, unit_id, rows_ >= 2 AND aligned >= 2 AND NOT (listed >= 2 AND prose >= 2 AND numeric <= 1) AND NOT (w = 2 AND ragged AND signals = 0) AS is_table FROM n""")
 def table_detect(spark, d):
-    u = _units(spark, d, "document_id", "unit_id", "type", "text").where("text is not null and type in ('paragraph', 'table')")
-    widths = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda y: F.size(tx.cells(y)))
-    u = u.select("document_id", "unit_id", widths.alias("w"))
-    return u.select("document_id", "unit_id", ((F.size("w") >= 2) & (F.size(F.filter("w", lambda x: (x >= 2) & (x == F.array_max("w")))) >= 2)).alias("is_table"))
+    """A grid is a table with two rows or more of its width, unless it is a numbered list or two ragged columns without digits."""
+    return _grid(spark, d).select("document_id", "unit_id", _is_table().alias("is_table"))
+
 
+def _is_table() -> Column:
+    w = F.col("w")
+    rest = lambda r: F.slice(r["cells"], F.lit(2), F.size(r["cells"]))
+    listed = F.filter("rows", lambda r: r["cells"][0].rlike(r"^([0-9]+|[A-Za-zА-Яа-яЁё])[.)]?$"))
+    prose = F.size(F.filter(listed, lambda r: F.exists(rest(r), lambda c: F.length(c) >= 20)))
+    numeric = F.size(F.filter(listed, lambda r: F.exists(rest(r), lambda c: c.rlike("[0-9]"))))
+    signals = F.exists(F.slice("rows", F.lit(2), F.size("rows")), lambda r: F.exists(rest(r), lambda c: c.rlike("[0-9]")))
+    aligned = F.size(F.filter("rows", lambda r: r["width"] == w))
+    return (F.size("rows") >= 2) & (aligned >= 2) & ~((F.size(listed) >= 2) & (prose >= 2) & (numeric <= 1)) & ~((w == 2) & F.exists("rows", lambda r: r["width"] != w) & ~signals)
 
-@query(f"""SELECT document_id, unit_id, (row_no - 1)::INT AS row_no, (unnest(range(1, len(cells) + 1)) - 1)::INT AS col_no, unnest(cells) AS cell FROM (SELECT document_id, unit_id, row_no, list_filter(list_transform(regexp_split_to_array(line, ' {{2,}}|\\t+|\\|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM (SELECT document_id, unit_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS row_no FROM {_U} WHERE type = 'table' AND text IS NOT NULL))""")
+
+@query(f"WITH {_GRID} SELECT document_id, unit_id AS table_id, unit_id || printf('_r%03d', island::INT) AS row_id, array_to_string(list_transform(cells, lambda c: replace(c, chr(10), ' ')), ' | ') AS row_text, width::INT AS width FROM t")
+def table_rows(spark, d):
+    """The rows of each grid: single cells joined to the row before, line ends flattened in the row's text."""
+    rows = _grid(spark, d).select("document_id", F.col("unit_id").alias("table_id"), F.posexplode("rows").alias("p", "r"))
+    return rows.select("document_id", "table_id", F.concat("table_id", F.format_string("_r%03d", F.col("p") + 1)).alias("row_id"), F.array_join(F.transform("r.cells", lambda c: F.replace(c, F.lit("\n"), F.lit(" "))), " | ").alias("row_text"), F.col("r.width").alias("width"))
+
+
+@query(f"""WITH {_GRID}, c AS (SELECT document_id, unit_id, island, w, unnest(cells) AS cell, unnest(range(1, len(cells) + 1)) AS j FROM t)
+SELECT document_id, unit_id || '_t' AS unit_id, unit_id AS parent_id, 'table' AS type, '' AS text, 0::BIGINT AS position FROM t GROUP BY ALL
+UNION ALL SELECT document_id, unit_id || printf('_r%03d', island::INT), unit_id || '_t', 'table_row', '', 1 + (island - 1) * (w + 1) FROM t
+UNION ALL SELECT document_id, unit_id || printf('_r%03d_c%03d', island::INT, j::INT), unit_id || printf('_r%03d', island::INT), 'table_cell', cell, 1 + (island - 1) * (w + 1) + j FROM c""")
 def table_units(spark, d):
-    u = _units(spark, d, "document_id", "unit_id", "type", "text").where("type = 'table' and text is not null")
-    rows = u.select("document_id", "unit_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
-    return rows.select("document_id", "unit_id", "row_no", F.posexplode(tx.cells(F.col("line"))).alias("col_no", "cell"))
+    """Each grid as units: the table, its rows, and their cells, with parents and their place in the reading order."""
+    g = _grid(spark, d)
+    tables = g.select("document_id", F.concat("unit_id", F.lit("_t")).alias("unit_id"), F.col("unit_id").alias("parent_id"), F.lit("table").alias("type"), F.lit("").alias("text"), F.lit(0).cast("long").alias("position"))
+    r = g.select("document_id", "unit_id", "w", F.posexplode("rows").alias("p", "r")).withColumn("row_id", F.concat("unit_id", F.format_string("_r%03d", F.col("p") + 1))).withColumn("at", F.lit(1).cast("long") + F.col("p") * (F.col("w") + 1))
+    rows = r.select("document_id", F.col("row_id").alias("unit_id"), F.concat("unit_id", F.lit("_t")).alias("parent_id"), F.lit("table_row").alias("type"), F.lit("").alias("text"), F.col("at").alias("position"))
+    c = r.select("document_id", "row_id", "at", F.posexplode("r.cells").alias("j", "cell"))
+    cells = c.select("document_id", F.concat("row_id", F.format_string("_c%03d", F.col("j") + 1)).alias("unit_id"), F.col("row_id").alias("parent_id"), F.lit("table_cell").alias("type"), F.col("cell").alias("text"), (F.col("at") + F.col("j") + 1).alias("position"))
+    return tables.unionByName(rows).unionByName(cells)
 
 
 @query(f"""SELECT document_id, unit_id, (p + 1)::BIGINT AS paragraph_no, string_agg(line, ' ' ORDER BY i) AS paragraph FROM (SELECT document_id, unit_id, line, i, sum(CASE WHEN regexp_matches(line, '^[0-9]+(\\.[0-9]+)*[.)]? ') AND i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, unit_id ORDER BY i) AS p FROM (SELECT document_id, unit_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {_U} WHERE type = 'paragraph' AND text IS NOT NULL)) GROUP BY ALL""")
