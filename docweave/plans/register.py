@@ -10,11 +10,11 @@ class Registry:
         self.queries: dict[str, Callable] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None) -> Callable:
+    def add(self, sql: str | None = None, name: str | None = None) -> Callable:
         def keep(f: Callable) -> Callable:
-            self.queries[f.__name__] = f
+            self.queries[name or f.__name__] = f
             if sql is not None:
-                self.sql[f.__name__] = sql
+                self.sql[name or f.__name__] = sql
             return f
 
         return keep
