@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions import text as tx
 from docweave.plans.formulas import _translit_sql
@@ -59,9 +60,9 @@ def compact_text(spark, d):
     return _docs(spark, d).select("doc_id", tx.compact(F.col("text"), 120).alias("compacted"))
 
 
-@query(f"SELECT doc_id, line_no, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM {_L} WHERE line_no = 0)")
+@query(f"SELECT doc_id, line_no, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM {_L})")
 def slug(spark, d):
-    return _lines(spark, d).where("line_no = 0").select("doc_id", "line_no", tx.slug(F.col("line")).alias("slug"))
+    return _lines(spark, d).select("doc_id", "line_no", tx.slug(F.col("line")).alias("slug"))
 
 
 @query(f"SELECT doc_id, line_no, replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM {_L} WHERE regexp_matches(line, '[&<>\"]')")
@@ -128,28 +129,7 @@ _LABELS = (
     ("свод правил", r"\bсвод\s+правил\b|" + _ALONE.format("сп")), ("гост", _ALONE.format("гост")), ("санпин", _ALONE.format("санпин")), ("закон", r"\bзакон\b"), ("кодекс", r"\bкодекс\b"),
     ("методические указания", r"\bметодическ(?:ие|их)\s+указан"), ("методические рекомендации", r"\bметодическ(?:ие|их)\s+рекомендац"), ("методическое пособие", r"\bметодическ(?:ое|ого)\s+пособи[ея]\b"), ("методика", r"\bметодик[аиуе]?\b"),
 )
-_STOPS = r"(?iuU)^(в\s+соответствии\b|приказываю\b|постановляет\b|постановляю\b|утвердить\b|1[.)]\s+)"
-
-
-def _classified(patterns: tuple, text: Column, before: str = "") -> Column:
-    """The first label whose pattern is found, else null."""
-    return F.coalesce(*[F.when(text.rlike(f"(?iuU){before}({p})"), k) for k, p in patterns])
-
-
-def _titled(docs: DataFrame) -> DataFrame:
-    """With the first 30 lines (head) and the title lines (l): from two before the first of these that names a type, up to ten or a stop line."""
-    any_type = "(?iuU)(" + "|".join(p for _, p in (*_LABELS, *_KINDS)) + ")"
-    t = docs.withColumn("l", tx.lines(F.col("text")))
-    t = t.withColumn("l", F.slice(F.filter("l", lambda x, i: (i == 0) | (x != F.get("l", i - 1))), 1, 44)).withColumn("head", F.slice("l", 1, 30))
-    at = F.array_position(F.transform("head", lambda x: x.rlike(any_type)), F.lit(True))
-    t = t.withColumn("l", F.slice("l", F.greatest(at - 2, F.lit(1)).cast("int"), F.lit(14)))
-    stop = F.array_position(F.transform("l", lambda x, i: (i > 0) & x.rlike(_STOPS)), F.lit(True))
-    return t.withColumn("l", F.slice("l", F.lit(1), F.when(stop > 0, F.least(stop - 1, F.lit(10))).otherwise(10).cast("int")))
-
-
-def _typed(patterns: tuple, exact: Callable[[Column], Column]) -> Column:
-    first = F.get(F.array_compact(F.transform("l", exact)), F.lit(0))
-    return F.coalesce(first, _classified(patterns, F.array_join("l", "\n")), _classified(patterns, F.substring("text", 1, 1000)), F.lit("unknown"))
+_STOPS = r"^(в\s+соответствии\b|приказываю\b|постановляет\b|постановляю\b|утвердить\b|1[.)]\s+)"
 
 
 _EDGE = {"(?<![A-Za-zА-Яа-яЁё])": "(?:^|[^A-Za-zА-Яа-яЁё])", "(?![A-Za-zА-Яа-яЁё])": "(?:$|[^A-Za-zА-Яа-яЁё])", r"\s": r"[\s\x0B\p{Z}]"}
@@ -162,6 +142,55 @@ def _re2(pattern: str) -> str:
     return re.sub(r"\\b(?=[\w(]|$)(?!\)|$)", r"(?:^|[^\\p{L}\\p{N}_])", pattern).replace("\\b", r"(?:$|[^\p{L}\p{N}_])")
 
 
+def _java(pattern: str) -> str:
+    """The pattern for Java: a word's beginning is checked behind its first letters, so most places fail at one letter."""
+    def turned(one: str) -> str:
+        m = re.match(r"(\\b|\(\?<!\[A-Za-zА-Яа-яЁё\]\))([а-яё]+)(.*)$", one)
+        if not m:
+            return one
+        before = r"[\p{L}\p{N}_]" if m.group(1) == "\\b" else "[A-Za-zА-Яа-яЁё]"
+        return m.group(2) + f"(?<!{before}{m.group(2)})" + m.group(3)
+
+    parts = re.split(r"\|(?=\\b|\(\?<!)", pattern)
+    return "|".join(map(turned, parts)).replace("\\b", r"(?![\p{L}\p{N}_])").replace(r"\s", r"[\s\x0B\p{Z}]")
+
+
+def _classified(patterns: tuple, text: Column, before: str = "") -> Column:
+    """The first label whose pattern is found in a text of lower case, else null."""
+    return F.coalesce(*[F.when(text.rlike(f"{before}({_java(p)})"), k) for k, p in patterns])
+
+
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column computed once. Later uses of a projected column may repeat its expression; what a generator gives they only read."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def _titled(docs: DataFrame) -> DataFrame:
+    """With the first 30 lines (head), the title lines (l), from two before the first of these that names a type, up to ten
+    or a stop line, and which of l name a type (named)."""
+    any_type = "|".join(_java(p) for _, p in (*_LABELS, *_KINDS))
+    stops = _re2(_STOPS)
+    t = _settled(docs, "l", tx.lines(F.col("text")))
+    t = _settled(t, "l", F.slice(F.filter("l", lambda x, i: (i == 0) | (x != F.get("l", i - 1))), 1, 44))
+    t = _settled(t, "head", F.slice("l", 1, 30))
+    t = _settled(t, "at", F.array_position(F.transform("head", lambda x: F.lower(x).rlike(any_type)), F.lit(True)))
+    t = _settled(t, "l", F.slice("l", F.greatest(F.col("at") - 2, F.lit(1)).cast("int"), F.lit(14)))
+    t = _settled(t, "stop", F.array_position(F.transform("l", lambda x, i: (i > 0) & F.lower(x).rlike(stops)), F.lit(True)))
+    t = _settled(t, "l", F.slice("l", F.lit(1), F.when(F.col("stop") > 0, F.least(F.col("stop") - 1, F.lit(10))).otherwise(10).cast("int")))
+    return _settled(t, "named", F.transform("l", lambda x: F.lower(x).rlike(any_type))).drop("at", "stop")
+
+
+def _label(name: Column) -> Column:
+    """The kind of act that a line is, or begins with before a space; null if none."""
+    return F.nullif(F.regexp_extract(F.trim(F.lower(name), F.lit(" .,:;№n")), f"^({_LABEL_NAMES})( |$)", 1), F.lit(""))
+
+
+def _typed(df: DataFrame, name: str, patterns: tuple, exact: Callable[[Column], Column]) -> DataFrame:
+    df = _settled(_settled(df, "joined", F.lower(F.array_join("l", "\n"))), "front", F.lower(F.substring("text", 1, 1000)))
+    first = F.get(F.array_compact(F.transform("l", exact)), F.lit(0))
+    return df.withColumn(name, F.coalesce(first, _classified(patterns, F.col("joined")), _classified(patterns, F.col("front")), F.lit("unknown"))).drop("joined", "front")
+
+
 def _first_sql(patterns: tuple, text: str, before: str = "") -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{before}({_re2(p)})', 'i') THEN '{k}'" for k, p in patterns) + " END"
 
@@ -172,7 +201,7 @@ _TITLED = f"""l0 AS (SELECT doc_id, text, list_filter(list_transform(regexp_spli
 l1 AS (SELECT doc_id, text, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1])[1:44] AS l FROM l0),
 l2 AS (SELECT *, l[1:30] AS head, greatest(coalesce(list_position(list_transform(l[1:30], lambda x: regexp_matches(x, '{_re2(_ANY_TYPE)}', 'i')), true), 0) - 2, 1) AS lo FROM l1),
 l3 AS (SELECT doc_id, text, head, l[lo:lo + 13] AS l FROM l2),
-t AS (SELECT doc_id, text, head, l[1:coalesce(least(nullif(list_position(list_transform(l, lambda x, i: i > 1 AND regexp_matches(x, '{_re2(_STOPS[6:])}', 'i')), true), 0) - 1, 10), 10)] AS l FROM l3)"""
+t AS (SELECT doc_id, text, head, l[1:coalesce(least(nullif(list_position(list_transform(l, lambda x, i: i > 1 AND regexp_matches(x, '{_re2(_STOPS)}', 'i')), true), 0) - 1, 10), 10)] AS l FROM l3)"""
 _LABEL_NAMES = "|".join(k for k, _ in _LABELS)
 
 
@@ -182,22 +211,68 @@ SELECT doc_id, coalesce(kind1, {_first_sql(_KINDS, 'joined')}, {_first_sql(_KIND
 def document_type(spark, d):
     """kind: in three languages; label: kinds of act by their Russian names. Both by the same rules: a title
     line that starts with the label, else the first label found in the title lines, else in the first 1000 characters."""
-    t = _titled(_docs(spark, d))
-    kind = _typed(_KINDS, lambda x: _classified(_KINDS, x, "^"))
-    label = _typed(_LABELS, lambda x: F.nullif(F.regexp_extract(F.trim(F.lower(x), F.lit(" .,:;№n")), f"^({_LABEL_NAMES})( |$)", 1), F.lit("")))
-    return t.select("doc_id", kind.alias("kind"), label.alias("label"))
+    t = _typed(_titled(_docs(spark, d)), "kind", _KINDS, lambda x: _classified(_KINDS, F.lower(x), "^"))
+    return _typed(t, "label", _LABELS, _label).select("doc_id", "kind", "label")
+
+
+_LABEL_SQL = f"coalesce(list_filter(list_transform(l, lambda x: nullif(regexp_extract(trim(lower(x), ' .,:;№n'), '^({_LABEL_NAMES})( |$)', 1), '')), lambda x: x IS NOT NULL)[1], {_first_sql(_LABELS, 'array_to_string(l, chr(10))')}, {_first_sql(_LABELS, 'substr(text, 1, 1000)')}, 'unknown')"
+# A line with a date or a number, and the most characters of a title or summary.
+_DATED = r"(^|[^\p{L}\p{N}_])от\s+[0-9]{1,2}($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])n\s*[\p{L}\p{N}_/-]+|[\p{L}\p{N}_]№\s*[\p{L}\p{N}_/-]+"
+_MOST = 500
+_CLIP_SQL = "CASE WHEN length({0}) <= 500 THEN {0} ELSE regexp_replace(substr({0}, 1, 500), ' [^ ]*$', '') || '…' END"
+_M0 = f"""{_TITLED}, m0 AS (SELECT doc_id, l, {_LABEL_SQL} AS document_type, array_to_string(l, ' ') AS said, coalesce(act_series, '') AS stem, list_transform(l, lambda x: regexp_matches(x, '{_re2(_ANY_TYPE)}', 'i')) AS named FROM t JOIN (SELECT doc_id AS k, act_series FROM documents) s ON s.k = t.doc_id),
+m1 AS (SELECT *, {_CLIP_SQL.format('said')} AS title0, CASE WHEN coalesce(list_position(named, true), 0) > 0 THEN l[list_position(named, true) + 1:] ELSE l END AS rest FROM m0),
+m2 AS (SELECT *, CASE WHEN title0 = '' OR (length(title0) < 40 AND length(stem) > length(title0)) THEN {_CLIP_SQL.format('stem')} ELSE title0 END AS title, list_filter(rest, lambda x: NOT regexp_matches(lower(x), '{_DATED}')) AS kept FROM m1),
+m3 AS (SELECT *, coalesce(list_position(list_transform(kept, lambda x: regexp_matches(x, '{_re2(_STOPS)}', 'i')), true), 0) AS stop FROM m2),
+m4 AS (SELECT *, list_filter(CASE WHEN stop > 0 THEN kept[1:stop - 1] ELSE kept END, lambda x: document_type = 'unknown' OR trim(lower(x), ' .,:;№n') <> document_type) AS subject_lines FROM m3),
+m5 AS (SELECT *, array_to_string(subject_lines, ' ') AS s0 FROM m4),
+m6 AS (SELECT *, coalesce(nullif({_CLIP_SQL.format('s0')}, ''), nullif({_CLIP_SQL.format('stem')}, ''), title) AS subject FROM m5)"""
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, l, document_type, title and subject of each document; the series of an act stands for a file's name."""
+    t = _typed(_titled(_docs(spark, d, "act_series")), "document_type", _LABELS, _label).withColumn("stem", F.coalesce("act_series", F.lit("")))
+    t = _settled(t, "title", tx.clip(F.array_join("l", " "), _MOST))
+    t = _settled(t, "title", F.when((F.col("title") == "") | ((F.length("title") < 40) & (F.length("stem") > F.length("title"))), tx.clip(F.col("stem"), _MOST)).otherwise(F.col("title")))
+    at = F.array_position("named", F.lit(True))
+    t = _settled(t, "kept", F.filter(F.slice("l", (at + 1).cast("int"), F.greatest(F.size("l"), F.lit(1))), lambda x: ~F.lower(x).rlike(_DATED)))
+    t = _settled(t, "stop", F.array_position(F.transform("kept", lambda x: F.lower(x).rlike(_re2(_STOPS))), F.lit(True)))
+    before = F.when(F.col("stop") > 0, F.slice("kept", F.lit(1), (F.col("stop") - 1).cast("int"))).otherwise(F.col("kept"))
+    only_type = lambda x: (F.col("document_type") != "unknown") & (F.trim(F.lower(x), F.lit(" .,:;№n")) == F.col("document_type"))
+    t = _settled(t, "subject", tx.clip(F.array_join(F.filter(before, lambda x: ~only_type(x)), " "), _MOST))
+    return t.withColumn("subject", F.coalesce(F.nullif("subject", F.lit("")), F.nullif(tx.clip(F.col("stem"), _MOST), F.lit("")), "title"))
+
+
+@query(f"WITH {_M0} SELECT doc_id, title, document_type, CASE WHEN document_type = 'unknown' THEN subject ELSE upper(left(document_type, 1)) || substr(document_type, 2) || ': ' || subject END AS summary, CASE WHEN document_type <> 'unknown' AND subject <> '' AND subject <> title AND len(l) >= 2 THEN 'high' WHEN document_type <> 'unknown' OR subject <> '' THEN 'medium' ELSE 'low' END AS confidence FROM m6")
+def document_metadata(spark, d):
+    """Title, type, summary and how sure they are."""
+    c = F.col
+    known = c("document_type") != "unknown"
+    summary = F.when(~known, c("subject")).otherwise(F.concat(F.upper(F.substring("document_type", 1, 1)), F.expr("substring(document_type, 2)"), F.lit(": "), "subject"))
+    sure = F.when(known & (c("subject") != "") & (c("subject") != c("title")) & (F.size("l") >= 2), "high").when(known | (c("subject") != ""), "medium").otherwise("low")
+    return _metadata(spark, d).select("doc_id", "title", "document_type", summary.alias("summary"), sure.alias("confidence"))
+
 
+@query(f"WITH {_M0} SELECT doc_id, subject, len(subject_lines)::INT > 0 AS from_title FROM m6")
+def subject_extract(spark, d):
+    """What a document is about: the title lines behind its type, without dates, numbers and the type, up to where the body
+    begins; else the series, else the title."""
+    t = _metadata(spark, d)
+    before = F.when(F.col("stop") > 0, F.slice("kept", F.lit(1), (F.col("stop") - 1).cast("int"))).otherwise(F.col("kept"))
+    only_type = lambda x: (F.col("document_type") != "unknown") & (F.trim(F.lower(x), F.lit(" .,:;№n")) == F.col("document_type"))
+    return t.select("doc_id", "subject", F.exists(before, lambda x: ~only_type(x)).alias("from_title"))
 
-@query(f"SELECT doc_id, arg_min(line, line_no) AS title FROM {_L} WHERE length(trim(line)) > 3 GROUP BY 1")
+
+@query(f"WITH {_M0} SELECT doc_id, title FROM m6")
 def title_select(spark, d):
-    return _lines(spark, d).where("length(trim(line)) > 3").groupBy("doc_id").agg(F.min(F.struct("line_no", "line")).alias("w")).select("doc_id", F.col("w.line").alias("title"))
+    """The title lines joined, or the series where that says more."""
+    return _metadata(spark, d).select("doc_id", "title")
 
 
-@query(f"SELECT doc_id, position::INT AS position, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS position FROM {_L} WHERE trim(line) <> '') WHERE position <= 10")
+@query(f"WITH {_TITLED} SELECT doc_id, unnest(range(1, len(l) + 1))::INT AS position, unnest(l) AS line FROM t")
 def title_lines(spark, d):
-    """The first ten lines that aren't blank: the feature itself, per document."""
-    kept = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 10)
-    return _docs(spark, d).select("doc_id", F.posexplode(kept).alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("position"), "line")
+    """The lines of the title: the feature itself, at most ten of a document."""
+    return _titled(_docs(spark, d)).select("doc_id", F.posexplode("l").alias("p", "line")).select("doc_id", (F.col("p") + 1).alias("position"), "line")
 
 
 @query(f"SELECT doc_id, line_no, line FROM (SELECT doc_id, line_no, s AS line, lag(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM (SELECT doc_id, line_no, {_SQUEEZE.format('line')} AS s FROM {_L}) WHERE s <> '') WHERE before IS DISTINCT FROM line")
@@ -206,18 +281,24 @@ def metadata_lines(spark, d):
     return s.withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("not (before <=> line)").drop("before")
 
 
-@query(f"WITH {_TITLED} SELECT doc_id, nullif(regexp_extract(text, '№ *([0-9]+(-[0-9]+)?)', 1), '') AS number, try_strptime(nullif(regexp_extract(array_to_string(head, chr(10)), '([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}})', 1), ''), '%d.%m.%Y')::DATE AS dated FROM t")
+@query(f"""WITH {_TITLED}, e AS (SELECT doc_id, list_filter(list_transform(l, lambda x: nullif(regexp_extract(trim(lower(x), ' .,:;№n'), '^({_LABEL_NAMES})( |$)', 1), '')), lambda x: x IS NOT NULL)[1] AS exact, {_first_sql(_LABELS, 'array_to_string(l, chr(10))')} AS header, {_first_sql(_LABELS, 'substr(text, 1, 1000)')} AS body,
+nullif(regexp_extract(text, '№ *([0-9]+(-[0-9]+)?)', 1), '') AS number, try_strptime(nullif(regexp_extract(array_to_string(head, chr(10)), '([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}})', 1), ''), '%d.%m.%Y')::DATE AS dated FROM t)
+SELECT *, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN header IS NOT NULL THEN 'header' WHEN body IS NOT NULL THEN 'body' ELSE 'none' END AS origin FROM e""")
 def header_type(spark, d):
-    """The date is sought in the first 30 lines, the number in the whole text."""
+    """Where a document's type is told: an exact label in the title comes before a pattern in it, the title before the body.
+    Beside it the date in the first 30 lines and the number in the whole text."""
+    t = _settled(_settled(_titled(_docs(spark, d)), "joined", F.lower(F.array_join("l", "\n"))), "front", F.lower(F.substring("text", 1, 1000)))
     dated = F.regexp_extract(F.array_join("head", "\n"), r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1)
-    return _titled(_docs(spark, d)).select("doc_id", F.nullif(F.regexp_extract("text", "№ *([0-9]+(-[0-9]+)?)", 1), F.lit("")).alias("number"), F.try_to_timestamp(F.nullif(dated, F.lit("")), F.lit("dd.MM.yyyy")).cast("date").alias("dated"))
+    t = t.select(
+        "doc_id", F.get(F.array_compact(F.transform("l", _label)), F.lit(0)).alias("exact"), _classified(_LABELS, F.col("joined")).alias("header"), _classified(_LABELS, F.col("front")).alias("body"),
+        F.nullif(F.regexp_extract("text", "№ *([0-9]+(-[0-9]+)?)", 1), F.lit("")).alias("number"), F.try_to_timestamp(F.nullif(dated, F.lit("")), F.lit("dd.MM.yyyy")).cast("date").alias("dated"),
+    )
+    return t.withColumn("origin", F.when(F.col("exact").isNotNull(), "exact").when(F.col("header").isNotNull(), "header").when(F.col("body").isNotNull(), "body").otherwise("none"))
 
 
-@query("SELECT doc_id, CASE WHEN document_type IS NOT NULL AND act_series IS NOT NULL THEN 'high' WHEN document_type IS NOT NULL OR source IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM documents")
+@query(f"WITH {_M0} SELECT doc_id, CASE WHEN document_type <> 'unknown' AND subject <> '' AND subject <> title AND len(l) >= 2 THEN 'high' WHEN document_type <> 'unknown' OR subject <> '' THEN 'medium' ELSE 'low' END AS confidence FROM m6")
 def metadata_confidence(spark, d):
-    c = F.col
-    level = F.when(c("document_type").isNotNull() & c("act_series").isNotNull(), "high").when(c("document_type").isNotNull() | c("source").isNotNull(), "medium").otherwise("low")
-    return table(spark, d, "documents", "doc_id", "document_type", "act_series", "source").select("doc_id", level.alias("confidence"))
+    return document_metadata(spark, d).select("doc_id", "confidence")
 
 
 @query("SELECT text_sha, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha256(text) AS text_sha, doc_id FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) > 1")
@@ -225,9 +306,49 @@ def exact_copies(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("text_sha")).groupBy("text_sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("SELECT event_id, regexp_replace(props, '\"k\": *[0-9]+', '\"k\": \"***\"') AS redacted, json_extract_string(props, '$.k') AS k FROM events")
+# What is no secret, and the least length of one.
+_NO_SECRET, _SECRET_CHARS = ("", "paste-api-key-here", "your-api-key-here", "change-me"), 4
+
+
+def redacted(text: Column, secrets: dict[str, str]) -> Column:
+    """The text with every secret value replaced by the name of its setting, the longest value first.
+
+    secrets: settings by name; only names that hold API_KEY, TOKEN or SECRET count, values are stripped, and of settings
+    with one value the first names it. Null stays null.
+    """
+    named: dict[str, str] = {}
+    for key, raw in secrets.items():
+        value = raw.strip()
+        if any(mark in key.upper() for mark in ("API_KEY", "TOKEN", "SECRET")) and len(value) >= _SECRET_CHARS and value.lower() not in _NO_SECRET:
+            named.setdefault(value, key)
+    for value in sorted(named, key=len, reverse=True):
+        text = F.replace(text, F.lit(value), F.lit(f"[REDACTED_ENV:{named[value]}]"))
+    return text
+
+
+def redacted_frame(df: DataFrame, secrets: dict[str, str]) -> DataFrame:
+    """df with every string in it redacted, at any depth of structs, arrays and map values; keys and names stay."""
+    def deep(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return redacted(value, secrets)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: deep(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(value, lambda _, x: deep(x, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*[deep(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return value
+
+    return df.select(*[deep(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+#: Words of the corpus that stand for secrets in the query.
+_SECRETS = {"DEMO_API_KEY": "camera", "SECOND_TOKEN": "cameras and", "THE_SECRET": "смет", "OTHER_TOKEN": "сметной", "PATH": "the", "SHORT_TOKEN": "abc", "SAME_SECRET": "смет", "EMPTY_TOKEN": "change-me"}
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, 'cameras and', '[REDACTED_ENV:SECOND_TOKEN]'), 'сметной', '[REDACTED_ENV:OTHER_TOKEN]'), 'camera', '[REDACTED_ENV:DEMO_API_KEY]'), 'смет', '[REDACTED_ENV:THE_SECRET]') AS text, source, lang FROM documents")
 def redact(spark, d):
-    return table(spark, d, "events", "event_id", "props").select("event_id", F.regexp_replace("props", r'"k": *[0-9]+', '"k": "***"').alias("redacted"), F.get_json_object("props", "$.k").alias("k"))
+    return redacted_frame(table(spark, d, "documents", "doc_id", "text", "source", "lang"), _SECRETS)
 
 
 @query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:00:00') AS hour, count(*) AS n, sum(value::DECIMAL(18, 4))::DOUBLE AS value FROM events GROUP BY 1, 2")
