@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +91,13 @@ def _unit_struct(df: DataFrame) -> T.StructType:
     return df.schema["units"].dataType.elementType
 
 
-def _flatten(df: DataFrame, schema: T.StructType, make) -> DataFrame:
+def _pruned(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """document_id and units with these fields alone, so the scan reads no others and no others cross into Python."""
+    known = [f for f in fields if f in _unit_struct(df).names]
+    return df.select("document_id", F.transform("units", lambda u: F.when(u.isNotNull(), F.struct(*[u[f].alias(f) for f in known]))).alias("units"))
+
+
+def _flatten(df: DataFrame, schema: T.StructType, make, fields: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = schema.names
         for batch in batches:
@@ -101,7 +106,7 @@ def _flatten(df: DataFrame, schema: T.StructType, make) -> DataFrame:
                 arrow = _arrow_schema(schema)
                 yield pa.RecordBatch.from_arrays([_cast(columns[n], arrow.field(n).type) for n in names], schema=arrow)
 
-    return df.select("document_id", "units").mapInArrow(run, schema)
+    return _pruned(df, fields).mapInArrow(run, schema)
 
 
 def units_table(df: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def units_table(df: DataFrame) -> DataFrame:
         ids, structs = _units(batch)
         return _fields(structs) | {"document_id": ids}
 
-    return _flatten(df, schema, make)
+    return _flatten(df, schema, make, tuple(f.name for f in scalars))
 
 
 def child_table(df: DataFrame, name: str) -> DataFrame:
@@ -131,7 +136,7 @@ def child_table(df: DataFrame, name: str) -> DataFrame:
         keep = pa.array(np.flatnonzero(holds_value(parts[name])))
         return {label.get(k, k): v for k, v in _fields(parts[name].take(keep)).items()} | {"document_id": ids.take(keep), "unit_id": parts["unit_id"].take(keep)}
 
-    return _flatten(df, schema, make)
+    return _flatten(df, schema, make, ("unit_id", name))
 
 
 def _map_entries(array: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -152,7 +157,7 @@ def variables_table(df: DataFrame) -> DataFrame:
         of = pa.array(parents)
         return {"document_id": ids.take(of), "unit_id": parts["unit_id"].take(of), "variable": keys, "value": values}
 
-    return _flatten(df, schema, make)
+    return _flatten(df, schema, make, ("unit_id", "formula"))
 
 
 def provenance_table(df: DataFrame) -> DataFrame:
@@ -167,7 +172,7 @@ def provenance_table(df: DataFrame) -> DataFrame:
         keep = pa.array(np.flatnonzero(holds_value(provenance)))
         return _fields(provenance.take(keep)) | {"document_id": ids.take(keep), "unit_id": parts["unit_id"].take(keep)}
 
-    return _flatten(df, schema, make)
+    return _flatten(df, schema, make, ("unit_id", "formula"))
 
 
 def warnings_table(df: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def warnings_table(df: DataFrame) -> DataFrame:
         position = index - _lengths(warnings)[0][parents]
         return {"document_id": ids.take(of), "unit_id": parts["unit_id"].take(of), "position": pa.array(position), "warning": _child_values(warnings).take(pa.array(index))}
 
-    return _flatten(df, schema, make)
+    return _flatten(df, schema, make, ("unit_id", "formula"))
 
 
 def child_keys(df: DataFrame) -> DataFrame:
@@ -209,7 +214,49 @@ def child_keys(df: DataFrame) -> DataFrame:
         of = pa.array(np.concatenate(which))
         return {"document_id": ids.take(of), "unit_id": parts["unit_id"].take(of), "child_table": pa.concat_arrays(tables), "child_key": pa.concat_arrays(keys)}
 
-    return _flatten(df, schema, make)
+    return _flatten(df, schema, make, ("unit_id", *CHILD_OBJECTS))
+
+
+def quality_table(df: DataFrame) -> DataFrame:
+    """One row per flag or warning of a unit's quality, also a null one: document_id, unit_id, kind ('flag' or 'warning'),
+    position (from 0), value."""
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in ("document_id", "unit_id", "kind")], T.StructField("position", T.IntegerType()), T.StructField("value", T.StringType())])
+
+    def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids, structs = _units(batch)
+        parts = _fields(structs)
+        lists = _fields(parts["quality"])
+        of, places, values, kinds = [], [], [], []
+        for name, kind in (("flags", "flag"), ("warnings", "warning")):
+            index, parents = _explode(lists[name])
+            of.append(parents)
+            places.append(index - _lengths(lists[name])[0][parents])
+            values.append(_child_values(lists[name]).take(pa.array(index)))
+            kinds.append(pa.array([kind] * len(parents), pa.string()))
+        at = pa.array(np.concatenate(of))
+        return {"document_id": ids.take(at), "unit_id": parts["unit_id"].take(at), "kind": pa.concat_arrays(kinds), "position": pa.array(np.concatenate(places)), "value": pa.concat_arrays([_cast(v, pa.string()) for v in values])}
+
+    return _flatten(df, schema, make, ("unit_id", "quality"))
+
+
+def assets_table(df: DataFrame) -> DataFrame:
+    """One row per asset that isn't null: document_id, then its fields; an asset's own document_id gets a prefix."""
+    fields = df.schema["assets"].dataType.elementType.fields
+    label = {f.name: f"asset_{f.name}" if f.name == "document_id" else f.name for f in fields}
+    schema = T.StructType([T.StructField("document_id", T.StringType()), *[T.StructField(label[f.name], f.dataType) for f in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = _arrow_schema(schema)
+        for batch in batches:
+            if batch.num_rows:
+                assets = _plain(batch.column("assets"))
+                index, parents = _explode(assets)
+                structs = _child_values(assets).take(pa.array(index))
+                keep = np.flatnonzero(np.asarray(structs.is_valid()))
+                columns = {label[k]: v for k, v in _fields(structs.take(pa.array(keep))).items()} | {"document_id": _plain(batch.column("document_id")).take(pa.array(parents[keep]))}
+                yield pa.RecordBatch.from_arrays([_cast(columns[n], arrow.field(n).type) for n in schema.names], schema=arrow)
+
+    return df.select("document_id", "assets").mapInArrow(run, schema)
 
 
 def documents_table(df: DataFrame) -> DataFrame:
@@ -221,4 +268,9 @@ def documents_table(df: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["CHILD_OBJECTS", "child_keys", "child_table", "documents_table", "holds_value", "pc", "provenance_table", "units_table", "variables_table", "warnings_table"]
+def document_warnings(df: DataFrame) -> DataFrame:
+    """One row per warning of a delivery's processing: document_id, run_id, position (from 0), warning (built-in projection)."""
+    return df.select("document_id", "run_id", F.posexplode("processing.warnings").alias("position", "warning"))
+
+
+__all__ = ["CHILD_OBJECTS", "assets_table", "child_keys", "child_table", "document_warnings", "documents_table", "holds_value", "provenance_table", "quality_table", "units_table", "variables_table", "warnings_table"]

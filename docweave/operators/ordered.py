@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.session import cut_lineage
+
 #: Values of the order column that one stretch spans.
 STRETCH = 4096
 
@@ -46,3 +48,21 @@ def previous(df: DataFrame, group: str, order: list[str], value: Column, name: s
     ends = rows.groupBy(group, "_stretch").agg(F.max_by(F.struct("_v"), F.struct(*order)).alias("_e"))
     base = ends.select(group, "_stretch", F.lag("_e").over(Window.partitionBy(group).orderBy("_stretch")).alias("_base"))
     return rows.withColumn("_own", own).withColumn("_first", first).join(base, [group, "_stretch"]).withColumn(name, F.when(F.col("_first"), F.col("_base._v")).otherwise(F.col("_own"))).drop("_stretch", "_v", "_own", "_base", "_first")
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, slices: int = 64) -> DataFrame:
+    """df with the place of each row in its group's order, from 1; the order's columns must tell the rows of a group apart.
+
+    For orders that aren't numbers: rows are sorted by range over all tasks, counted in each part, and a part's counts per
+    group come from a window over one row per group and part.
+    """
+    spread = df.repartitionByRange(slices, *group, *order)
+    rows = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    sums = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.withColumn("_own", own).join(base, same).withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base", "_p", *[f"_g{i}" for i in range(len(group))])

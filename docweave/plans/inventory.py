@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.operators import ordered
 from docweave.plans.register import Registry
 from docweave.sources.tables import table
 
@@ -103,13 +104,29 @@ def resume_join(spark, d):
     return c.withColumn("r", F.max("ok").over(earlier)).groupBy("run_id", "relative_path").agg(F.max("r").alias("resumed_from"))
 
 
-@query("SELECT r.run_id, r.tool_version, count(DISTINCT m.relative_path) AS files, count(DISTINCT m.relative_path) FILTER (m.status = 'failed') AS failed, count(DISTINCT m.relative_path) FILTER (m.status = 'skipped_duplicate') AS duplicates FROM runs r LEFT JOIN manifest m ON m.run_id = r.run_id GROUP BY 1, 2")
+_SUMMED = (("success", "status = 'success'"), ("partial", "status = 'partial_success'"), ("failed", "status = 'failed'"), ("duplicates", "status = 'skipped_duplicate'"), ("unsupported", "status = 'skipped_unsupported'"), ("units", None), ("pages", None))
+_REASON_SQL = "SELECT run_id, string_agg(reason || '=' || n, ';' ORDER BY reason) AS {1} FROM (SELECT run_id, reason, count(*) AS n FROM (SELECT DISTINCT run_id, relative_path, {0} AS reason FROM manifest WHERE relative_path IS NOT NULL) WHERE reason <> '' GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(f"""WITH m AS (SELECT run_id, relative_path, max(status) AS status, max(coalesce(units_count, 0)) AS units, max(coalesce(pages, 0)) AS pages FROM manifest WHERE relative_path IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT run_id, count(*) AS files, {', '.join(f"count(*) FILTER ({c}) AS {n}" if c else f"sum({n})::BIGINT AS {n}" for n, c in _SUMMED)} FROM m GROUP BY 1),
+w AS ({_REASON_SQL.format("unnest(warnings)", "warning_reasons")}), e AS ({_REASON_SQL.format("error", "error_reasons")}), o AS ({_REASON_SQL.format("route", "routes")})
+SELECT r.run_id, r.tool_version, coalesce(files, 0) AS files, {', '.join(f"coalesce({n}, 0) AS {n}" for n, _ in _SUMMED)}, coalesce(warning_reasons, '') AS warning_reasons, coalesce(error_reasons, '') AS error_reasons, coalesce(routes, '') AS routes FROM runs r LEFT JOIN c USING (run_id) LEFT JOIN w USING (run_id) LEFT JOIN e USING (run_id) LEFT JOIN o USING (run_id)""")
 def run_summary(spark, d):
-    # the distinct status of each file first, so a run with most of the rows is counted in many tasks
-    m = table(spark, d, "manifest", "run_id", "relative_path", "status").distinct().groupBy("run_id", "relative_path").agg(F.max((F.col("status") == "failed").cast("int")).alias("f"), F.max((F.col("status") == "skipped_duplicate").cast("int")).alias("s"))
-    g = m.where("relative_path is not null").groupBy("run_id").agg(F.count("*").alias("files"), F.sum("f").alias("failed"), F.sum("s").alias("duplicates"))
-    out = table(spark, d, "runs", "run_id", "tool_version").join(g, "run_id", "left")
-    return out.select("run_id", "tool_version", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files", "failed", "duplicates")])
+    """Eight counters of each run, and how often each warning, error and route occurs in its files."""
+    m = table(spark, d, "manifest", "run_id", "relative_path", "status", "units_count", "pages", "warnings", "error", "route").where("relative_path is not null")
+    # one row per file first, so a run with most of the rows is counted in many tasks
+    f = m.groupBy("run_id", "relative_path").agg(F.max("status").alias("status"), F.max(F.coalesce("units_count", F.lit(0))).alias("units"), F.max(F.coalesce("pages", F.lit(0))).alias("pages"))
+    counters = f.groupBy("run_id").agg(F.count("*").alias("files"), *[F.count(F.when(F.expr(c), 1)).alias(n) if c else F.sum(n).alias(n) for n, c in _SUMMED])
+
+    def reasons(value: Column, name: str) -> DataFrame:
+        each = m.select("run_id", "relative_path", value.alias("reason")).distinct().where("reason <> ''").groupBy("run_id", "reason").agg(F.count("*").alias("n"))
+        return each.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("reason", "n"))), lambda x: F.concat(x.reason, F.lit("="), x.n.cast("string"))), ";").alias(name))
+
+    out = table(spark, d, "runs", "run_id", "tool_version").join(counters, "run_id", "left")
+    for value, name in ((F.explode("warnings"), "warning_reasons"), (F.col("error"), "error_reasons"), (F.col("route"), "routes")):
+        out = out.join(reasons(value, name), "run_id", "left")
+    return out.select("run_id", "tool_version", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files", *[n for n, _ in _SUMMED])], *[F.coalesce(c, F.lit("")).alias(c) for c in ("warning_reasons", "error_reasons", "routes")])
 
 
 @query("""SELECT run_id, CASE WHEN f > 0 AND ok = 0 THEN 'failed' WHEN f > 0 OR p > 0 THEN 'partial_success' ELSE 'success' END AS status
@@ -190,8 +207,9 @@ def drift_check(spark, d):
 
 @query("SELECT DISTINCT lower(relative_path) AS folded, relative_path, row_number() OVER (PARTITION BY run_id ORDER BY lower(relative_path), relative_path) AS position, run_id FROM (SELECT DISTINCT run_id, relative_path FROM manifest)")
 def path_sort(spark, d):
-    w = Window.partitionBy("run_id").orderBy("folded", "relative_path")
-    return _files(spark, d, "run_id", "relative_path").withColumn("folded", F.lower("relative_path")).withColumn("position", F.row_number().over(w).cast("long"))
+    """The place of each path in its run. Runs are cut by range into stretches of paths, which are counted apart."""
+    f = _files(spark, d, "run_id", "relative_path").withColumn("folded", F.lower("relative_path"))
+    return ordered.ranked(f, ["run_id"], ["folded", "relative_path"], "position")
 
 
 @query("SELECT logged_at, run_id, event, relative_path, CASE WHEN event LIKE '%failed%' THEN 'error' WHEN event LIKE '%partial%' OR event LIKE '%cancel%' THEN 'warning' ELSE 'info' END AS level FROM run_log")
@@ -215,9 +233,11 @@ def latest_event(spark, d):
 @query("""SELECT run_id, logged_at, event, relative_path, count(*) FILTER (event <> 'document_started') OVER (PARTITION BY run_id ORDER BY logged_at, event, relative_path ROWS UNBOUNDED PRECEDING) AS processed
 FROM (SELECT DISTINCT run_id, logged_at, event, relative_path FROM run_log WHERE logged_at IS NOT NULL AND relative_path IS NOT NULL)""")
 def progress_curve(spark, d):
+    """How many files of a run are processed by each event; a run of any size is counted in stretches of its time."""
     e = table(spark, d, "run_log", "run_id", "logged_at", "event", "relative_path").where("logged_at is not null and relative_path is not null").distinct()
-    w = Window.partitionBy("run_id").orderBy("logged_at", "event", "relative_path").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("processed", F.count(F.when(F.col("event") != "document_started", 1)).over(w))
+    e = e.withColumn("second", F.unix_timestamp("logged_at"))
+    counted = F.coalesce((F.col("event") != "document_started").cast("int"), F.lit(0))
+    return ordered.running_sum(e, "run_id", ["second", "logged_at", "event", "relative_path"], counted, "processed").select("run_id", "logged_at", "event", "relative_path", "processed")
 
 
 @query("SELECT date_trunc('day', logged_at) AS day, event, count(*) AS n FROM run_log WHERE logged_at >= (SELECT max(logged_at) FROM run_log) - INTERVAL 7 DAY GROUP BY 1, 2")

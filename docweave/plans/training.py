@@ -26,6 +26,7 @@ def p1_source_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Provenance, variables and warnings are tables of their own."""
     return nested.child_table(_packages(spark, d), "formula").select("document_id", "unit_id", "source_format", "linear_text", "display_latex", "calc_expr", "confidence", F.size("warnings").alias("n_warnings"))
 
 
@@ -45,6 +46,18 @@ def p1_warnings(spark: SparkSession, d: str) -> DataFrame:
     return nested.warnings_table(_packages(spark, d))
 
 
+def p1_quality(spark: SparkSession, d: str) -> DataFrame:
+    return nested.quality_table(_packages(spark, d))
+
+
+def p1_assets(spark: SparkSession, d: str) -> DataFrame:
+    return nested.assets_table(table(spark, d, "packages", "document_id", "assets"))
+
+
+def p1_document_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return nested.document_warnings(table(spark, d, "packages", "document_id", "run_id", "processing"))
+
+
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return nested.documents_table(table(spark, d, "packages"))
 
@@ -68,7 +81,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("scope").alias("document_id"), F.col("ancestor").alias("unit_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_source_refs, p1_formulas, p1_cells, p1_variables, p1_provenance, p1_warnings, p1_documents, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_source_refs, p1_formulas, p1_cells, p1_variables, p1_provenance, p1_warnings, p1_quality, p1_assets, p1_document_warnings, p1_documents, p5_found, p5_paths, p5_descendants)}
 
 _U = "(SELECT document_id, u FROM (SELECT document_id, unnest(units) AS u FROM packages) WHERE u IS NOT NULL)"
 _SREF = "(u.source_ref.document_id IS NOT NULL OR u.source_ref.page IS NOT NULL OR len(u.source_ref.bbox) > 0 OR u.source_ref.docx_path IS NOT NULL OR u.source_ref.coordinate_system IS NOT NULL OR u.source_ref.page_width IS NOT NULL OR u.source_ref.page_height IS NOT NULL)"
@@ -94,6 +107,9 @@ UNION ALL SELECT DISTINCT document_id, unit_id, 'variable', k FROM (SELECT docum
     "p1_variables": f"SELECT document_id, unit_id, e.key AS variable, e.value AS value FROM (SELECT document_id, u.unit_id AS unit_id, unnest(map_entries(u.formula.variables)) AS e FROM {_U})",
     "p1_provenance": f"SELECT document_id, u.unit_id AS unit_id, u.formula.provenance.parser_path AS parser_path, u.formula.provenance.normalization AS normalization, u.formula.provenance.confidence_basis AS confidence_basis FROM {_U} WHERE {_PROVENANCE}",
     "p1_warnings": f"SELECT document_id, unit_id, (i - 1)::INT AS position, w[i] AS warning FROM (SELECT document_id, u.unit_id AS unit_id, u.formula.warnings AS w, unnest(range(1, len(u.formula.warnings) + 1)) AS i FROM {_U})",
+    "p1_quality": f"SELECT document_id, unit_id, kind, (i - 1)::INT AS position, w[i] AS value FROM (SELECT document_id, u.unit_id AS unit_id, 'flag' AS kind, u.quality.flags AS w, unnest(range(1, len(u.quality.flags) + 1)) AS i FROM {_U} UNION ALL SELECT document_id, u.unit_id, 'warning', u.quality.warnings, unnest(range(1, len(u.quality.warnings) + 1)) FROM {_U})",
+    "p1_assets": "SELECT document_id, a.asset_id AS asset_id, a.type AS type, a.path AS path, a.unit_id AS unit_id, a.sha256 AS sha256, a.filename AS filename, a.size_bytes AS size_bytes, a.media_type AS media_type FROM (SELECT document_id, unnest(assets) AS a FROM packages) WHERE a IS NOT NULL",
+    "p1_document_warnings": "SELECT document_id, run_id, (i - 1)::INT AS position, processing.warnings[i] AS warning FROM (SELECT document_id, run_id, processing, unnest(range(1, len(processing.warnings) + 1)) AS i FROM packages)",
     "p1_documents": "SELECT schema_version, document_id, source.original_path AS original_path, source.relative_input_path AS relative_input_path, source.filename AS filename, source.format AS format, source.sha256 AS sha256, source.size_bytes AS size_bytes, processing.route AS route, processing.status AS status, processing.ocr_applied AS ocr_applied, metadata.title AS title, metadata.document_type AS document_type, CAST(coalesce(len(units), 0) AS INTEGER) AS n_units, CAST(coalesce(len(assets), 0) AS INTEGER) AS n_assets, run_id, received_at FROM packages",
     "p5_paths": f"WITH {_TREE} SELECT l.document_id, l.unit_id, w.root_id, w.depth, w.path FROM l LEFT JOIN w ON w.document_id = l.document_id AND w.unit_id = l.unit_id",
     "p5_found": f"""WITH {_TREE}, stuck AS (SELECT l.document_id, l.unit_id, l.parent_id FROM l WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.document_id = l.document_id AND w.unit_id = l.unit_id)),
