@@ -1 +1 @@
-"""Structured Streaming counterparts of the batch operators."""
+"""Structured streaming over the event log and arriving files."""
