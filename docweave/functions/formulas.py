@@ -25,7 +25,7 @@ WMF, LINEARIZED, RECOVERED = "mathtype_wmf_text_records", "docx_text_linearized"
 
 #: Steps of normalisation as (pattern, replacement), for Java and RE2 alike.
 NORMALIZE = (
-    (r"\s*[,;]?\s*\([0-9]+(?:\.[0-9]+)*\),?\s*$", ""), (r"(?i)\s*,?\s*где:\s*$", ""), (r"\s*[,;]\s*$", ""), (r"\s+", " "),
+    (r"\s*[,;]?\s*\([0-9]+(?:\.[0-9]+)*\),?\s*$", ""), (r"\s*,?\s*[гГ][дД][еЕ]:\s*$", ""), (r"\s*[,;]\s*$", ""), (r"\s+", " "),
 )
 _WRAPPED = tuple(CONTINUES)
 
