@@ -1,9 +1,10 @@
 """Noise in text from scanned pages: running headers, page numbers, broken words, misread characters.
 
 Lines are compared by a key in which words stand by their confusable-glyph skeleton and numbers are masked; a key
-that returns on several pages of a document is its running header. Words of the body are grouped by skeleton;
-of a group, the forms that are frequent in the sound text of the same corpus (their context) are kept, and any
-other form is a misreading of the most frequent one. A word broken at a line's end is joined if the joined form, or one of its skeleton,
+that returns on several pages of a document is its running header. Words of the body are grouped by skeleton with the
+forms that are frequent in the sound text of the same corpus. A form that isn't known there, or is far rarer than
+another, is read as one of the known ones: where a group has several, as the one that sound text most often has beside
+the same neighbouring words, and of those that it has alike, as the most frequent. A word broken at a line's end is joined if the joined form, or one of its skeleton,
 is better known than the form with the hyphen. Windows over the reading order then join lines and units into
 paragraphs.
 
@@ -17,10 +18,12 @@ Defined results
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,8 +168,7 @@ def unit_words(lines: list[str]) -> tuple[set[str], list[tuple[str, str, str]]]:
         line = line.strip(" ")
         if not line:
             continue
-        tail = len(text) - len(text[-LONGEST:])
-        end = _END.search(text, tail) if text and text.rstrip(" ")[-1:] in MARKS else None
+        end = _end(text)
         begin = _BEGIN.match(line) if end else None
         if end and begin and begin.group()[0].islower() | begin.group()[0].isdigit() | (begin.group().isupper() and end.group(1).isupper()):
             left, right = end.group(1).lower(), begin.group().lower()
@@ -175,23 +177,32 @@ def unit_words(lines: list[str]) -> tuple[set[str], list[tuple[str, str, str]]]:
             text = text[: end.start(2)] + "\0" + line  # whole again for the words below, but not taken as read
             continue
         text = f"{text} {line}" if text else line
-    words: set[str] = set()
+    return {w for w in read_words(text) if len(w) > 2}, breaks
+
+
+def read_words(text: str) -> list[str]:
+    """Words as read, in order and lower case; \\0 stands where a broken word was put together."""
+    out = []
     for part in text.replace("/", " ").split():
         bare = part.strip(_EDGES)
         if bare.isalpha():
-            if len(bare) > 2:
-                words.add(bare.lower())
+            out.append(bare.lower())
             continue
         for piece in bare.replace("\0", "").split("-") if "\0" not in bare else [bare.replace("\0", "")]:
             found = _READ.search(piece)
-            if found and len(found.group()) > 2:
-                words.add(found.group().lower())
-    return words, breaks
+            if found:
+                out.append(found.group().lower())
+    return out
 
 
-#: Signs that stand around words; characters of a line's end that are searched for a broken word.
+#: Signs that stand around words.
 _EDGES = ".,;:()«»\"„“”'"
-LONGEST = 80
+
+
+def _end(text: str) -> re.Match | None:
+    """A word with a mark at the very end of the text."""
+    bare = text.rstrip(" ")
+    return _END.search(text, bare.rfind(" ") + 1) if bare[-1:] in MARKS and bare else None
 
 
 def known_words(counts: DataFrame) -> DataFrame:
@@ -206,12 +217,89 @@ def _with_skeleton(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "word string, skeleton string")
 
 
-def misread(body: DataFrame, counts: DataFrame) -> DataFrame:
-    """word and its right form, for each word of the body that is a misreading."""
+def options(body: DataFrame, counts: DataFrame) -> DataFrame:
+    """word and forms (array of n and form, the most frequent first) for each word of the body that may be a misreading.
+
+    A word that isn't known may be any known form of its skeleton; one that is known, but far rarer than the most
+    frequent form, may also be itself.
+    """
     read = _with_skeleton(body.select(F.explode("words").alias("word")).distinct())
-    best = known_words(counts).groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("b"))
+    best = known_words(counts).groupBy("skeleton").agg(F.sort_array(F.collect_list(F.struct("n", F.col("word").alias("form"))), asc=False).alias("forms"))  # as many as words may look alike
     own = counts.select("word", F.col("n").alias("own"))
-    return read.join(best, "skeleton").join(own, "word", "left").where((F.coalesce("own", F.lit(0)) < KNOWN) | (F.col("own") * RARER < F.col("b.n"))).where("word != b.word").select("word", F.col("b.word").alias("right_form"))
+    most = F.col("forms")[0]["n"]
+    return read.join(best, "skeleton").join(own, "word", "left").where((F.coalesce("own", F.lit(0)) < KNOWN) | (F.col("own") * RARER < most)).select("word", "forms")
+
+
+def misread(options_: DataFrame) -> DataFrame:
+    """word and its right form, for each misread word that can be one form only."""
+    return options_.where(F.size("forms") == 1).select("word", F.col("forms")[0]["form"].alias("right_form")).where("word != right_form")
+
+
+#: Size of the sets that tell which words' neighbours are looked at. A word outside may get in by chance; none is left out.
+BITS = 1 << 20
+
+
+def _bits(words: DataFrame) -> np.ndarray:
+    """The set of the words (one column) as bits: of one size, however many they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(w) for w in batch.column(0).to_pylist()], pa.int32())], ["bit"])
+
+    out = np.zeros(BITS, dtype=bool)
+    out[[r.bit for r in words.mapInArrow(run, "bit int").distinct().collect()]] = True  # at most BITS rows
+    return out
+
+
+def _bit(word: str) -> int:
+    return zlib.crc32(word.encode()) % BITS
+
+
+def _beside(texts: DataFrame, keys: list[str], bits: np.ndarray, words: Callable[[str], list[str]]) -> DataFrame:
+    """keys, word and neighbour ('<' and the word before, '>' and the word after) for each word in the set; text is a column of texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = np.unpackbits(shared.value)[:BITS]
+        known: dict[str, bool] = {}
+        for batch in batches:
+            for part, own in chunks(batch, "text"):
+                rows, found, beside = [], [], []
+                for i, text in enumerate(own):
+                    read = words(text)
+                    for k, w in enumerate(read):
+                        wanted = known.get(w)
+                        if wanted is None:
+                            if len(known) > 200_000:
+                                known.clear()
+                            wanted = known[w] = bool(chosen[_bit(w)])
+                        if wanted:
+                            rows += [i, i]
+                            found += [w, w]
+                            beside += ["<" + (read[k - 1] if k else ""), ">" + (read[k + 1] if k + 1 < len(read) else "")]
+                of = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(of) for c in keys], pa.array(found, pa.string()), pa.array(beside, pa.string())], [*keys, "word", "neighbour"])
+
+    return texts.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} string" for k in keys) + (", " if keys else "") + "word string, neighbour string")
+
+
+def in_context(options_: DataFrame, marked: DataFrame, units: DataFrame, scans: DataFrame) -> DataFrame | None:
+    """document_id, unit_id, word and right_form of each word that may be several forms; None if there is no such word.
+
+    The support of a form is how often sound text has it beside the words that stand beside the word here.
+    """
+    open_ = cut_lineage(options_.where(F.size("forms") > 1))
+    if open_.isEmpty():
+        return None
+    pairs = open_.select("word", F.inline("forms"))
+    body = marked.select("document_id", "unit_id", F.array_join(F.transform(F.filter("lines", lambda x: ~x.furniture), lambda x: x.line), " ").alias("text"))
+    here = _beside(body, ["document_id", "unit_id"], _bits(open_.select("word")), read_words).join(open_.select("word"), "word", "left_semi").distinct()
+    ids = scans.select("document_id").where("document_id is not null").distinct()
+    sound = units.select("document_id", "text").where("length(text) > 0").join(ids, "document_id", "left_anti")
+    there = _beside(sound, [], _bits(pairs.select("form").distinct()), lambda t: [w.lower() for w in _TOKEN.findall(t)])
+    there = there.where("length(neighbour) > 1").groupBy(F.col("word").alias("form"), "neighbour").agg(F.count("*").alias("times"))
+    weighed = here.join(pairs, "word").join(there, ["form", "neighbour"], "left").groupBy("document_id", "unit_id", "word", "form").agg(F.sum(F.coalesce("times", F.lit(0))).alias("support"), F.max("n").alias("n"))
+    best = weighed.groupBy("document_id", "unit_id", "word").agg(F.max(F.struct("support", "n", "form")).alias("b"))
+    return best.select("document_id", "unit_id", "word", F.col("b.form").alias("right_form"))
 
 
 def judged_breaks(body: DataFrame, counts: DataFrame) -> DataFrame:
@@ -228,8 +316,11 @@ def found(units: DataFrame, scans: DataFrame) -> DataFrame:
     counts = cut_lineage(word_counts(units, scans))
     body = cut_lineage(body_words(marked))
     furniture = marked.where(F.exists("lines", lambda x: x.furniture)).select("document_id", "unit_id", F.lit("furniture").alias("noise"))
-    bad = misread(body, counts)
-    wrong = body.select("document_id", "unit_id", F.explode("words").alias("word")).join(bad, "word", "left_semi").select("document_id", "unit_id", F.lit("misread").alias("noise"))
+    may = cut_lineage(options(body, counts))
+    wrong = body.select("document_id", "unit_id", F.explode("words").alias("word")).join(misread(may), "word", "left_semi").select("document_id", "unit_id", F.lit("misread").alias("noise"))
+    told = in_context(may, marked, units, scans)
+    if told is not None:
+        wrong = wrong.unionByName(told.where("word != right_form").select("document_id", "unit_id", F.lit("misread").alias("noise")))
     breaks = judged_breaks(body, counts)
     split = breaks.where("broken").select("document_id", "unit_id", F.lit("broken_word").alias("noise"))
     # a compound at its own hyphen whose exact form is unknown holds a misreading
@@ -246,7 +337,7 @@ def repair(lines: list[str], fixes: dict[str, str], joins: dict[str, str]) -> st
     text = ""
     for line in lines:
         line = line.strip(" ")
-        end = _END.search(text, len(text) - len(text[-LONGEST:])) if text else None
+        end = _end(text)
         begin = _BEGIN.match(line)
         if end and begin:
             left, right = end.group(1), begin.group()
@@ -266,7 +357,12 @@ def repaired(units: DataFrame, scans: DataFrame) -> DataFrame:
     counts = cut_lineage(word_counts(units, scans))
     body = cut_lineage(body_words(marked))
     key = ["document_id", "unit_id"]
-    fixes = body.select(*key, F.explode("words").alias("word")).join(misread(body, counts), "word").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right_form"))).alias("fixes"))
+    may = cut_lineage(options(body, counts))
+    fixes = body.select(*key, F.explode("words").alias("word")).join(misread(may), "word").select(*key, "word", "right_form")
+    told = in_context(may, marked, units, scans)
+    if told is not None:
+        fixes = fixes.unionByName(told.where("word != right_form"))
+    fixes = fixes.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right_form"))).alias("fixes"))
     joins = judged_breaks(body, counts).select(*key, "other", F.when(F.col("broken"), F.col("word")).otherwise(F.col("other")).alias("to")).groupBy(*key, "other").agg(F.min("to").alias("to")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("other", "to"))).alias("joins"))
     parts = marked.join(fixes, key, "left").join(joins, key, "left").join(latest.select(*key, "unit_order", "type"), key)
     schema = "document_id string, unit_id string, unit_order int, type string, text string"
@@ -311,4 +407,4 @@ def characters_left(paragraphs_: DataFrame, scans: DataFrame) -> DataFrame:
     return known.join(left, "document_id", "left").select("document_id", "text_chars", F.coalesce("chars_left", F.lit(0)).alias("chars_left"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"))
 
 
-__all__ = ["body_words", "characters_left", "found", "judged_breaks", "line_key", "marked_lines", "misread", "paragraphs", "repaired", "scan_units", "skeleton", "unit_words", "word_counts"]
+__all__ = ["body_words", "characters_left", "found", "judged_breaks", "line_key", "in_context", "marked_lines", "misread", "options", "paragraphs", "read_words", "repaired", "scan_units", "skeleton", "unit_words", "word_counts"]

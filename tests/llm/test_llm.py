@@ -142,6 +142,16 @@ def test_scan_noise(spark):
     assert scans.found(units.limit(0), results).count() == 0
 
 
+def test_neighbours_choose_the_form(spark):
+    """кот, лот and пот are one skeleton; which of them a misread word is, its neighbours tell."""
+    sound = [("s", f"a{i}", i, "paragraph", (1,), "серый кот спит, новый лот продан, градом пот льётся", 1) for i in range(5)] + [("s", f"b{i}", 9, "paragraph", (1,), "кот " * 9, 1) for i in range(4)]
+    scan = [("x", "1", 1, "paragraph", (1,), "Вот серый к0т спит дома", 1), ("x", "2", 2, "paragraph", (2,), "Вот новый н0т продан сразу", 1), ("x", "3", 3, "paragraph", (3,), "Опять градом и0т льётся вниз", 1), ("x", "4", 4, "paragraph", (4,), "Где то и0т есть", 1), ("x", "5", 5, "paragraph", (5,), "серый кот спит", 1)]
+    units, results = spark.createDataFrame(sound + scan + scan[:1], UNITS), spark.createDataFrame([("x", 9)], "document_id string, text_chars long")
+    assert {(r.unit_id, r.noise) for r in scans.found(units, results).collect()} == {(u, "misread") for u in "1234"}
+    texts = {r.unit_id: r.text for r in scans.repaired(units, results).collect()}
+    assert texts == {"1": "Вот серый кот спит дома", "2": "Вот новый лот продан сразу", "3": "Опять градом пот льётся вниз", "4": "Где то кот есть", "5": "серый кот спит"}
+
+
 # --- look-alikes
 def test_plain_and_words():
     assert lookalikes.plain("Ｔ_(ср) =​ １") == "Т_(ср) = 1".replace("Т", "T")
