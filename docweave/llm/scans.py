@@ -90,6 +90,7 @@ def marked_lines(units: DataFrame) -> DataFrame:
     fit = (F.length("key") > 3) & ~F.col("line").contains(" | ") & ~F.col("line").rlike(r"[.,;:]\s*$") & F.col("line").rlike(r"^\s*\P{Ll}") & ~F.col("line").rlike(r"^\s*\d+(\.\d+)+") & (F.col("type") != "section")
     # keys travel as hashes, and only what later steps need travels at all
     lines = lines.select("document_id", "unit_id", "line_no", "line", "number", running.alias("running"), "page", F.xxhash64("key").alias("key"), (near(1) | near(-1)).alias("edge"), fit.alias("fit"))
+    lines = cut_lineage(lines)  # read twice below
     keys = (
         lines.where("fit and (edge or running)")
         .groupBy("document_id", "key", "page").agg(F.max("running").alias("running"))
