@@ -342,10 +342,11 @@ def formula_eval_counts(spark, d):
     return _evaluated(spark, d).groupBy("document_id").agg(F.count("*").alias("formulas"), n("ok"), n("missing"), n("error"))
 
 
-@query(f"SELECT document_id, unit_id, sha256(concat_ws(chr(31), coalesce(asset_ref, ''), coalesce(calc_expr, ''), coalesce(linear_text, ''))) AS cache_key FROM {_F}")
+@query(f"SELECT document_id, unit_id, sha256(to_json({{'asset': asset_ref, 'kind': type, 'prompt': 'v1', 'text': linear_text}})::VARCHAR) AS cache_key FROM {_F}")
 def cache_key(spark, d):
-    b = lambda c: F.coalesce(c, F.lit(""))
-    return _formulas(spark, d).select("document_id", "unit_id", F.sha2(F.concat_ws("\x1f", b("asset_ref"), b("calc_expr"), b("linear_text")), 256).alias("cache_key"))
+    """The key of a prediction: what it is made from as canonical JSON (keys sorted, nulls kept, no spaces), hashed."""
+    canonical = F.to_json(F.struct(F.col("asset_ref").alias("asset"), F.col("type").alias("kind"), F.lit("v1").alias("prompt"), F.col("linear_text").alias("text")), {"ignoreNullFields": "false"})
+    return _formulas(spark, d).select("document_id", "unit_id", F.sha2(canonical, 256).alias("cache_key"))
 
 
 @query(f"SELECT count(*) AS formulas, count(DISTINCT linear_text) AS predictions FROM {_F}")
@@ -355,13 +356,21 @@ def prediction_dedup(spark, d):
     return g.agg(F.sum("n").alias("formulas"), F.count("linear_text").alias("predictions"))
 
 
-@query(f"SELECT document_id, unit_id, calc_expr FROM {_F} WHERE contains(coalesce(calc_expr, ''), '__') OR contains(coalesce(calc_expr, ''), 'import') OR regexp_matches(coalesce(calc_expr, ''), '[^\\x00-\\x7F]')")
+#: Strings that no text of a formula may hold.
+_BANNED = ("__", "import", "\\input", "\u200b", "\ufeff", "???")
+
+
+@query(f"SELECT document_id, unit_id, banned FROM (SELECT document_id, unit_id, concat_ws(chr(10), text, linear_text, display_latex, calc_expr) AS every, unnest([{', '.join(f"'{b}'" for b in _BANNED)}]) AS banned FROM {_F}) WHERE contains(every, banned)")
 def banned_substrings(spark, d):
-    c = F.coalesce("calc_expr", F.lit(""))
-    return _formulas(spark, d).where(c.contains("__") | c.contains("import") | c.rlike(r"[^\x00-\x7F]")).select("document_id", "unit_id", "calc_expr")
+    """Each banned string in the texts of a formula put together."""
+    every = F.concat_ws("\n", "text", "linear_text", "display_latex", "calc_expr")
+    return _formulas(spark, d).select("document_id", "unit_id", F.explode(F.array_compact(F.array(*[F.when(every.contains(b), F.lit(b)) for b in _BANNED]))).alias("banned"))
 
 
-@query(f"SELECT document_id, unit_id, linear_text LIKE '%÷%' OR linear_text LIKE '%×%' OR coalesce(display_latex, '') <> '' AS as_math FROM {_F}")
+@query(f"SELECT document_id, unit_id, coalesce(trim(display_latex, ' '), '') <> '' AND (coalesce(confidence, '') <> 'low' OR coalesce(trim(calc_expr, ' '), '') <> '' OR regexp_matches(display_latex, '\\\\[a-z]+|[_^]')) AS as_math FROM {_F}")
 def render_as_math(spark, d):
-    t = F.coalesce("linear_text", F.lit(None).cast("string"))
-    return _formulas(spark, d).select("document_id", "unit_id", (t.contains("÷") | t.contains("×") | (F.coalesce("display_latex", F.lit("")) != "")).alias("as_math"))
+    """A formula is set as mathematics if it has a display form that is sure, calculable, or marked up."""
+    x = F.coalesce(F.trim("display_latex"), F.lit("")) != ""
+    marked = F.col("display_latex").rlike(r"\\[a-z]+|[_^]")
+    calc = F.coalesce(F.trim("calc_expr"), F.lit("")) != ""
+    return _formulas(spark, d).select("document_id", "unit_id", (x & ((F.coalesce("confidence", F.lit("")) != "low") | calc | F.coalesce(marked, F.lit(False)))).alias("as_math"))

@@ -261,9 +261,18 @@ def quality_flags(spark, d):
     return table(spark, d, "manifest").select("relative_path", floor.alias("text_floor"), flag.alias("flag")).distinct()
 
 
-@query("SELECT DISTINCT run_id, relative_path, status, coalesce(error, '') AS error FROM manifest WHERE status IN ('failed', 'partial_success') OR coalesce(len(warnings), 0) > 0")
+@query("""WITH m AS (SELECT DISTINCT run_id, relative_path, status, sha256, error, coalesce(warnings, []) AS w FROM manifest), q AS (SELECT document_id, bool_or(f IN ('empty_text', 'ocr_failed', 'ocr_unavailable', 'asset_extraction_warning', 'rotated_text', 'review_required')) AS severe FROM (SELECT document_id, unnest(list_concat(coalesce(quality.flags, []), coalesce(quality.warnings, []))) AS f FROM document_units) WHERE document_id IS NOT NULL GROUP BY 1)
+SELECT DISTINCT run_id, relative_path, status, array_to_string(list_sort(list_distinct(CASE WHEN status = 'failed' THEN list_append(w, coalesce(error, 'conversion_failed')) ELSE w END)), ';') AS warnings, coalesce(severe, false) AS flagged FROM m LEFT JOIN q ON q.document_id = 'sha256:' || m.sha256 WHERE status IN ('failed', 'partial_success') OR len(w) > 0 OR severe""")
 def review_queue(spark, d):
-    return table(spark, d, "manifest").where(F.col("status").isin("failed", "partial_success") | (F.coalesce(F.size("warnings"), F.lit(0)) > 0)).select("run_id", "relative_path", "status", F.coalesce("error", F.lit("")).alias("error")).distinct()
+    """Files to look at: failed or partial, with any warning, or with a severe flag in their units; a failure's error is a warning too."""
+    severe = ("empty_text", "ocr_failed", "ocr_unavailable", "asset_extraction_warning", "rotated_text", "review_required")
+    empty = F.array().cast("array<string>")
+    m = table(spark, d, "manifest", "run_id", "relative_path", "status", "sha256", "error", F.coalesce("warnings", empty).alias("w")).distinct()
+    marks = table(spark, d, "document_units", "document_id", "quality").where("document_id is not null").select("document_id", F.explode(F.concat(F.coalesce("quality.flags", empty), F.coalesce("quality.warnings", empty))).alias("f"))
+    q = marks.where(F.col("f").isin(*severe)).select(F.expr("substring(document_id, 8)").alias("sha256"), F.lit(True).alias("severe")).distinct()
+    said = F.when(F.col("status") == "failed", F.concat("w", F.array(F.coalesce("error", F.lit("conversion_failed"))))).otherwise(F.col("w"))
+    out = m.join(q, "sha256", "left").where(F.col("status").isin("failed", "partial_success") | (F.size("w") > 0) | F.coalesce("severe", F.lit(False)))
+    return out.select("run_id", "relative_path", "status", F.array_join(F.sort_array(F.array_distinct(said)), ";").alias("warnings"), F.coalesce("severe", F.lit(False)).alias("flagged")).distinct()
 
 
 @query("""SELECT relative_path, problem FROM (SELECT DISTINCT relative_path, unnest([CASE WHEN sha256 IS NULL OR NOT regexp_full_match(sha256, '[0-9a-f]{64}') THEN 'sha256' END, CASE WHEN size_bytes IS NULL OR size_bytes < 0 THEN 'size_bytes' END, CASE WHEN route IS NULL THEN 'route' END, CASE WHEN status = 'success' AND units_count IS NULL THEN 'units_count' END, CASE WHEN format <> lower(format) THEN 'format' END]) AS problem FROM manifest) WHERE problem IS NOT NULL""")
@@ -276,10 +285,14 @@ def contract_violations(spark, d):
     return table(spark, d, "manifest").select("relative_path", F.explode(F.array_compact(checks)).alias("problem")).distinct()
 
 
-@query("""SELECT route, status, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (PARTITION BY route), 4) AS share FROM (SELECT DISTINCT run_id, relative_path, route, status FROM manifest) GROUP BY 1, 2""")
+@query("""WITH g AS (SELECT route, status, count(*) AS n FROM (SELECT DISTINCT run_id, relative_path, route, status FROM manifest) GROUP BY 1, 2)
+SELECT route, status, n, round_even(n / sum(n) OVER (PARTITION BY route), 4) AS share, count(*) FILTER (status = 'failed') OVER (PARTITION BY route) = 0 AND count(*) FILTER (status IN ('success', 'partial_success')) OVER (PARTITION BY route) > 0 AS route_passed FROM g""")
 def pilot_summary(spark, d):
+    """Files by route and status with their share of the route; a route passes with something converted and nothing failed."""
     g = _files(spark, d, "run_id", "relative_path", "route", "status").groupBy("route", "status").agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy("route")), 4))
+    w = Window.partitionBy("route")  # a row per route and status
+    has = lambda *s: F.count(F.when(F.col("status").isin(*s), 1)).over(w)
+    return g.select("route", "status", "n", F.bround(F.col("n") / F.sum("n").over(w), 4).alias("share"), ((has("failed") == 0) & (has("success", "partial_success") > 0)).alias("route_passed"))
 
 
 @query("SELECT document_id, asset_id, path, coalesce(media_type, CASE lower(regexp_extract(path, '\\.([^.]+)$', 1)) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'wmf' THEN 'image/x-wmf' WHEN 'emf' THEN 'image/x-emf' ELSE 'application/octet-stream' END) AS media_type, size_bytes FROM (SELECT DISTINCT document_id, a.asset_id AS asset_id, a.path AS path, a.media_type AS media_type, a.size_bytes AS size_bytes FROM (SELECT document_id, unnest(assets) AS a FROM packages) WHERE a IS NOT NULL)")

@@ -337,9 +337,16 @@ def numeric_coerce(spark, d):
     return table(spark, d, "document_units", "document_id", "unit_id", "cell").where("cell.address is not null").select("document_id", "unit_id", number.alias("number"), outcome.alias("outcome")).distinct()
 
 
-@query("SELECT document_id, unit_id, flag FROM (SELECT DISTINCT document_id, unit_id, unnest(quality.flags) AS flag FROM document_units) WHERE flag IS NOT NULL")
+@query("""WITH u AS (SELECT DISTINCT u.document_id, unit_id, type, route FROM document_units u LEFT JOIN (SELECT 'sha256:' || sha256 AS document_id, min(route) AS route FROM manifest WHERE sha256 IS NOT NULL GROUP BY 1) m ON m.document_id = u.document_id WHERE u.document_id IS NOT NULL)
+SELECT document_id, unit_id, flag FROM (SELECT DISTINCT document_id, unit_id, CASE WHEN route IN ('pdf_text', 'pdf_scan') THEN CASE WHEN type IN ('header', 'footer') THEN 'repeated_edge_block' WHEN type IN ('figure', 'formula', 'table') THEN 'semantic_structure_inferred' END WHEN type = 'formula' THEN 'semantic_structure_inferred' WHEN type IN ('section', 'caption', 'list_item', 'figure') THEN 'semantic_style_inferred' END AS flag FROM u) WHERE flag IS NOT NULL""")
 def unit_quality_flags(spark, d):
-    return table(spark, d, "document_units", "document_id", "unit_id", "quality.flags").select("document_id", "unit_id", F.explode("flags").alias("flag")).where("flag is not null").distinct()
+    """The flag a unit gets for how its type was told, by its document's route."""
+    u = _units(spark, d, "document_id", "unit_id", "type").where("document_id is not null")
+    m = table(spark, d, "manifest", "sha256", "route").where("sha256 is not null").groupBy(F.concat(F.lit("sha256:"), "sha256").alias("document_id")).agg(F.min("route").alias("route"))
+    t = F.col("type")
+    paged = F.when(t.isin("header", "footer"), "repeated_edge_block").when(t.isin("figure", "formula", "table"), "semantic_structure_inferred")
+    styled = F.when(t == "formula", "semantic_structure_inferred").when(t.isin("section", "caption", "list_item", "figure"), "semantic_style_inferred")
+    return u.join(m, "document_id", "left").select("document_id", "unit_id", F.when(F.coalesce(F.col("route").isin("pdf_text", "pdf_scan"), F.lit(False)), paged).otherwise(styled).alias("flag")).where("flag is not null").distinct()
 
 
 @query("SELECT document_id, list_has_any(f, ['empty_text', 'ocr_failed', 'ocr_unavailable', 'asset_extraction_warning', 'rotated_text']) AS review_required FROM (SELECT document_id, list(DISTINCT w) AS f FROM (SELECT document_id, unnest(warnings) AS w FROM scan_results) GROUP BY 1)")
@@ -348,14 +355,26 @@ def review_required(spark, d):
     return table(spark, d, "scan_results", "document_id", "warnings").select("document_id", F.explode("warnings").alias("w")).groupBy("document_id").agg(F.max(F.coalesce(F.col("w").isin(severe), F.lit(False))).alias("review_required"))
 
 
-@query(f"""SELECT document_id, unit_id, problem FROM (SELECT document_id, unit_id, unnest([CASE WHEN NOT regexp_full_match(unit_id, 'u_[0-9]{{6}}') THEN 'unit_id' END, CASE WHEN type = 'formula_image' AND asset_ref IS NULL THEN 'asset_ref' END, CASE WHEN page <= 0 THEN 'page' END, CASE WHEN unit_order < 0 THEN 'unit_order' END, CASE WHEN type = 'paragraph' AND coalesce(text, '') = '' THEN 'text' END]) AS problem FROM {_U}) WHERE problem IS NOT NULL""")
+# Types a unit may have.
+TYPES = ("document", "page", "section", "paragraph", "list", "list_item", "table", "table_row", "table_cell", "formula", "formula_image", "figure", "caption", "header", "footer", "footnote")
+
+
+@query(f"""WITH u AS (SELECT DISTINCT document_id, unit_id, parent_id, type, unit_order, text, asset_ref, source_ref, formula, cell FROM document_units)
+SELECT document_id, unit_id, problem FROM (SELECT DISTINCT document_id, unit_id, unnest([CASE WHEN NOT regexp_full_match(unit_id, 'u_[0-9]{{6}}') THEN 'unit_id' END, CASE WHEN NOT regexp_full_match(document_id, 'sha256:[0-9a-f]{{64}}') THEN 'document_id' END, CASE WHEN type NOT IN {TYPES} THEN 'type' END, CASE WHEN type = 'formula_image' AND asset_ref IS NULL THEN 'asset_ref' END,
+CASE WHEN asset_ref LIKE '/%' OR contains(asset_ref, '..') THEN 'asset_path' END, CASE WHEN source_ref.page <= 0 THEN 'page' END, CASE WHEN unit_order < 0 THEN 'unit_order' END, CASE WHEN unit_order IS NULL THEN 'order_missing' END, CASE WHEN type = 'paragraph' AND coalesce(text, '') = '' THEN 'text' END, CASE WHEN len(source_ref.bbox) NOT IN (0, 4) THEN 'bbox' END,
+CASE WHEN source_ref.document_id <> document_id THEN 'source_document' END, CASE WHEN parent_id = unit_id THEN 'own_parent' END, CASE WHEN type = 'table_cell' AND parent_id IS NULL THEN 'cell_parent' END, CASE WHEN type = 'formula' AND formula IS NULL THEN 'formula' END, CASE WHEN type <> 'table_cell' AND cell.address IS NOT NULL THEN 'cell' END, CASE WHEN formula.confidence NOT IN ('high', 'medium', 'low') THEN 'confidence' END]) AS problem FROM u) WHERE problem IS NOT NULL""")
 def expectation_violations(spark, d):
+    """Units against sixteen rules; each broken rule gives a row."""
     c = F.col
-    checks = F.array(
-        F.when(~c("unit_id").rlike("^u_[0-9]{6}$"), "unit_id"), F.when((c("type") == "formula_image") & c("asset_ref").isNull(), "asset_ref"), F.when(c("page") <= 0, "page"),
-        F.when(c("unit_order") < 0, "unit_order"), F.when((c("type") == "paragraph") & (F.coalesce("text", F.lit("")) == ""), "text"),
+    rules = (
+        ("unit_id", ~c("unit_id").rlike("^u_[0-9]{6}$")), ("document_id", ~c("document_id").rlike("^sha256:[0-9a-f]{64}$")), ("type", ~c("type").isin(*TYPES)), ("asset_ref", (c("type") == "formula_image") & c("asset_ref").isNull()),
+        ("asset_path", c("asset_ref").startswith("/") | c("asset_ref").contains("..")), ("page", c("source_ref.page") <= 0), ("unit_order", c("unit_order") < 0), ("order_missing", c("unit_order").isNull()),
+        ("text", (c("type") == "paragraph") & (F.coalesce("text", F.lit("")) == "")), ("bbox", c("source_ref.bbox").isNotNull() & ~F.size("source_ref.bbox").isin(0, 4)), ("source_document", c("source_ref.document_id") != c("document_id")),
+        ("own_parent", c("parent_id") == c("unit_id")), ("cell_parent", (c("type") == "table_cell") & c("parent_id").isNull()), ("formula", (c("type") == "formula") & c("formula").isNull()), ("cell", (c("type") != "table_cell") & c("cell.address").isNotNull()),
+        ("confidence", ~c("formula.confidence").isin("high", "medium", "low")),
     )
-    return _units(spark, d).select("document_id", "unit_id", F.explode(F.array_compact(checks)).alias("problem"))
+    u = table(spark, d, "document_units", "document_id", "unit_id", "parent_id", "type", "unit_order", "text", "asset_ref", "source_ref", "formula", "cell")
+    return u.select("document_id", "unit_id", F.explode(F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules]))).alias("problem")).distinct()
 
 
 @query("SELECT document_id, asset_ref, count(DISTINCT unit_id) AS units FROM document_units WHERE asset_ref IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT unit_id) = 1")
@@ -364,21 +383,56 @@ def asset_attach(spark, d):
     return u.groupBy("document_id", "asset_ref").agg(F.count("unit_id").alias("units")).where("units = 1")
 
 
-@query(f"""SELECT document_id, unit_id, CASE type WHEN 'section' THEN '## ' || text WHEN 'list_item' THEN '- ' || regexp_replace(text, '^[-–] ', '') WHEN 'formula' THEN '`' || text || '`' WHEN 'caption' THEN '*' || text || '*' ELSE text END AS markdown FROM {_U} WHERE text <> '' AND type NOT IN ('table_cell', 'header', 'footer')""")
+_MD = "CASE type WHEN 'document' THEN '# ' || text WHEN 'section' THEN '## ' || text WHEN 'list_item' THEN '- ' || regexp_replace(text, '^[-–] ', '') WHEN 'formula' THEN '`' || text || '`' WHEN 'caption' THEN '*' || text || '*' WHEN 'header' THEN '<!-- ' || text || ' -->' WHEN 'footer' THEN '<!-- ' || text || ' -->' ELSE text END"
+_SAFE = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+#: Distinct units with text, and figures with their asset; cells are rendered by their rows.
+_SHOWN = f"(SELECT DISTINCT document_id, unit_id, type, unit_order, text, asset_ref FROM {_U} WHERE document_id IS NOT NULL AND type NOT IN ('table_cell', 'table_row') AND (text <> '' OR asset_ref IS NOT NULL))"
+
+
+@query(f"""WITH r AS (SELECT document_id, unit_id, unit_order, CASE WHEN text <> '' THEN {_MD} ELSE '![' || unit_id || '](' || asset_ref || ')' END AS line FROM {_SHOWN})
+SELECT document_id, unit_order // {ordered.STRETCH} AS stretch, string_agg(line, chr(10) || chr(10) ORDER BY unit_order, unit_id, line) AS markdown FROM r WHERE line IS NOT NULL GROUP BY 1, 2""")
 def render_markdown(spark, d):
-    text = F.col("text")
-    shown = F.when(F.col("type") == "section", F.concat(F.lit("## "), text)).when(F.col("type") == "list_item", F.concat(F.lit("- "), F.regexp_replace(text, "^[-–] ", ""))).when(F.col("type") == "formula", F.concat(F.lit("`"), text, F.lit("`"))).when(F.col("type") == "caption", F.concat(F.lit("*"), text, F.lit("*"))).otherwise(text)
-    return _units(spark, d, "document_id", "unit_id", "type", "text").where("text <> '' and type not in ('table_cell', 'header', 'footer')").select("document_id", "unit_id", shown.alias("markdown"))
+    """Documents as Markdown in their order, a row for each stretch of the order, so no document becomes one row."""
+    text, kind = F.col("text"), F.col("type")
+    around = lambda a, b: F.concat(F.lit(a), text, F.lit(b))
+    shown = F.when(kind == "document", around("# ", "")).when(kind == "section", around("## ", "")).when(kind == "list_item", F.concat(F.lit("- "), F.regexp_replace(text, "^[-–] ", ""))).when(kind == "formula", around("`", "`")).when(kind == "caption", around("*", "*")).when(kind.isin("header", "footer"), around("<!-- ", " -->")).otherwise(text)
+    line = F.when(text != "", shown).otherwise(F.concat(F.lit("!["), "unit_id", F.lit("]("), "asset_ref", F.lit(")")))
+    return _stretches(spark, d, line, "markdown", "\n\n")
+
+
+def _stretches(spark: SparkSession, d: str, line: Column, name: str, between: str) -> DataFrame:
+    u = _units(spark, d, "document_id", "unit_id", "type", "unit_order", "text", "asset_ref").where("document_id is not null and type not in ('table_cell', 'table_row') and (text <> '' or asset_ref is not null)")
+    r = u.select("document_id", "unit_id", "unit_order", line.alias("line")).where("line is not null")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_order", "unit_id", "line"))), lambda x: x.line), between)
+    return r.groupBy("document_id", F.floor(F.col("unit_order") / ordered.STRETCH).alias("stretch")).agg(joined.alias(name))
+
+
+_TAGS = (("document", "h1"), ("section", "h2"), ("list_item", "li"), ("formula", "code"), ("caption", "figcaption"), ("header", "header"), ("footer", "footer"), ("footnote", "small"))
+_TAG = "CASE type " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in _TAGS) + " ELSE 'p' END"
 
 
-@query(f"SELECT document_id, unit_id, '<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(10), '<br>') || '</p>' AS html FROM {_U} WHERE type = 'paragraph' AND text IS NOT NULL")
+@query(f"""WITH r AS (SELECT document_id, unit_id, unit_order, CASE WHEN text <> '' THEN '<' || {_TAG} || '>' || replace({_SAFE.format('text')}, chr(10), '<br>') || '</' || {_TAG} || '>' ELSE '<img src="' || {_SAFE.format('asset_ref')} || '">' END AS line FROM {_SHOWN})
+SELECT document_id, unit_order // {ordered.STRETCH} AS stretch, string_agg(line, chr(10) ORDER BY unit_order, unit_id, line) AS html FROM r WHERE line IS NOT NULL GROUP BY 1, 2""")
 def render_html(spark, d):
-    return _units(spark, d, "document_id", "unit_id", "type", "text").where("type = 'paragraph' and text is not null").select("document_id", "unit_id", F.concat(F.lit("<p>"), tx.escape_html(F.col("text")), F.lit("</p>")).alias("html"))
+    """Documents as HTML in their order, every kind of unit by its element."""
+    tag = F.coalesce(*[F.when(F.col("type") == k, t) for k, t in _TAGS], F.lit("p"))
+    source = F.concat(F.lit('<img src="'), tx.escape_html(F.col("asset_ref")), F.lit('">'))
+    line = F.when(F.col("text") != "", F.concat(F.lit("<"), tag, F.lit(">"), tx.escape_html(F.col("text")), F.lit("</"), tag, F.lit(">"))).otherwise(source)
+    return _stretches(spark, d, line, "html", "\n")
 
 
-@query(f"SELECT document_id, parent_id AS row_id, '| ' || string_agg(replace(replace(coalesce(text, ''), '|', '/'), chr(10), '<br>'), ' | ' ORDER BY unit_order, unit_id) || ' |' AS markdown, count(*) AS cells FROM {_U} WHERE type = 'table_cell' AND parent_id IS NOT NULL GROUP BY 1, 2")
+@query(f"""WITH c AS (SELECT DISTINCT document_id, parent_id AS row_id, unit_id, unit_order, replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), '<br>') AS cell FROM {_U} WHERE type = 'table_cell' AND parent_id IS NOT NULL AND document_id IS NOT NULL),
+r AS (SELECT c.document_id, r.parent_id AS table_id, c.row_id, min(r.unit_order) AS row_order, count(*) AS n, string_agg(cell, ' | ' ORDER BY c.unit_order, c.unit_id, cell) AS cells FROM c JOIN (SELECT document_id, unit_id, min(parent_id) AS parent_id, min(unit_order) AS unit_order FROM {_U} WHERE type = 'table_row' AND parent_id IS NOT NULL GROUP BY 1, 2) r ON r.document_id = c.document_id AND r.unit_id = c.row_id GROUP BY 1, 2, 3),
+w AS (SELECT document_id, table_id, max(n) AS width, min((row_order, row_id)) AS head FROM r GROUP BY 1, 2)
+SELECT r.document_id, r.table_id, r.row_id, (row_order, row_id) = head AS is_header, '| ' || cells || repeat(' | ', (width - n)::INT) || ' |' || CASE WHEN (row_order, row_id) = head THEN chr(10) || '|' || repeat(' --- |', width::INT) ELSE '' END AS markdown FROM r JOIN w ON w.document_id = r.document_id AND w.table_id = r.table_id""")
 def render_table(spark, d):
-    u = _units(spark, d, "document_id", "unit_id", "parent_id", "type", "unit_order", "text").where("type = 'table_cell' and parent_id is not null")
-    safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit("<br>"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*_ORDER, safe.alias("text")))), lambda x: x.text), " | ")
-    return u.groupBy("document_id", F.col("parent_id").alias("row_id")).agg(F.concat(F.lit("| "), joined, F.lit(" |")).alias("markdown"), F.count("*").alias("cells"))
+    """The rows of tables as Markdown: filled up to the widest, the first one with the line under a head."""
+    u = _units(spark, d, "document_id", "unit_id", "parent_id", "type", "unit_order", "text").where("document_id is not null and parent_id is not null")
+    safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+    cells = u.where("type = 'table_cell'").select("document_id", F.col("parent_id").alias("row_id"), "unit_order", "unit_id", safe.alias("cell")).distinct()
+    cells = cells.groupBy("document_id", "row_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("unit_order", "unit_id", "cell"))), lambda x: x.cell), " | ").alias("cells"))
+    rows = u.where("type = 'table_row'").groupBy("document_id", F.col("unit_id").alias("row_id")).agg(F.min("parent_id").alias("table_id"), F.min("unit_order").alias("row_order")).join(cells, ["document_id", "row_id"])
+    widest = rows.groupBy("document_id", "table_id").agg(F.max("n").alias("width"), F.min(F.struct("row_order", "row_id")).alias("head"))
+    head = F.struct("row_order", "row_id") == F.col("head")
+    missing, rule = F.repeat(F.lit(" | "), (F.col("width") - F.col("n")).cast("int")), F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("width").cast("int")))
+    return rows.join(widest, ["document_id", "table_id"]).select("document_id", "table_id", "row_id", head.alias("is_header"), F.concat(F.lit("| "), "cells", missing, F.lit(" |"), F.when(head, rule).otherwise("")).alias("markdown"))
