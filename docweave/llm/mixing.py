@@ -10,7 +10,8 @@ Defined results
   that is less;
 * a target source without records, or with only empty texts, gives nothing and its weight goes to the others;
 * records with a null source, of no mix, or without tokens (null, empty) are left out;
-* a null or negative target share counts as 0, a null max_repeats as 1; repeated target rows count once;
+* a null or negative target share counts as 0, a null max_repeats as 1; repeated target rows count once, and of rows
+  that differ the greatest share and the greatest max_repeats hold;
 * equal texts under several ids are records of their own.
 """
 
@@ -54,7 +55,7 @@ def sizes(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def plan(sized: DataFrame, targets: DataFrame, epochs: float = 1.0) -> list[dict]:
     """One entry per mix and source: target share, tokens held, amount allotted, repeats. Bounded by the targets."""
-    rows = targets.select("mix_name", "source", "target_share", "max_repeats").where("mix_name is not null and source is not null").dropDuplicates(["mix_name", "source"]).limit(MAX_TARGETS + 1).collect()
+    rows = targets.select("mix_name", "source", "target_share", "max_repeats").where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} mix targets")
     wanted = sorted({r.source for r in rows})

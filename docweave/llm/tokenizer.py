@@ -26,7 +26,19 @@ from docweave.llm.batches import chunks, list_column, ranges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker keeps; beyond that it starts anew.
 CACHE_TOKENS = 400_000
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _public(name: str) -> str:
+    """Where the public tokenizers' package keeps a file; without the package the folder it is installed to."""
+    try:
+        import public_tokenizers
+
+        return str(public_tokenizers.path(name))
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+
+
+VOCABULARY = _public("byte_bpe_50k.tiktoken")
 
 
 class PerfectHash:

@@ -72,6 +72,8 @@ def test_mix_keeps_the_cap(spark):
     rows = mixing.mix(sized, plan).collect()
     assert max(r.copies for r in rows if r.source == "small") <= 3 and max(r.copies for r in rows if r.source == "big") == 1
     assert not {900, 901, 902} & {r.doc_id for r in rows}
+    twice = targets.union(targets).union(spark.createDataFrame([("m", "small", None, None)], targets.schema))
+    assert mixing.plan(sized, twice) == plan
     shares = {r.source: r.actual_share for r in mixing.shares(sized, plan).collect()}
     assert shares["none"] == 0 and sum(shares.values()) == pytest.approx(1)
 
