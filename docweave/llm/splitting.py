@@ -1,9 +1,10 @@
 """Splitting oversized texts at natural boundaries.
 
-Every position of a text has a successor: the farthest natural boundary a piece may end at if the piece before
+Every boundary of a text is joined to its successor: the farthest boundary a piece may end at if the piece before
 ended here (strongest kind of boundary in the second half of the window first, then weaker ones, then a cut
-between characters). Squaring the successor tables (pointer doubling) marks all ends reachable from the start in
-a logarithmic number of vectorised rounds, for all texts of a batch at once.
+between characters, which becomes a boundary too). Squaring the successor tables (pointer doubling) marks all ends
+reachable from the start in a logarithmic number of vectorised rounds, for all texts of a batch at once. Tables hold
+boundaries, not characters.
 
 Defined results
 * lengths are code points of the stored text; a piece never exceeds max_chars;
@@ -34,53 +35,77 @@ _COMMAS = np.array([ord(c) for c in ",;:–—，；"], dtype=np.uint32)
 
 
 def boundaries(points: np.ndarray) -> list[np.ndarray]:
-    """For each kind, strongest first: may a piece end before position i (0 … n)? Line, sentence, clause, word, character."""
-    n = len(points)
-    space, line = np.isin(points, _SPACES), points == 10
-    after = np.zeros(n + 1, dtype=bool)
-    # a boundary lies behind the last white space of a run
-    after[1:n] = space[:-1] & ~space[1:]
-    last = np.maximum.accumulate(np.where(~space, np.arange(n), -1))  # last character that is no space
-    back = np.maximum(last[np.maximum(np.arange(n + 1) - 1, 0)], 0)
+    """For each natural kind, strongest first, the positions a piece may end before: line, sentence, clause, word.
+
+    A boundary lies behind the last white space of a run; the run and the characters beside it tell its kinds.
+    """
+    space = np.isin(points, _SPACES)
+    word = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    runs = np.flatnonzero(space & ~np.concatenate([[False], space[:-1]]))[: len(word)]
+    back = np.maximum(runs - 1, 0)  # the character before the run
     quoted = np.where(np.isin(points[back], _CLOSERS) & (back > 0), back - 1, back)
-    lines = np.concatenate([[0], np.cumsum(line)])
-    broken = lines[np.arange(n + 1)] - lines[np.minimum(back + 1, np.arange(n + 1))] > 0
-    stop = np.isin(points[quoted], _STOPS)
-    ahead = np.append(points, 0)
+    ends = np.flatnonzero(points == 10)
+    broken = np.searchsorted(ends, word) > np.searchsorted(ends, back + 1)
+    stop, comma, ahead = np.isin(points[quoted], _STOPS), np.isin(points[back], _COMMAS), points[word]
     lower = ((ahead >= 0x61) & (ahead <= 0x7A)) | ((ahead >= 0x430) & (ahead <= 0x45F)) | ((ahead >= 0xDF) & (ahead <= 0xFF))
-    comma = np.isin(points[back], _COMMAS)
-    glued = ((ahead >= 0x300) & (ahead <= 0x36F)) | (ahead == 0x200D) | ((ahead >= 0xFE00) & (ahead <= 0xFE0F)) | ((ahead >= 0x1F3FB) & (ahead <= 0x1F3FF))
-    joined = np.concatenate([[False], points == 0x200D])
-    return [after & broken, after & stop & ~lower, after & (comma | stop), after, ~glued & ~joined]
+    return [word[broken], word[stop & ~lower], word[comma | stop], word]
+
+
+def _glued(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Would a cut here part a letter from its marks?"""
+    ahead = np.where(at < len(points), points[np.minimum(at, len(points) - 1)], 0)
+    return ((ahead >= 0x300) & (ahead <= 0x36F)) | (ahead == 0x200D) | ((ahead >= 0xFE00) & (ahead <= 0xFE0F)) | ((ahead >= 0x1F3FB) & (ahead <= 0x1F3FF)) | (points[at - 1] == 0x200D)
 
 
-def successors(points: np.ndarray, size: int, overlap: int) -> np.ndarray:
-    """Where the next piece ends if the last one ended at i."""
+def successors(points: np.ndarray, kinds: list[np.ndarray], at: np.ndarray, size: int, overlap: int) -> np.ndarray:
+    """Where the next piece ends if the last one ended at each of these positions."""
     n = len(points)
-    at = np.arange(n + 1)
     start = np.where(at == 0, 0, at - overlap)
     limit = np.minimum(start + size, n)
     least = np.where(at == 0, overlap, at)  # a piece goes beyond its overlap, so the next one begins later
     half = np.maximum(start + size // 2, least)
-    out = np.full(n + 1, -1, dtype=np.int64)
-    kinds = boundaries(points)
-    for kind, floor in zip(kinds, [half, half, half, least, least], strict=True):
-        nearest = np.maximum.accumulate(np.where(kind, at, 0))[limit]
+    out = np.full(len(at), -1, dtype=np.int64)
+    for kind, floor in zip(kinds, [half, half, half, least], strict=True):
+        which = np.searchsorted(kind, limit, "right") - 1
+        nearest = np.where(which >= 0, kind[np.maximum(which, 0)], -1) if len(kind) else np.full(len(at), -1)
         out = np.where((out < 0) & (nearest > floor), nearest, out)
-    out = np.where(out < 0, limit, out)
+    hard = np.flatnonzero((out < 0) & (limit < n))
+    cut = limit[hard]
+    while True:  # back to the nearest place that parts no letter from its marks
+        move = _glued(points, cut) & (cut - 1 > least[hard])
+        if not move.any():
+            break
+        cut = cut - move
+    out[hard] = np.where(_glued(points, cut), limit[hard], cut)
     return np.where(limit == n, n, out)
 
 
+def _table(text: str, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries of a text (0, the natural ones, and those that cuts between characters make) and their successors."""
+    points = code_points(text)
+    kinds = boundaries(points)
+    at = np.unique(np.concatenate([[0], kinds[-1], [len(points)]]))
+    step = successors(points, kinds, at, size, overlap)
+    fresh = np.setdiff1d(step, at)
+    while len(fresh):
+        more = successors(points, kinds, fresh, size, overlap)
+        at, step = np.concatenate([at, fresh]), np.concatenate([step, more])
+        fresh = np.setdiff1d(more, at)
+    order = np.argsort(at)
+    return at[order], np.searchsorted(at[order], step[order])
+
+
 def cuts(texts: list[str], sizes: list[int], overlaps: list[int]) -> list[np.ndarray]:
     """Ends of the pieces of each text, by squaring the batch's successor table."""
     if not texts:
         return []
-    tables, base, offset = [], [], 0
+    places, tables, base, offset = [], [], [], 0
     for text, size, overlap in zip(texts, sizes, overlaps, strict=True):
-        step = successors(code_points(text), size, overlap)
+        at, step = _table(text, size, overlap) if text else (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+        places.append(at)
         tables.append(step + offset)
         base.append(offset)
-        offset += len(step)
+        offset += len(at)
     jump = np.concatenate(tables)
     reached = np.zeros(offset, dtype=bool)
     front = np.array(base, dtype=np.int64)
@@ -96,7 +121,7 @@ def cuts(texts: list[str], sizes: list[int], overlaps: list[int]) -> list[np.nda
         jump = jump[jump]
     ends = np.flatnonzero(reached)
     edges = np.searchsorted(ends, [*base, offset])
-    return [ends[a:b] - o for a, b, o in zip(edges, edges[1:], base)]
+    return [at[ends[a:b] - o] for at, a, b, o in zip(places, edges, edges[1:], base)]
 
 
 def _profiles(profiles: DataFrame) -> list:
