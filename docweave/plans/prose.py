@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -155,9 +156,19 @@ def _java(pattern: str) -> str:
     return "|".join(map(turned, parts)).replace("\\b", r"(?![\p{L}\p{N}_])").replace(r"\s", r"[\s\x0B\p{Z}]")
 
 
+def _beginnings(pattern: str) -> list[str]:
+    """Plain letters with which each alternative of a pattern begins."""
+    return [re.match("[a-zа-яё]+", re.sub(r"^(\\b|\(\?<!\[[^]]*\]\))", "", one)).group() for one in re.split(r"\|(?![^(]*\))", pattern)]
+
+
+def _may(text: Column, patterns: list[str]) -> Column:
+    """Does the text hold the beginning of any? Plain letters are found many times faster than patterns."""
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in sorted({x for p in patterns for x in _beginnings(p)})])
+
+
 def _classified(patterns: tuple, text: Column, before: str = "") -> Column:
     """The first label whose pattern is found in a text of lower case, else null."""
-    return F.coalesce(*[F.when(text.rlike(f"{before}({_java(p)})"), k) for k, p in patterns])
+    return F.coalesce(*[F.when(_may(text, [p]) & text.rlike(f"{before}({_java(p)})"), k) for k, p in patterns])
 
 
 def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -165,29 +176,36 @@ def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+def _names_type(line: Column) -> Column:
+    """Does a line of lower case name any type?"""
+    patterns = [p for _, p in (*_LABELS, *_KINDS)]
+    return _may(line, patterns) & line.rlike("|".join(map(_java, patterns)))
+
+
 def _titled(docs: DataFrame) -> DataFrame:
     """With the first 30 lines (head), the title lines (l), from two before the first of these that names a type, up to ten
-    or a stop line, and which of l name a type (named)."""
-    any_type = "|".join(_java(p) for _, p in (*_LABELS, *_KINDS))
+    or a stop line, the same in lower case (low), and which of them name a type (named)."""
     stops = _re2(_STOPS)
     t = _settled(docs, "l", tx.lines(F.col("text")))
     t = _settled(t, "l", F.slice(F.filter("l", lambda x, i: (i == 0) | (x != F.get("l", i - 1))), 1, 44))
     t = _settled(t, "head", F.slice("l", 1, 30))
-    t = _settled(t, "at", F.array_position(F.transform("head", lambda x: F.lower(x).rlike(any_type)), F.lit(True)))
+    t = _settled(t, "low", F.transform("head", lambda x: F.lower(x)))
+    t = _settled(t, "at", F.array_position(F.transform("low", lambda x: _names_type(x)), F.lit(True)))
     t = _settled(t, "l", F.slice("l", F.greatest(F.col("at") - 2, F.lit(1)).cast("int"), F.lit(14)))
     t = _settled(t, "stop", F.array_position(F.transform("l", lambda x, i: (i > 0) & F.lower(x).rlike(stops)), F.lit(True)))
     t = _settled(t, "l", F.slice("l", F.lit(1), F.when(F.col("stop") > 0, F.least(F.col("stop") - 1, F.lit(10))).otherwise(10).cast("int")))
-    return _settled(t, "named", F.transform("l", lambda x: F.lower(x).rlike(any_type))).drop("at", "stop")
+    t = _settled(t, "low", F.transform("l", lambda x: F.lower(x)))  # once a line, not once a pattern
+    return _settled(t, "named", F.transform("low", _names_type)).drop("at", "stop")
 
 
 def _label(name: Column) -> Column:
-    """The kind of act that a line is, or begins with before a space; null if none."""
-    return F.nullif(F.regexp_extract(F.trim(F.lower(name), F.lit(" .,:;№n")), f"^({_LABEL_NAMES})( |$)", 1), F.lit(""))
+    """The kind of act that a line of lower case is, or begins with before a space; null if none."""
+    return F.nullif(F.regexp_extract(F.trim(name, F.lit(" .,:;№n")), f"^({_LABEL_NAMES})( |$)", 1), F.lit(""))
 
 
 def _typed(df: DataFrame, name: str, patterns: tuple, exact: Callable[[Column], Column]) -> DataFrame:
     df = _settled(_settled(df, "joined", F.lower(F.array_join("l", "\n"))), "front", F.lower(F.substring("text", 1, 1000)))
-    first = F.get(F.array_compact(F.transform("l", exact)), F.lit(0))
+    first = F.get(F.array_compact(F.transform("low", exact)), F.lit(0))
     return df.withColumn(name, F.coalesce(first, _classified(patterns, F.col("joined")), _classified(patterns, F.col("front")), F.lit("unknown"))).drop("joined", "front")
 
 
@@ -211,7 +229,7 @@ SELECT doc_id, coalesce(kind1, {_first_sql(_KINDS, 'joined')}, {_first_sql(_KIND
 def document_type(spark, d):
     """kind: in three languages; label: kinds of act by their Russian names. Both by the same rules: a title
     line that starts with the label, else the first label found in the title lines, else in the first 1000 characters."""
-    t = _typed(_titled(_docs(spark, d)), "kind", _KINDS, lambda x: _classified(_KINDS, F.lower(x), "^"))
+    t = _typed(_titled(_docs(spark, d)), "kind", _KINDS, lambda x: _classified(_KINDS, x, "^"))
     return _typed(t, "label", _LABELS, _label).select("doc_id", "kind", "label")
 
 
@@ -290,7 +308,7 @@ def header_type(spark, d):
     t = _settled(_settled(_titled(_docs(spark, d)), "joined", F.lower(F.array_join("l", "\n"))), "front", F.lower(F.substring("text", 1, 1000)))
     dated = F.regexp_extract(F.array_join("head", "\n"), r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1)
     t = t.select(
-        "doc_id", F.get(F.array_compact(F.transform("l", _label)), F.lit(0)).alias("exact"), _classified(_LABELS, F.col("joined")).alias("header"), _classified(_LABELS, F.col("front")).alias("body"),
+        "doc_id", F.get(F.array_compact(F.transform("low", _label)), F.lit(0)).alias("exact"), _classified(_LABELS, F.col("joined")).alias("header"), _classified(_LABELS, F.col("front")).alias("body"),
         F.nullif(F.regexp_extract("text", "№ *([0-9]+(-[0-9]+)?)", 1), F.lit("")).alias("number"), F.try_to_timestamp(F.nullif(dated, F.lit("")), F.lit("dd.MM.yyyy")).cast("date").alias("dated"),
     )
     return t.withColumn("origin", F.when(F.col("exact").isNotNull(), "exact").when(F.col("header").isNotNull(), "header").when(F.col("body").isNotNull(), "body").otherwise("none"))
