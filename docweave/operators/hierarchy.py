@@ -58,14 +58,15 @@ def _most_in_a_scope(links: DataFrame, stuck: DataFrame) -> int:
 def unresolved(links: DataFrame) -> DataFrame:
     """id and pointer of every parent on or below a cycle; the pointers are the nodes on cycles.
 
-    links: the result of ``linked``. A node whose target isn't open is resolved and leaves, so a round moves only
+    links: the result of ``linked``. Both sides of a round's join grow with the data, so it is a merge at every size.
+    A node whose target isn't open is resolved and leaves, so a round moves only
     the nodes deeper than those before it.
     """
-    open_ = cut_lineage(links.where("pointer is not null").select("id", "pointer").join(_parents(links), "id", "left_semi"))
+    open_ = cut_lineage(links.where("pointer is not null").select("id", "pointer").join(_parents(links).hint("merge"), "id", "left_semi"))
     count, jump, most = open_.count(), 1, None
     while count:
         target = open_.select(F.col("id").alias("pointer"), F.col("pointer").alias("next"))
-        stepped = cut_lineage(open_.join(target, "pointer").select("id", F.col("next").alias("pointer")))
+        stepped = cut_lineage(open_.join(target.hint("merge"), "pointer").select("id", F.col("next").alias("pointer")))
         free(open_)
         before, open_, jump = count, stepped, jump * 2
         count = open_.count()
@@ -96,7 +97,7 @@ def resolve(tree: DataFrame) -> DataFrame:
     """
     links = linked(tree)
     # the segment of the path from below the pointer (or from the root on) down to the node
-    state = links.select("id", "pointer", F.when(F.col("pointer").isNull(), F.col("node")).alias("root"), F.array("node").alias("path")).join(_parents(links), "id", "left_semi")
+    state = links.select("id", "pointer", F.when(F.col("pointer").isNull(), F.col("node")).alias("root"), F.array("node").alias("path")).join(_parents(links).hint("merge"), "id", "left_semi")
     state = cut_lineage(state)
     open_, done = cut_lineage(state.where("pointer is not null").drop("root")), [state.where("pointer is null")]
     count, jump, most = open_.count(), 1, None
@@ -105,7 +106,7 @@ def resolve(tree: DataFrame) -> DataFrame:
         for part in done if most is None else ():  # else open nodes point at each other alone
             known = known.unionByName(part)
         target = known.select(F.col("id").alias("pointer"), F.col("pointer").alias("next"), "root", F.col("path").alias("above"))
-        stepped = cut_lineage(open_.join(target, "pointer").select("id", F.col("next").alias("pointer"), "root", (F.concat("above", "path") if most is None else F.col("path")).alias("path")))
+        stepped = cut_lineage(open_.join(target.hint("merge"), "pointer").select("id", F.col("next").alias("pointer"), "root", (F.concat("above", "path") if most is None else F.col("path")).alias("path")))
         free(open_)
         done.append(stepped.where("pointer is null"))
         before, open_ = count, cut_lineage(stepped.where("pointer is not null").drop("root"))
