@@ -349,11 +349,12 @@ def cache_key(spark, d):
     return _formulas(spark, d).select("document_id", "unit_id", F.sha2(canonical, 256).alias("cache_key"))
 
 
-@query(f"SELECT count(*) AS formulas, count(DISTINCT linear_text) AS predictions FROM {_F}")
+@query(f"SELECT cache_key, count(*) AS uses, count(*) - 1 AS hits, min(linear_text) AS text FROM (SELECT linear_text, sha256(to_json({{'asset': asset_ref, 'kind': type, 'prompt': 'v1', 'text': linear_text}})::VARCHAR) AS cache_key FROM {_F}) GROUP BY 1")
 def prediction_dedup(spark, d):
-    """Predictions needed: one per distinct text, counted by grouping first."""
-    g = _formulas(spark, d).groupBy("linear_text").agg(F.count("*").alias("n"))
-    return g.agg(F.sum("n").alias("formulas"), F.count("linear_text").alias("predictions"))
+    """The predictions needed, one for each key, and how many formulas the cache then serves."""
+    canonical = F.to_json(F.struct(F.col("asset_ref").alias("asset"), F.col("type").alias("kind"), F.lit("v1").alias("prompt"), F.col("linear_text").alias("text")), {"ignoreNullFields": "false"})
+    g = _formulas(spark, d).groupBy(F.sha2(canonical, 256).alias("cache_key")).agg(F.count("*").alias("uses"), F.min("linear_text").alias("text"))
+    return g.select("cache_key", "uses", (F.col("uses") - 1).alias("hits"), "text")
 
 
 #: Strings that no text of a formula may hold.

@@ -28,17 +28,18 @@ def content_fingerprint(spark, d):
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-@query("""WITH f AS (SELECT DISTINCT relative_path, sha256, format, size_bytes FROM manifest),
-g AS (SELECT *, first_value(relative_path) OVER w AS primary_path, count(*) OVER (PARTITION BY sha256) AS n FROM f WINDOW w AS (PARTITION BY sha256 ORDER BY lower(relative_path), relative_path))
-SELECT relative_path, sha256, format, size_bytes, CASE WHEN n > 1 THEN 'sha256:' || sha256 END AS duplicate_group_id, CASE WHEN n > 1 AND primary_path <> relative_path THEN primary_path END AS duplicate_of FROM g WHERE sha256 IS NOT NULL
-UNION ALL SELECT relative_path, sha256, format, size_bytes, NULL, NULL FROM f WHERE sha256 IS NULL""")
+@query("""WITH f AS (SELECT DISTINCT relative_path, filename, sha256, size_bytes, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) IN ('docx', 'pdf', 'xlsx') AS supported FROM manifest WHERE filename IS NOT NULL AND filename NOT LIKE '~$%'),
+g AS (SELECT sha256, min((lower(relative_path), relative_path)) AS p, count(*) AS n FROM f WHERE supported AND sha256 IS NOT NULL GROUP BY 1)
+SELECT relative_path, f.sha256, size_bytes, supported, CASE WHEN NOT supported THEN 'unsupported_suffix' END AS warning, CASE WHEN supported AND n > 1 THEN 'sha256:' || f.sha256 END AS duplicate_group_id, CASE WHEN supported AND n > 1 AND p[2] <> relative_path THEN p[2] END AS duplicate_of FROM f LEFT JOIN g ON g.sha256 = f.sha256""")
 def inventory_build(spark, d):
-    """The first path of each content is its primary; found by a partial aggregate, so no content fills a task."""
-    f = _files(spark, d, "relative_path", "sha256", "format", "size_bytes")
-    first = f.where("sha256 is not null").groupBy("sha256").agg(F.min(F.struct(F.lower("relative_path").alias("k"), "relative_path")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    """Every file with whether it is supported, and among supported ones the first path of each content as its primary;
+    found by a partial aggregate, so no content fills a task. Rows have no order; path_sort gives one."""
+    f = _files(spark, d, "relative_path", "filename", "sha256", "size_bytes").where("filename is not null and not startswith(filename, '~$')")
+    f = f.withColumn("supported", F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).isin("docx", "pdf", "xlsx"))
+    first = f.where("supported and sha256 is not null").groupBy("sha256").agg(F.min(F.struct(F.lower("relative_path").alias("k"), "relative_path")).alias("p"), F.count("*").alias("n")).where("n > 1")
     joined = f.join(first, "sha256", "left")
-    primary = F.col("p.relative_path")
-    return joined.select("relative_path", "sha256", "format", "size_bytes", F.when(F.col("n") > 1, F.concat(F.lit("sha256:"), "sha256")).alias("duplicate_group_id"), F.when(primary != F.col("relative_path"), primary).alias("duplicate_of"))
+    primary, group = F.col("p.relative_path"), F.col("supported") & F.col("n").isNotNull()
+    return joined.select("relative_path", "sha256", "size_bytes", "supported", F.when(~F.col("supported"), "unsupported_suffix").alias("warning"), F.when(group, F.concat(F.lit("sha256:"), "sha256")).alias("duplicate_group_id"), F.when(group & (primary != F.col("relative_path")), primary).alias("duplicate_of"))
 
 
 @query("""WITH f AS (SELECT DISTINCT relative_path, sha256 FROM manifest WHERE sha256 IS NOT NULL),
@@ -275,14 +276,25 @@ def review_queue(spark, d):
     return out.select("run_id", "relative_path", "status", F.array_join(F.sort_array(F.array_distinct(said)), ";").alias("warnings"), F.coalesce("severe", F.lit(False)).alias("flagged")).distinct()
 
 
-@query("""SELECT relative_path, problem FROM (SELECT DISTINCT relative_path, unnest([CASE WHEN sha256 IS NULL OR NOT regexp_full_match(sha256, '[0-9a-f]{64}') THEN 'sha256' END, CASE WHEN size_bytes IS NULL OR size_bytes < 0 THEN 'size_bytes' END, CASE WHEN route IS NULL THEN 'route' END, CASE WHEN status = 'success' AND units_count IS NULL THEN 'units_count' END, CASE WHEN format <> lower(format) THEN 'format' END]) AS problem FROM manifest) WHERE problem IS NOT NULL""")
+_CONTRACT = (
+    ("document_id", "document_id IS NULL OR NOT {full}(document_id, 'sha256:[0-9a-f]{{64}}')"), ("metadata.confidence", "metadata.confidence IS NULL OR metadata.confidence NOT IN ('high', 'medium', 'low')"), ("metadata.title", "metadata.title IS NULL"),
+    ("processing.route", "processing.route IS NULL OR processing.route NOT IN ('docx_native', 'pdf_text', 'pdf_scan', 'xlsx_native')"), ("processing.status", "processing.status IS NULL OR processing.status NOT IN ('success', 'partial_success', 'failed')"),
+    ("schema_version", "schema_version IS NULL"), ("source.filename", "source.filename IS NULL OR source.filename = ''"), ("source.sha256", "source.sha256 IS NULL OR NOT {full}(source.sha256, '[0-9a-f]{{64}}')"), ("source.size_bytes", "source.size_bytes IS NULL OR source.size_bytes < 0"),
+    ("units", "units IS NULL"), ("units.type", "{any_type}"), ("units.unit_id", "{any_id}"),
+)
+
+
+def _contract(full: str, any_type: str, any_id: str) -> str:
+    checks = [f"CASE WHEN {c.format(full=full, any_type=any_type, any_id=any_id)} THEN '{p}' END" for p, c in _CONTRACT]
+    return ", ".join(checks)
+
+
+@query("WITH c AS (SELECT document_id, run_id, received_at, list_filter([" + _contract("regexp_full_match", "len(list_filter(units, lambda u: u IS NOT NULL AND u.type IS NULL)) > 0", "len(list_filter(units, lambda u: u IS NOT NULL AND u.unit_id IS NULL)) > 0") + "], lambda x: x IS NOT NULL) AS broken FROM packages) SELECT document_id, run_id, received_at, broken[1] AS first_error, len(broken)::INT AS errors FROM c")
 def contract_violations(spark, d):
-    c = F.col
-    checks = F.array(
-        F.when(c("sha256").isNull() | ~c("sha256").rlike("^[0-9a-f]{64}$"), "sha256"), F.when(c("size_bytes").isNull() | (c("size_bytes") < 0), "size_bytes"), F.when(c("route").isNull(), "route"),
-        F.when((c("status") == "success") & c("units_count").isNull(), "units_count"), F.when(c("format") != F.lower("format"), "format"),
-    )
-    return table(spark, d, "manifest").select("relative_path", F.explode(F.array_compact(checks)).alias("problem")).distinct()
+    """Each delivery against the contract of its record, nested fields too: the first broken path in their order, and how many."""
+    checks = _contract("regexp_like", "exists(units, u -> u is not null and u.type is null)", "exists(units, u -> u is not null and u.unit_id is null)").replace("'sha256:[0-9a-f]{64}'", "'^sha256:[0-9a-f]{64}$'").replace("'[0-9a-f]{64}'", "'^[0-9a-f]{64}$'")
+    broken = table(spark, d, "packages").select("document_id", "run_id", "received_at", F.array_compact(F.expr(f"array({checks})")).alias("broken"))
+    return broken.select("document_id", "run_id", "received_at", F.get("broken", F.lit(0)).alias("first_error"), F.size("broken").alias("errors"))
 
 
 @query("""WITH g AS (SELECT route, status, count(*) AS n FROM (SELECT DISTINCT run_id, relative_path, route, status FROM manifest) GROUP BY 1, 2)

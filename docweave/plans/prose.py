@@ -34,11 +34,29 @@ def txt_document(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", "source", "document_type", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
 
 
-@query(f"SELECT doc_id, line_no, (line_no // 10 + 1)::INT AS page, printf('u_%06d', line_no) AS unit_id, CASE WHEN regexp_matches(line, '^[0-9]+\\.[0-9]+ ') THEN 'section' WHEN line LIKE '- %' THEN 'list_item' WHEN contains(line, ' | ') THEN 'table_row' ELSE 'paragraph' END AS type FROM {_L} WHERE trim(line) <> ''")
+# Signs of a formula in a line (as the pages of PDF text are typed), beginnings of captions.
+_SIGNS, _CAPTION = r"(^|\s)[A-Za-zА-Яа-я][\wА-Яа-я]*\s*=|[=∑√≤≥±×÷≈]", r"^(рис\.|рисунок|figure)\s"
+_P = "(SELECT doc_id, unnest(string_split(text, chr(12))) AS page_text, unnest(range(1, len(string_split(text, chr(12))) + 1))::INT AS page FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH b AS (SELECT doc_id, page, unnest(regexp_split_to_array(page_text, '\\n[ \\t]*\\n')) AS block, unnest(range(1, len(regexp_split_to_array(page_text, '\\n[ \\t]*\\n')) + 1))::INT AS n FROM {_P}),
+k AS (SELECT doc_id, page, n, {_SQUEEZE.format('block')} AS t, len(list_filter(string_split(block, chr(10)), lambda l: contains(l, ' | '))) AS rows_ FROM b WHERE regexp_matches(block, '[^\\s]')),
+e AS (SELECT *, n = min(n) OVER (PARTITION BY doc_id, page) AS first, n = max(n) OVER (PARTITION BY doc_id, page) AS last FROM k),
+h AS (SELECT doc_id, t FROM e WHERE first GROUP BY 1, 2 HAVING count(*) > 1), f AS (SELECT doc_id, t FROM e WHERE last GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT e.doc_id, e.page, e.n AS block_no, CASE WHEN e.first AND h.t IS NOT NULL THEN 'header' WHEN e.last AND f.t IS NOT NULL THEN 'footer' WHEN rows_ >= 2 THEN 'table' WHEN regexp_matches(e.t, '{_CAPTION}', 'i') THEN 'figure' WHEN length(e.t) <= 180 AND regexp_matches(e.t, '{_SIGNS}', 'i') THEN 'formula' ELSE 'paragraph' END AS type FROM e LEFT JOIN h ON h.doc_id = e.doc_id AND h.t = e.t LEFT JOIN f ON f.doc_id = e.doc_id AND f.t = e.t""")
 def text_units(spark, d):
-    line = F.col("line")
-    kind = F.when(line.rlike(r"^[0-9]+\.[0-9]+ "), "section").when(line.startswith("- "), "list_item").when(line.contains(" | "), "table_row").otherwise("paragraph")
-    return _lines(spark, d).where("trim(line) <> ''").select("doc_id", "line_no", (F.floor(F.col("line_no") / 10) + 1).cast("int").alias("page"), F.format_string("u_%06d", "line_no").alias("unit_id"), kind.alias("type"))
+    """Blocks of pages (parted at form feeds) as units: headers and footers return at the same edge of several pages, then
+    tables, figures, formulas, paragraphs."""
+    pages = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\f")).alias("p", "page_text"))
+    b = pages.select("doc_id", (F.col("p") + 1).alias("page"), F.posexplode(F.split("page_text", r"\n[ \t]*\n")).alias("i", "block")).where(F.col("block").rlike(r"[^\s]"))
+    k = b.select("doc_id", "page", (F.col("i") + 1).alias("n"), tx.squeeze(F.col("block")).alias("t"), F.size(F.filter(F.split("block", "\n"), lambda x: x.contains(" | "))).alias("rows_"))
+    w = Window.partitionBy("doc_id", "page")
+    e = k.select("*", (F.col("n") == F.min("n").over(w)).alias("first"), (F.col("n") == F.max("n").over(w)).alias("last"))
+    again = lambda edge, name: e.where(edge).groupBy("doc_id", "t").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "t", F.lit(True).alias(name))
+    e = e.join(again("first", "h"), ["doc_id", "t"], "left").join(again("last", "f"), ["doc_id", "t"], "left")
+    t = F.col("t")
+    kind = F.when(F.col("first") & F.col("h").isNotNull(), "header").when(F.col("last") & F.col("f").isNotNull(), "footer").when(F.col("rows_") >= 2, "table").when(t.rlike("(?iu)" + _CAPTION), "figure").when((F.length(t) <= 180) & t.rlike("(?iu)" + _SIGNS), "formula").otherwise("paragraph")
+    return e.select("doc_id", "page", F.col("n").alias("block_no"), kind.alias("type"))
 
 
 @query(f"SELECT doc_id, {_SQUEEZE.format('text')} AS squeezed FROM documents WHERE text IS NOT NULL")
@@ -381,14 +399,14 @@ def iso_cell(spark, d):
     return table(spark, d, "events", "event_id", "ts", "value").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.when(v >= 95, "high").when(v >= 80, "medium").otherwise("low").alias("bucket"), F.greatest(F.lit(0), F.least(F.lit(5), F.bround(v / 20, 0))).cast("int").alias("score"))
 
 
-@query("SELECT user_id, best, second, best - second >= 0.02 AS decided FROM (SELECT user_id, list_reverse_sort(list(DISTINCT value))[1] AS best, coalesce(list_reverse_sort(list(DISTINCT value))[2], 0) AS second FROM events GROUP BY 1)")
+@query("SELECT user_id, best, second, best >= 0.16 AND best - second >= 0.02 AS decided FROM (SELECT user_id, list_reverse_sort(list(DISTINCT value))[1] AS best, coalesce(list_reverse_sort(list(DISTINCT value))[2], 0) AS second FROM events GROUP BY 1)")
 def best_with_margin(spark, d):
     """Best and second-best value by two partial maxima, without gathering a user's values."""
     e = table(spark, d, "events", "user_id", "value").where("value is not null")
     best = e.groupBy("user_id").agg(F.max("value").alias("best"))
     rest = e.groupBy("user_id", "value").agg(F.lit(1)).join(best, "user_id").where("value < best").groupBy("user_id").agg(F.max("value").alias("second"))
     out = best.join(rest, "user_id", "left").withColumn("second", F.coalesce("second", F.lit(0.0)))
-    return out.withColumn("decided", F.col("best") - F.col("second") >= 0.02)
+    return out.withColumn("decided", (F.col("best") >= 0.16) & (F.col("best") - F.col("second") >= 0.02))
 
 
 @query("SELECT event_type, event_id, value FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")

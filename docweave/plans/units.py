@@ -377,10 +377,15 @@ def expectation_violations(spark, d):
     return u.select("document_id", "unit_id", F.explode(F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules]))).alias("problem")).distinct()
 
 
-@query("SELECT document_id, asset_ref, count(DISTINCT unit_id) AS units FROM document_units WHERE asset_ref IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT unit_id) = 1")
+@query("""WITH a AS (SELECT DISTINCT document_id, a.unit_id AS unit_id, a.path AS path FROM (SELECT document_id, unnest(assets) AS a FROM packages) WHERE a.unit_id IS NOT NULL AND a.path IS NOT NULL), u AS (SELECT DISTINCT document_id, u.unit_id AS unit_id, u.asset_ref AS asset_ref FROM (SELECT document_id, unnest(units) AS u FROM packages) WHERE u.unit_id IS NOT NULL)
+SELECT u.document_id, u.unit_id, u.asset_ref, CASE WHEN count(DISTINCT a.path) = 1 THEN min(a.path) END AS attached, count(DISTINCT a.path) AS candidates FROM u JOIN a ON a.document_id = u.document_id AND a.unit_id = u.unit_id GROUP BY 1, 2, 3""")
 def asset_attach(spark, d):
-    u = _units(spark, d, "document_id", "asset_ref", "unit_id").where("asset_ref is not null")
-    return u.groupBy("document_id", "asset_ref").agg(F.count("unit_id").alias("units")).where("units = 1")
+    """The asset of each unit that has any: attached only if it is a single one."""
+    p = table(spark, d, "packages", "document_id", "assets")
+    a = p.select("document_id", F.inline("assets")).where("unit_id is not null and path is not null").select("document_id", "unit_id", "path").distinct()
+    u = table(spark, d, "packages", "document_id", "units").select("document_id", F.explode("units").alias("u")).select("document_id", "u.unit_id", "u.asset_ref").where("unit_id is not null").distinct()
+    g = a.groupBy("document_id", "unit_id").agg(F.count("*").alias("candidates"), F.min("path").alias("path"))
+    return u.join(g, ["document_id", "unit_id"]).select("document_id", "unit_id", "asset_ref", F.when(F.col("candidates") == 1, F.col("path")).alias("attached"), "candidates")
 
 
 _MD = "CASE type WHEN 'document' THEN '# ' || text WHEN 'section' THEN '## ' || text WHEN 'list_item' THEN '- ' || regexp_replace(text, '^[-–] ', '') WHEN 'formula' THEN '`' || text || '`' WHEN 'caption' THEN '*' || text || '*' WHEN 'header' THEN '<!-- ' || text || ' -->' WHEN 'footer' THEN '<!-- ' || text || ' -->' ELSE text END"

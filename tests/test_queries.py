@@ -22,6 +22,20 @@ def test_same_rows(spark, con, name):
     assert run_pair(spark, con, entry.queries()[name], entry.oracle_sql()[name], FOLDER) == ""
 
 
+@pytest.fixture(scope="module")
+def nothing(spark, tmp_path_factory):
+    """The tables without rows."""
+    folder = str(tmp_path_factory.mktemp("nothing"))
+    for f in os.listdir(FOLDER):
+        spark.read.parquet(f"{FOLDER}/{f}").limit(0).write.parquet(f"{folder}/{f}")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_empty_tables(spark, nothing, name):
+    entry.queries()[name](spark, nothing).collect()
+
+
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
