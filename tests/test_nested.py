@@ -34,3 +34,12 @@ def test_tables(spark):
     assert len(cell) == 1 and cell[0].address == "A1" and cell[0].value == ""
     assert nested.child_table(df, "source_ref").columns == ["document_id", "unit_id", "source_ref_document_id", "page", "bbox"]
     assert nested.child_keys(df.limit(0)).count() == 0
+
+
+def test_quality_and_assets(spark):
+    schema = "document_id string, units array<struct<unit_id:string, quality:struct<flags:array<string>, warnings:array<string>>>>, assets array<struct<document_id:string, path:string>>"
+    data = [("a", [("u", (["f", None], ["w"])), None, ("v", None), ("x", (None, []))], [("other", "p"), None]), ("b", None, None), (None, [("u", ([], ["z"]))], [])]
+    df = spark.createDataFrame(data, schema)
+    assert sorted(map(tuple, nested.quality_table(df).collect()), key=str) == sorted([("a", "u", "flag", 0, "f"), ("a", "u", "flag", 1, None), ("a", "u", "warning", 0, "w"), (None, "u", "warning", 0, "z")], key=str)
+    assert [tuple(r) for r in nested.assets_table(df).collect()] == [("a", "other", "p")]
+    assert nested.quality_table(df.limit(0)).count() == nested.assets_table(df.limit(0)).count() == 0

@@ -13,3 +13,13 @@ def test_two_level_windows(spark, monkeypatch):
     assert last == {i: max((x for x in range(i + 1) if x % 5 == 2), default=None) for i in range(30)}
     before = {r.o: r.p for r in ordered.previous(df, "g", ["o", "k"], F.col("o"), "p").collect()}
     assert before == {i: i - 1 if i else None for i in range(30)}
+
+
+def test_ranks_over_ranges(spark):
+    data = [("hot" if i % 4 else None, f"p{(i * 37) % 101:03}") for i in range(101)]
+    df = spark.createDataFrame(data, "g string, k string")
+    got = {(r.g, r.k): r.n for r in ordered.ranked(df, ["g"], ["k"], "n", slices=7).collect()}
+    for g in ("hot", None):
+        own = sorted(k for h, k in data if h == g)
+        assert [got[(g, k)] for k in own] == list(range(1, len(own) + 1))
+    assert ordered.ranked(df.limit(0), ["g"], ["k"], "n").count() == 0

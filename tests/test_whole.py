@@ -88,3 +88,23 @@ def test_every_addressed_cell_has_an_outcome(run):
             return None, "not_a_number"
 
     assert got == {i: want(v) for i, v in enumerate(values)}
+
+
+def test_chunks_follow_sections_and_size(run):
+    long, schema = "x" * 1190, "document_id string, unit_id string, type string, unit_order int, text string, asset_ref string, source_ref struct<page:int>"
+    units = [
+        ("a", "u0", "paragraph", 0, " before ", None, (2,)), ("a", "u1", "section", 1, " S1 ", None, (1,)), ("a", "u2", "paragraph", 2, long, "img", (3,)), ("a", "u3", "header", 3, "123456", "img", (1,)), ("a", "u4", "footnote", 4, "no", None, None),
+        ("a", "u5", "paragraph", 5, "y" * 2000, None, None), ("a", "u6", "paragraph", 6, "  ", None, None), ("a", "u7", "section", 7, " ", None, None), ("a", "u8", "figure", 8, "fig", None, None), (None, "n", "paragraph", 1, "z", None, None), ("b", "u", "paragraph", None, "one", None, None),
+    ]
+    got = {(r["document_id"], r["chunk_id"]): (r["unit_refs"], r["section_path"], len(r["text"]), r["pages"], r["asset_refs"]) for r in run("chunks", "document_units", units + units[:2], schema)}
+    assert got == {
+        ("a", "c_000001"): ("u0", "", 6, "2", ""), ("a", "c_000002"): ("u1 u2", "S1", 1194, "1 3", "img"), ("a", "c_000003"): ("u3", "S1", 6, "1", "img"), ("a", "c_000004"): ("u5", "S1", 2000, "", ""),
+        ("a", "c_000005"): ("u8", "S1", 3, "", ""), ("b", "c_000001"): ("u", "", 3, "", ""),
+    }
+
+
+def test_tables_are_read_from_text(run):
+    text = "Name  Sum  Note\none  1\ntail\ntwo  2  a  b\nsix  7  8\n\n"
+    rows = [("d", "t", "table", 1, text, None), ("d", "p", "paragraph", 2, "plain text", None), ("d", "l", "paragraph", 3, "1.  a first item of some length\n2.  another item of some length", None), ("d", "e", "table", 4, None, None)]
+    got = {r["unit_id"]: (r["width"], r["rows_"], r["structure_warning"], r["grid"]) for r in run("table_parse", "document_units", rows, UNITS)}
+    assert got["t"] == (3, 4, True, "Name | Sum | Note\none | 1 | \ntail\ntwo | 2 | a b\nsix | 7 | 8") and set(got) == {"t", "l"}
